@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier on hashed character n-grams scaled by naive Bayes log-count ratios.
 
-A document is the set of hashed 3- to 5-byte grams of its lower-cased text. The ratios come from counts
+A document is the set of hashed 3- to 8-byte grams of its lower-cased text. The ratios come from counts
 over all labelled training rows, added up by Spark. The weights are then fitted by logistic regression
 in one task on at most ``max_fit_rows`` of these rows (those with the smallest hash, at most
-``max_fit_chars`` characters long), so that the fit has a bound while counting and scoring do not.
+``max_fit_chars`` characters long), so that the fit has a bound while counting and scoring do not. Only
+features whose ratio differs from 0 by more than counting noise take part.
 
 Defined results: null and empty texts have no features and score the model's bias; repeated rows are
 scored each; a document labelled twice counts as toxic if either label says so; null labels are not
@@ -22,51 +23,55 @@ from pyspark.sql import types as T
 
 from terrafold.llm.common import bytes_of
 
-BITS = 18
+BITS = 20
 SIZE = 1 << BITS
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6, 7, 8)
+#: Standard errors by which a log-count ratio must differ from 0.
+LEAST_ERRORS = 4.0
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
-def features(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Ascending feature numbers of a text's bytes; flags: SIZE zeros, given back as zeros."""
+def features(data: np.ndarray) -> np.ndarray:
+    """Ascending feature numbers of a text's bytes."""
     x = _FOLD[data].astype(np.uint32)
-    code = x
+    code, found = x, []
     for n in range(2, max(GRAMS) + 1):
         if len(x) < n:
             break
         code = code[:-1] * np.uint32(0x01000193) + x[n - 1 :] * np.uint32(0x85EBCA6B) + np.uint32(n)
         if n in GRAMS:
-            flags[((code ^ (code >> np.uint32(15))) * _MULTIPLIER) >> np.uint32(32 - BITS)] = 1
-    found = np.flatnonzero(flags)
-    flags[found] = 0
-    return found
+            found.append(((code ^ (code >> np.uint32(15))) * _MULTIPLIER) >> np.uint32(32 - BITS))
+    if not found:
+        return np.zeros(0, np.uint32)
+    h = np.concatenate(found)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
-def _each(batch: pa.RecordBatch, flags: np.ndarray) -> Iterator[np.ndarray]:
+def _each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     data, at = bytes_of(batch.column("text"))
     for a, b in zip(at[:-1], at[1:]):
-        yield features(data[a:b], flags)
+        yield features(data[a:b])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flags, counts, rows = np.zeros(SIZE, np.uint8), np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64)
+    counts = np.zeros((2, SIZE), np.int64)
     for batch in batches:
-        for label, found in zip(batch.column("toxic").to_pylist(), _each(batch, flags)):
+        for label, found in zip(batch.column("toxic").to_pylist(), _each(batch)):
             counts[label][found] += 1
-            rows[label] += 1
     for label in (0, 1):
         at = np.flatnonzero(counts[label])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.full(len(at) + 1, label, np.int32)), pa.array(np.append(counts[label][at], rows[label]))], names=["feature", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(counts[label][at])], names=["feature", "toxic", "n"])
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float = 3e-4, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression on ratio-scaled features by accelerated gradient steps with adaptive sizes."""
-    flat, at = np.concatenate([*rows, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, rows)])
-    keep = np.unique(flat)
-    place = np.searchsorted(keep, flat).astype(np.int32)
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, keep: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression on the kept, ratio-scaled features by gradient steps with adaptive sizes."""
+    place_of = np.full(SIZE, -1, np.int32)
+    place_of[keep] = np.arange(len(keep))
+    rows = [x[x >= 0] for x in (place_of[r] for r in rows)]
+    place, at = np.concatenate([*rows, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, rows)])
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(at))
     r, y = ratio[keep], labels.astype(float)
     scale = r[place]
@@ -87,31 +92,31 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l
 
 def train(examples: DataFrame, max_fit_rows: int = 8000, max_fit_chars: int = 40_000) -> tuple[np.ndarray, float]:
     """examples with (doc_id, text, toxic 0 or 1): a weight for each feature, and the bias."""
-    counts = np.zeros((2, SIZE))
-    rows = np.zeros(2)
-    # At most 2 * (SIZE + 1) sums, whatever the corpus.
-    for feature, toxic, n in examples.select("text", "toxic").mapInArrow(_count, "feature int, toxic int, n long").groupBy("feature", "toxic").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False):
-        if feature < 0:
-            rows[toxic] = n
-        else:
-            counts[toxic][feature] = n
-    if not rows.all():
-        return np.zeros(SIZE), float(np.log((rows[1] + 1) / (rows[0] + 1)))
-    share = (counts + 1) / (rows[:, None] + 2)
-    ratio = np.log(share[1] / share[0])
+    labels = dict(examples.groupBy("toxic").count().collect())
+    clean, toxic = labels.get(0, 0), labels.get(1, 0)
+    if not clean or not toxic:
+        return np.zeros(SIZE), float(np.log((toxic + 1) / (clean + 1)))
+    counts = examples.select("text", "toxic").mapInArrow(_count, "feature int, toxic int, n long").groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
+    shares = counts.select("feature", *((F.col(f"n{k}") + 1).alias(f"c{k}") for k in (0, 1)), *(((F.col(f"n{k}") + 1) / (n + 2)).alias(f"p{k}") for k, n in ((0, clean), (1, toxic))))
+    ratios = shares.select("feature", F.log(F.col("p1") / F.col("p0")).alias("ratio"), F.sqrt((1 - F.col("p0")) / F.col("c0") + (1 - F.col("p1")) / F.col("c1")).alias("error"))
+    # At most SIZE rows, whatever the corpus; some thousands tell.
+    telling = ratios.where(F.abs("ratio") >= LEAST_ERRORS * F.col("error")).select("feature", "ratio").toArrow().to_pandas()
+    keep = np.sort(telling["feature"].to_numpy())
+    ratio = np.zeros(SIZE)
+    ratio[telling["feature"]] = telling["ratio"]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, found, labels = np.zeros(SIZE, np.uint8), [], []
+        found, labels = [], []
         for batch in batches:
-            found += [x.astype(np.int32) for x in _each(batch, flags)]
+            found += [x.astype(np.int32) for x in _each(batch)]
             labels += batch.column("toxic").to_pylist()
-        w, bias = fit_weights(found, np.array(labels, int), ratio) if labels else (np.zeros(SIZE), 0.0)
+        w, bias = fit_weights(found, np.array(labels, int), ratio, keep) if labels else (np.zeros(SIZE), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
     few = examples.where(F.length("text") <= max_fit_chars).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "toxic").limit(max_fit_rows)
     fitted = few.select("text", "toxic").coalesce(1).mapInArrow(fit, "weights binary, bias double").first()
     if fitted is None:
-        return np.zeros(SIZE), float(np.log(rows[1] / rows[0]))
+        return np.zeros(SIZE), float(np.log(toxic / clean))
     return np.frombuffer(bytes(fitted[0]), np.float32).astype(float), fitted[1]
 
 
@@ -124,7 +129,7 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """The columns of documents with a score from 0 to 1."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # SIZE floats, 1 MB
+    shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # SIZE floats, 4 MB
     names = documents.columns
     new = "score"
     while new in names:
@@ -132,9 +137,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        flags = np.zeros(SIZE, np.uint8)
         for batch in batches:
-            z = np.array([weights[x].sum(dtype=float) for x in _each(batch, flags)]) + bias if batch.num_rows else np.zeros(0)
+            z = np.array([weights[x].sum(dtype=float) for x in _each(batch)]) + bias if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, new])
 
     schema = T.StructType([*documents.schema.fields, T.StructField(new, T.DoubleType())])
