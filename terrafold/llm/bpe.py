@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF_BYTES = 4
+LEAF_BYTES, REMEMBERED_BYTES = 3, 8
 #: Pieces and pairs that a task remembers at once, about 80 MB; beyond that it forgets them and goes on.
 REMEMBERED = 250_000
 
@@ -41,6 +41,7 @@ class Encoder:
         self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
         self.halves: dict[bytes, tuple[int, ...]] = {}
         self.texts: dict[str, tuple[str, bytes]] = {}
+        self.words: dict[bytes, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """The rule itself, for short windows: merge the pair of lowest rank, leftmost first."""
@@ -83,18 +84,14 @@ class Encoder:
         return self.merged(data) if len(data) <= 64 else self.reduced(data)
 
     def reduced(self, data: bytes) -> tuple[int, ...]:
-        if len(data) <= LEAF_BYTES:
-            return self.half(data)
-        middle = len(data) // 2
-        return self.join(self.half(data[:middle]), self.half(data[middle:]))
-
-    def half(self, data: bytes) -> tuple[int, ...]:
-        if len(data) > 32:
-            return self.reduced(data)
+        """By halves; short ones are remembered."""
+        n = len(data)
+        if n > REMEMBERED_BYTES:
+            return self.join(self.reduced(data[: n // 2]), self.reduced(data[n // 2 :]))
         if (found := self.halves.get(data)) is None:
             if len(self.halves) > REMEMBERED:
                 self.halves.clear()
-            found = self.halves[data] = self.merged(data) if len(data) <= LEAF_BYTES else self.reduced(data)
+            found = self.halves[data] = self.merged(data) if n <= LEAF_BYTES else self.join(self.reduced(data[: n // 2]), self.reduced(data[n // 2 :]))
         return found
 
     def piece(self, data: bytes) -> tuple[int, ...]:
