@@ -180,13 +180,11 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most: int
         if not hot:
             break
         # What a large shard's members agree on is given; they are dealt on the bits that are left.
-        again = {}
-        for mask in masks:
-            bits = [b for b in range(64) if not mask >> b & 1]
-            again[_signed(mask)] = [mask | m for m in block_masks(bits, radius + 1, 1)] if len(bits) > radius else []
-        masks = sorted({m for x in again.values() for m in x})
-        finer = F.coalesce(*(F.when(F.col("mask") == k, F.array(*(F.lit(_signed(m)) for m in v))) for k, v in again.items() if v))
-        todo = checkpointed(dealt(todo.join(large, ["mask", "shard"], "left_semi").withColumn("finer", finer), F.col("finer")).distinct())
+        again = [(mask, finer) for mask in masks for bits in [[b for b in range(64) if not mask >> b & 1]] if len(bits) > radius for finer in (mask | m for m in block_masks(bits, radius + 1, 1))]
+        masks = sorted({m for _, m in again})
+        finer = fps.sparkSession.createDataFrame([(_signed(a), _signed(b)) for a, b in again], "mask long, finer long")  # some hundred masks
+        rows = todo.join(large, ["mask", "shard"], "left_semi").join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), "fp")
+        todo = checkpointed(rows.distinct().select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("shard"), "fp"))
     return found
 
 
