@@ -90,10 +90,11 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, k
     return out, float(bias)
 
 
-def train(examples: DataFrame, max_fit_rows: int = 8000, max_fit_chars: int = 40_000) -> tuple[np.ndarray, float]:
-    """examples with (doc_id, text, toxic 0 or 1): a weight for each feature, and the bias."""
-    labels = dict(examples.groupBy("toxic").count().collect())
-    clean, toxic = labels.get(0, 0), labels.get(1, 0)
+def train(documents: DataFrame, labels: DataFrame, max_fit_rows: int = 8000, max_fit_chars: int = 40_000) -> tuple[np.ndarray, float]:
+    """Learns from the rows of documents that have a label: a weight for each feature, and the bias."""
+    examples = labelled(documents, labels)
+    sizes = dict(examples.groupBy("toxic").count().collect())
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return np.zeros(SIZE), float(np.log((toxic + 1) / (clean + 1)))
     counts = examples.select("text", "toxic").mapInArrow(_count, "feature int, toxic int, n long").groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
@@ -113,17 +114,24 @@ def train(examples: DataFrame, max_fit_rows: int = 8000, max_fit_chars: int = 40
         w, bias = fit_weights(found, np.array(labels, int), ratio, keep) if labels else (np.zeros(SIZE), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    few = examples.where(F.length("text") <= max_fit_chars).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "toxic").limit(max_fit_rows)
+    # The sample is chosen without its texts; as its size is bounded, these come by a broadcast of its keys.
+    chosen = examples.where(F.col("chars") <= max_fit_chars).select("doc_id", "key", "toxic").distinct().orderBy("key", "doc_id").limit(max_fit_rows)
+    few = keyed(documents).join(F.broadcast(chosen), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
     fitted = few.select("text", "toxic").coalesce(1).mapInArrow(fit, "weights binary, bias double").first()
     if fitted is None:
         return np.zeros(SIZE), float(np.log(toxic / clean))
     return np.frombuffer(bytes(fitted[0]), np.float32).astype(float), fitted[1]
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"), F.length(text).alias("chars"))
+
+
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the rows of documents that have a label."""
+    """(doc_id, text, key, chars, toxic) of the rows of documents that have a label."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    return keyed(documents).join(known, "doc_id")
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -151,6 +159,6 @@ def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0):
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; learns only from rows that are not held out."""
-    model = train(labelled(documents.where(~held_out()), labels))
+    model = train(documents.where(~held_out()), labels)
     scored = score(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
