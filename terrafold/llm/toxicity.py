@@ -13,6 +13,7 @@ used; with no labelled rows of one kind the score is the smoothed share of toxic
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from terrafold.llm.common import bytes_of
 
 BITS = 20
 SIZE = 1 << BITS
+#: Features whose counts travel in one row.
+BLOCK = 1 << 12
 GRAMS = (3, 4, 5, 6, 7, 8)
 #: Standard errors by which a log-count ratio must differ from 0.
 LEAST_ERRORS = 4.0
@@ -57,13 +60,28 @@ def _each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a partition, a row for each block of features: bytes of equal significance stand together, so zeros pack."""
     counts = np.zeros((2, SIZE), np.int64)
     for batch in batches:
         for label, found in zip(batch.column("toxic").to_pylist(), _each(batch)):
             counts[label][found] += 1
-    for label in (0, 1):
-        at = np.flatnonzero(counts[label])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(counts[label][at])], names=["feature", "toxic", "n"])
+    if counts.any():
+        blocks = counts.reshape(2, -1, BLOCK).transpose(1, 0, 2)
+        packed = [zlib.compress(x.ravel().view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x in map(np.ascontiguousarray, blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed), dtype=np.int32)), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the rows of each block as they come; holds one array a block, however many rows there are."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
+            counts = np.ascontiguousarray(planes.T).view(np.int64).reshape(2, BLOCK)
+            sums[block] = sums[block] + counts if block in sums else counts
+    for block, counts in sums.items():
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array((at + block * BLOCK).astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["feature", "n0", "n1"])
 
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, keep: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
@@ -97,7 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, max_fit_rows: int = 8000, max
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return np.zeros(SIZE), float(np.log((toxic + 1) / (clean + 1)))
-    counts = examples.select("text", "toxic").mapInArrow(_count, "feature int, toxic int, n long").groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
+    counts = examples.select("text", "toxic").mapInArrow(_count, "block int, counts binary").repartition("block").mapInArrow(_add, "feature int, n0 long, n1 long")
     shares = counts.select("feature", *((F.col(f"n{k}") + 1).alias(f"c{k}") for k in (0, 1)), *(((F.col(f"n{k}") + 1) / (n + 2)).alias(f"p{k}") for k, n in ((0, clean), (1, toxic))))
     ratios = shares.select("feature", F.log(F.col("p1") / F.col("p0")).alias("ratio"), F.sqrt((1 - F.col("p0")) / F.col("c0") + (1 - F.col("p1")) / F.col("c1")).alias("error"))
     # At most SIZE rows, whatever the corpus; some thousands tell.
