@@ -84,28 +84,27 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((at + block * BLOCK).astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["feature", "n0", "n1"])
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, keep: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression on the kept, ratio-scaled features by gradient steps with adaptive sizes."""
-    place_of = np.full(SIZE, -1, np.int32)
-    place_of[keep] = np.arange(len(keep))
-    rows = [x[x >= 0] for x in (place_of[r] for r in rows)]
-    place, at = np.concatenate([*rows, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, rows)])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(at))
-    r, y = ratio[keep], labels.astype(float)
-    scale = r[place]
-    w, bias = np.ones(len(keep)) * 0.1, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression on features scaled by r, by gradient steps with adaptive sizes; rows hold places in r."""
+    y = labels.astype(float)
+    blocks = []
+    for a in range(0, len(rows), 500):
+        part = rows[a : a + 500]
+        blocks.append((slice(a, a + len(part)), np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])))
+    w, bias = np.ones(len(r)) * 0.1, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(owner, scale * w[place], len(y)) + bias
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gw, gb = np.bincount(place, scale * g[owner], len(keep)) / len(y) + l2 * w, g.mean()
+        scaled, g, total = r * w, np.empty(len(y)), np.zeros(len(r))
+        for at, place, owner in blocks:
+            z = np.bincount(owner, scaled[place], at.stop - at.start) + bias
+            g[at] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]
+            total += np.bincount(place, g[at][owner], len(r))
+        gw, gb = r * total / len(y) + l2 * w, g.mean()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.05 * (1 - t / (steps + 1)) + 0.002
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
-    out = np.zeros(SIZE)
-    out[keep] = w * r
-    return out, float(bias)
+    return w * r, float(bias)
 
 
 def train(documents: DataFrame, labels: DataFrame, max_fit_rows: int = 8000, max_fit_chars: int = 40_000) -> tuple[np.ndarray, float]:
@@ -121,16 +120,18 @@ def train(documents: DataFrame, labels: DataFrame, max_fit_rows: int = 8000, max
     # At most SIZE rows, whatever the corpus; some thousands tell.
     telling = ratios.where(F.abs("ratio") >= LEAST_ERRORS * F.col("error")).select("feature", "ratio").toArrow().to_pandas()
     keep = np.sort(telling["feature"].to_numpy())
-    ratio = np.zeros(SIZE)
-    ratio[telling["feature"]] = telling["ratio"]
+    ratio = telling.sort_values("feature")["ratio"].to_numpy()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place_of = np.full(SIZE, -1, np.int32)
+        place_of[keep] = np.arange(len(keep))
         found, labels = [], []
         for batch in batches:
-            found += [x.astype(np.int32) for x in _each(batch)]
+            found += [x[x >= 0] for x in (place_of[features] for features in _each(batch))]
             labels += batch.column("toxic").to_pylist()
-        w, bias = fit_weights(found, np.array(labels, int), ratio, keep) if labels else (np.zeros(SIZE), 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
+        if labels:
+            w, bias = fit_weights(found, np.array(labels, int), ratio)
+            yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
     # The sample is chosen without its texts; as its size is bounded, these come by a broadcast of its keys.
     chosen = examples.where(F.col("chars") <= max_fit_chars).select("doc_id", "key", "toxic").distinct().orderBy("key", "doc_id").limit(max_fit_rows)
@@ -138,7 +139,9 @@ def train(documents: DataFrame, labels: DataFrame, max_fit_rows: int = 8000, max
     fitted = few.select("text", "toxic").coalesce(1).mapInArrow(fit, "weights binary, bias double").first()
     if fitted is None:
         return np.zeros(SIZE), float(np.log(toxic / clean))
-    return np.frombuffer(bytes(fitted[0]), np.float32).astype(float), fitted[1]
+    weights = np.zeros(SIZE)
+    weights[keep] = np.frombuffer(bytes(fitted[0]), np.float32)
+    return weights, fitted[1]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
