@@ -152,7 +152,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, key, chars, toxic) of the rows of documents that have a label."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return keyed(documents).join(known, "doc_id")
+    return keyed(documents).join(known.hint("merge"), "doc_id")  # labels have no bound
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
