@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 LEAF_BYTES, REMEMBERED_BYTES = 3, 8
 #: Pieces and pairs that a task remembers at once, about 80 MB; beyond that it forgets them and goes on.
 REMEMBERED = 250_000
+#: Ids, give or take a text, that leave a task in one batch.
+HELD_IDS = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,20 +152,25 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, text_column: str
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(key, *shared.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
+        arrow = {T.ArrayType: pa.list_(pa.int32()), T.LongType: pa.int64(), T.StringType: pa.string()}
         for batch in batches:
-            out = {c: [] for c in kinds}
-            for text in batch.column(text_column):
+            start, held, out = 0, 0, {c: [] for c in kinds}
+            for row, text in enumerate(batch.column(text_column), 1):
                 ids, decoded = encoder.ids_and_bytes(text.as_py() or "")
+                n = ids.count(",") + 1 if ids else 0
                 if ids_column:
-                    out[ids_column].append([int(i) for i in ids.split(",")] if ids else [])
+                    out[ids_column].append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
                 if count_column:
-                    out[count_column].append(ids.count(",") + 1 if ids else 0)
+                    out[count_column].append(n)
                 if digest_column:
                     out[digest_column].append(sha(ids.encode()))
                 if decoded_digest_column:
                     out[decoded_digest_column].append(sha(decoded))
-            arrow = {T.ArrayType: pa.list_(pa.int32()), T.LongType: pa.int64(), T.StringType: pa.string()}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, arrow[type(kinds[c])]) for c, v in out.items())], names=[*names, *out])
+                held += n
+                if held >= HELD_IDS or row == batch.num_rows:
+                    done = batch.slice(start, row - start)
+                    yield pa.RecordBatch.from_arrays([*done.columns, *(pa.array(v, arrow[type(kinds[c])]) for c, v in out.items())], names=[*names, *out])
+                    start, held, out = row, 0, {c: [] for c in kinds}
 
     schema = T.StructType([*documents.schema.fields, *(T.StructField(c, k) for c, k in kinds.items())])
     return documents.mapInArrow(apply, schema)
