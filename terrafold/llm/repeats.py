@@ -1,13 +1,19 @@
 """Repeated byte windows by a depth-limited radix sort.
 
 A window is LENGTH bytes, one for each suffix of a text, and no byte beyond it is ever looked at. The
-sort goes by digits of decreasing significance and drops what is alone after each. The first digit is
-the window's anchor: of its grams of GRAM bytes the one with the smallest hash, the leftmost of equals.
-Equal windows have equal anchors at equal distances, so none is lost; and neighbouring windows share
-their anchor, so the first pass moves one row for a run of windows, about one for 70 bytes, instead of
-one for each byte. The second digit is the run's whole content, which settles runs that recur as a whole;
-the last, only for runs that share their anchor with a different one, is each window's own content.
-Digits are compared by hashes: of 64 bits to find groups, of 128 bits where equality counts.
+sort goes by digits of decreasing significance and drops what is alone or settled after each:
+
+* the window's anchor: of its grams of GRAM bytes the one with the smallest hash, the leftmost of equals.
+  Equal windows have equal anchors at equal distances, so none is lost; and neighbouring windows share
+  their anchor, so this pass moves one row for a run of windows, about one for 57 bytes;
+* the run's whole content, which settles runs that recur as a whole. The others that share their anchor
+  with a different run go on, one of each content;
+* the core of a block: the bytes that are common to the windows of STEP neighbouring distances from the
+  anchor, then the block's whole content, which settles blocks that recur as a whole;
+* the content of each window of the blocks whose core occurs in different blocks.
+
+Digits are compared by hashes: a group has equal hashes of 64 bits, and equal contents within it have
+another 64 bits in common.
 
 Defined results: null and empty texts, and those shorter than LENGTH, keep all their bytes; identical
 rows, also with one doc_id, are repeats of each other; overlapping repeats in one text count; columns
@@ -23,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import bytes_of, checkpointed, row_key
+from terrafold.llm.common import bytes_of, row_key, written
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM, STEP = 200, 64, 16
 #: Bytes that are worked on at once, and so the reach of a position within its word of PLACE bits.
 CHUNK, PLACE = 1 << 20, np.uint64((1 << 24) - 1)
 _RANDOM = np.random.default_rng(20_240_531)
@@ -77,12 +83,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For bytes of texts that start at cut[:-1]: first window, number of windows, anchor, content 1 and 2 of each run."""
+    """For bytes of texts that start at cut[:-1]: first window, number of windows, anchor's hash, its place and content of each run."""
     n = len(data)
     if n < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    one, two = Hashes(data, 0), Hashes(data, 1)
-    grams = one.every(GRAM)
+    hashes = Hashes(data, 0)
+    grams = hashes.every(GRAM)
     at = sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1) & PLACE
     at = at.astype(np.int64)
     owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
@@ -93,8 +99,7 @@ def runs(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     last = np.append(start[1:], n - LENGTH + 1) - 1
     last = np.minimum(last, cut[owner[start] + 1] - LENGTH)
-    end = last + LENGTH
-    return start, last - start + 1, grams[at[start]], one.of(start, end), two.of(start, end)
+    return start, last - start + 1, grams[at[start]], at[start], hashes.of(start, last + LENGTH)
 
 
 def _chunks(at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -115,28 +120,87 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = bytes_of(batch.column("text"))
         ids, keys = batch.column("doc_id"), batch.column("key")
         for first, offset, cut in _chunks(at):
-            start, count, anchor, one, two = runs(data[cut[0] : cut[-1]], cut - cut[0])
+            start, count, anchor, _, content = runs(data[cut[0] : cut[-1]], cut - cut[0])
             if not len(start):
                 continue
             text = np.searchsorted(cut - cut[0], start, "right") - 1
             row = pa.array(first + text)
             place = start - (cut - cut[0])[text] + offset
-            yield pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (anchor, one, two))], names=["doc_id", "key", "start", "windows", "anchor", "one", "two"])
+            yield pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (anchor, content))], names=["doc_id", "key", "start", "windows", "anchor", "content"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the listed runs; a run's last few fields tell whether it is the only one with its content."""
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] numbers for each i, end to end."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each struct in a column of lists, and the structs' fields."""
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
+def _slices(count: np.ndarray) -> Iterator[slice]:
+    """Neighbours whose counts add up to about CHUNK bytes."""
+    part = (np.cumsum(count) - 1) // CHUNK
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, b in zip(at, [*at[1:], len(part)]):
+        yield slice(int(a), int(b))
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed runs."""
     for batch in batches:
         data, at = bytes_of(batch.column("text"))
-        ids, keys = batch.column("doc_id"), batch.column("key")
-        for row, own in enumerate(batch.column("runs").to_pylist()):
-            text = data[at[row] : at[row + 1]]
-            for run in own:
-                part = text[run["start"] : run["start"] + run["windows"] + LENGTH - 1]
-                n = run["windows"]
-                where = pa.array(np.full(n, row))
-                places = np.arange(run["start"], run["start"] + n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([ids.take(where), keys.take(where), pa.array(places), pa.array(np.full(n, run["alone"])), *(pa.array(Hashes(part, k).every(LENGTH).view(np.int64)) for k in (0, 1))], names=["doc_id", "key", "start", "alone", "one", "two"])
+        row, run = _listed(batch.column("runs"))
+        size = run["windows"].astype(np.int64) + LENGTH - 1
+        for part in _slices(size):
+            raw = data[_ragged(at[row[part]] + run["start"][part], size[part])]
+            offsets = np.append(0, np.cumsum(size[part])).astype(np.int32)
+            piece = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            where = pa.array(row[part])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("key").take(where), pa.array(run["start"][part]), pa.array(run["alone"][part]), piece], names=["doc_id", "key", "run", "alone", "piece"])
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a run's windows: those at distances STEP * block and up to STEP - 1 more from the anchor."""
+    for batch in batches:
+        data, at = bytes_of(batch.column("piece"))
+        begin = batch.column("run").to_numpy()
+        for rows in _slices(np.diff(at)):
+            cut = at[rows.start : rows.stop + 1] - at[rows.start]
+            raw = data[at[rows.start] : at[rows.stop]]
+            start, count, _, anchor, _ = runs(raw, cut)
+            piece = np.searchsorted(cut, start, "right") - 1
+            far, near = anchor - start, anchor - start - count + 1
+            blocks = far // STEP - near // STEP + 1
+            of = np.repeat(np.arange(len(start)), blocks)
+            block = _ragged(near // STEP, blocks)
+            high, low = np.minimum(far[of], STEP * block + STEP - 1), np.maximum(near[of], STEP * block)
+            hashes = Hashes(raw, 0)
+            middle = anchor[of] - STEP * block
+            core = _mixed(hashes.of(middle, middle + LENGTH - STEP + 1) + block.astype(np.uint64))
+            first = anchor[of] - high
+            content = hashes.of(first, anchor[of] - low + LENGTH)
+            row = piece[of] + rows.start
+            where = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("key").take(where), batch.column("run").take(where), pa.array((first - cut[piece[of]] + begin[row]).astype(np.int32)), pa.array((high - low + 1).astype(np.int32)), batch.column("alone").take(where), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))], names=["doc_id", "key", "run", "start", "windows", "alone", "core", "content"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the listed blocks."""
+    for batch in batches:
+        data, at = bytes_of(batch.column("piece"))
+        begin = batch.column("run").to_numpy()
+        row, block = _listed(batch.column("blocks"))
+        size = block["windows"].astype(np.int64) + LENGTH - 1
+        for part in _slices(size):
+            own, count = row[part], block["windows"][part].astype(np.int64)
+            raw = data[_ragged(at[own] + block["start"][part] - begin[own], size[part])]
+            place = _ragged(np.cumsum(size[part]) - size[part], count)
+            where = pa.array(np.repeat(own, count))
+            start = _ragged(block["start"][part].astype(np.int64), count).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("key").take(where), pa.array(start), pa.array(np.repeat(block["alone"][part], count)), *(pa.array(Hashes(raw, k).of(place, place + LENGTH).view(np.int64)) for k in (0, 1))], names=["doc_id", "key", "start", "alone", "one", "two"])
 
 
 def _merged(spans: list, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,24 +213,36 @@ def _merged(spans: list, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first, 0], reached[np.append(first[1:], len(pairs)) - 1]
 
 
+def _contents(rows: DataFrame, digit: str, run: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """By digit and content: how many rows and one of them; the second is those whose digit has several contents."""
+    contents = written(rows.groupBy(digit, "content").agg(F.count("*").alias("n"), F.min(F.struct(*run)).alias("run")))
+    several = contents.groupBy(digit).agg(F.count("*").alias("kinds")).where("kinds > 1").select(digit)
+    return contents.where("n > 1").select(digit, "content"), contents.join(several, digit).select("n", "run.*")
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, key, spans) of the rows with windows that recur; documents with (doc_id, key, text)."""
-    found = documents.where(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, start int, windows int, anchor long, one long, two long")
-    # First digit: anchors that occur once settle nothing. Runs that all have the same content need no further digit.
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("one").alias("low"), F.max("one").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    left = checkpointed(found.join(anchors, "anchor"))
-    # Second digit: the content of the run.
-    mixed = left.where("mixed")
-    contents = checkpointed(mixed.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "windows")).alias("run")))
-    same = mixed.join(contents.where("n > 1").select("one", "two"), ["one", "two"]).select("doc_id", "key", "start", "windows")
-    # Last digit: each window of one run of each content.
-    todo = contents.select("run.*", (F.col("n") == 1).alias("alone")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows", "alone")).alias("runs"))
+    ids = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long"
+    span = ("doc_id", "key", "start", "windows")
+    found = documents.where(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, f"{ids}, start int, windows int, anchor long, content long")
+    # Anchors that occur once settle nothing.
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    left = written(found.join(anchors, "anchor"))
+    recurring, todo = _contents(left, "anchor", span)
+    whole_runs = left.join(recurring, ["anchor", "content"]).select(*span)
+    todo = todo.select("doc_id", "key", F.struct("start", "windows", (F.col("n") == 1).alias("alone")).alias("run")).groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
     asked = documents.join(todo.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "runs")
-    windows = checkpointed(asked.mapInArrow(_window_rows, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, start int, alone boolean, one long, two long"))
+    pieces = written(asked.mapInArrow(_piece_rows, f"{ids}, run int, alone boolean, piece binary"))
+    blocks = written(pieces.mapInArrow(_block_rows, f"{ids}, run int, start int, windows int, alone boolean, core long, content long"))
+    recurring, todo = _contents(blocks, "core", ("doc_id", "key", "run", "start", "windows", "alone"))
+    whole_blocks = blocks.where("alone").join(recurring, ["core", "content"]).select(*span)
+    todo = todo.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("run").alias("r"), F.struct("start", "windows", (F.col("alone") & (F.col("n") == 1)).alias("alone")).alias("block")).groupBy("d", "k", "r").agg(F.collect_list("block").alias("blocks"))
+    # Identical rows give a piece each, which is right: their windows do recur.
+    last = pieces.join(todo, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("run") == F.col("r"))).select("doc_id", "key", "run", "piece", "blocks")
+    windows = written(last.mapInArrow(_window_rows, f"{ids}, start int, alone boolean, one long, two long"))
     again = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     single = windows.where("alone").join(again, ["one", "two"]).select("doc_id", "key", "start", F.lit(1).alias("windows"))
-    spans = left.where("not mixed").select("doc_id", "key", "start", "windows").union(same).union(single)
-    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return whole_runs.union(whole_blocks).union(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def drop_repeats(documents: DataFrame) -> DataFrame:
