@@ -216,7 +216,7 @@ def _merged(spans: list, reach: int) -> tuple[np.ndarray, np.ndarray]:
 def _contents(rows: DataFrame, digit: str, run: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """By digit and content: how many rows and one of them; the second is those whose digit has several contents."""
     contents = written(rows.groupBy(digit, "content").agg(F.count("*").alias("n"), F.min(F.struct(*run)).alias("run")))
-    several = contents.groupBy(digit).agg(F.count("*").alias("kinds")).where("kinds > 1").select(digit)
+    several = written(contents.groupBy(digit).agg(F.count("*").alias("kinds")).where("kinds > 1").select(digit))
     return contents.where("n > 1").select(digit, "content"), contents.join(several, digit).select("n", "run.*")
 
 
@@ -225,8 +225,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     ids = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long"
     span = ("doc_id", "key", "start", "windows")
     found = documents.where(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, f"{ids}, start int, windows int, anchor long, content long")
-    # Anchors that occur once settle nothing.
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Anchors that occur once settle nothing. Sums are written before a join, so that Spark can split a frequent key's rows there.
+    anchors = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     left = written(found.join(anchors, "anchor"))
     recurring, todo = _contents(left, "anchor", span)
     whole_runs = left.join(recurring, ["anchor", "content"]).select(*span)
@@ -240,7 +240,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     # Identical rows give a piece each, which is right: their windows do recur.
     last = pieces.join(todo, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("run") == F.col("r"))).select("doc_id", "key", "run", "piece", "blocks")
     windows = written(last.mapInArrow(_window_rows, f"{ids}, start int, alone boolean, one long, two long"))
-    again = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    again = written(windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"))
     single = windows.where("alone").join(again, ["one", "two"]).select("doc_id", "key", "start", F.lit(1).alias("windows"))
     return whole_runs.union(whole_blocks).union(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 

@@ -134,6 +134,22 @@ def test_repeats(spark, documents, nothing, rows, chunk, monkeypatch):
     assert repeats.drop_repeats_digests(nothing).count() == 0
 
 
+def test_repeats_with_edits(spark):
+    """Passages with edits, cuts and other surroundings: every digit has something to settle."""
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(rng.choice(list("abcde é"), n))
+    passages = [letters(n) for n in (205, 330, 900)]
+    rows = []
+    for i in range(40):
+        text = letters(int(rng.integers(0, 300))) + passages[i % 3][int(rng.integers(0, 4)) :] + letters(int(rng.integers(0, 300)))
+        if i % 4 == 0:
+            at = int(rng.integers(0, len(text)))
+            text = text[:at] + "XY" + text[at + 1 :]
+        rows.append((i, text))
+    found = repeats.drop_repeats_digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(found, *found.columns) == sorted(((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows]))), key=repr)
+
+
 def test_runs_are_content_defined():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 101, 5000).astype(np.uint8)
