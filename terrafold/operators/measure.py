@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
 
-BY_SHAPE = Window.partitionBy("shape_id").orderBy("seq")
-WHOLE = BY_SHAPE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = BY_SHAPE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+# Windows need a session, so they are made when they are used and the module imports without one.
+def by_shape() -> WindowSpec:
+    return Window.partitionBy("shape_id").orderBy("seq")
+
+
+def whole_shape() -> WindowSpec:
+    return by_shape().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far() -> WindowSpec:
+    return by_shape().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def segments(vertices: DataFrame) -> DataFrame:
     """Each vertex after the first with the one before it, the length between and the length so far."""
-    paired = vertices.select("shape_id", "seq", "lat", "lng", F.lag("lat").over(BY_SHAPE).alias("lat0"), F.lag("lng").over(BY_SHAPE).alias("lng0"))
+    paired = vertices.select("shape_id", "seq", "lat", "lng", F.lag("lat").over(by_shape()).alias("lat0"), F.lag("lng").over(by_shape()).alias("lng0"))
     measured = paired.withColumn("meters", geo.distance(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")))
-    return measured.withColumn("so_far", F.sum("meters").over(SO_FAR)).where("seq > 1")
+    return measured.withColumn("so_far", F.sum("meters").over(so_far())).where("seq > 1")
 
 
 def edges(vertices: DataFrame) -> DataFrame:
     """Each vertex with the next one, the last with the first."""
-    nxt = lambda c: F.coalesce(F.lead(c).over(BY_SHAPE), F.first(c).over(WHOLE))
-    return vertices.select("shape_id", "seq", "lat", "lng", nxt("lat").alias("lat1"), nxt("lng").alias("lng1"), F.max("seq").over(WHOLE).alias("n"))
+    nxt = lambda c: F.coalesce(F.lead(c).over(by_shape()), F.first(c).over(whole_shape()))
+    return vertices.select("shape_id", "seq", "lat", "lng", nxt("lat").alias("lat1"), nxt("lng").alias("lng1"), F.max("seq").over(whole_shape()).alias("n"))
 
 
 def projected_area(vertices: DataFrame) -> DataFrame:
     """Shoelace on Mercator coordinates relative to the first vertex, so that large terms do not cancel; fewer than three vertices: 0."""
     flat = vertices.select("shape_id", "seq", geo.mercator_x(F.col("lng")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"))
-    near = flat.select("shape_id", "seq", (F.col("x") - F.first("x").over(WHOLE)).alias("x"), (F.col("y") - F.first("y").over(WHOLE)).alias("y"))
-    nxt = lambda c: F.coalesce(F.lead(c).over(BY_SHAPE), F.first(c).over(WHOLE))
+    near = flat.select("shape_id", "seq", (F.col("x") - F.first("x").over(whole_shape())).alias("x"), (F.col("y") - F.first("y").over(whole_shape())).alias("y"))
+    nxt = lambda c: F.coalesce(F.lead(c).over(by_shape()), F.first(c).over(whole_shape()))
     crossed = near.select("shape_id", (F.col("x") * nxt("y") - nxt("x") * F.col("y")).alias("c"))
     return crossed.groupBy("shape_id").agg(F.when(F.count("*") >= 3, F.abs(F.sum("c")) / 2).otherwise(0.0).alias("area"))
 
 
 def halfway(vertices: DataFrame) -> DataFrame:
     """The point at half of a line's length. One point: that one; no length: the one at half of the count."""
-    totals = F.coalesce(F.max("so_far").over(WHOLE), F.lit(0.0))
-    paired = vertices.select("shape_id", "seq", "lat", "lng", F.lag("lat").over(BY_SHAPE).alias("lat0"), F.lag("lng").over(BY_SHAPE).alias("lng0"))
-    measured = paired.withColumn("meters", F.coalesce(geo.distance(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")), F.lit(0.0))).withColumn("so_far", F.sum("meters").over(SO_FAR))
-    whole = measured.withColumn("total", totals).withColumn("n", F.max("seq").over(WHOLE))
+    totals = F.coalesce(F.max("so_far").over(whole_shape()), F.lit(0.0))
+    paired = vertices.select("shape_id", "seq", "lat", "lng", F.lag("lat").over(by_shape()).alias("lat0"), F.lag("lng").over(by_shape()).alias("lng0"))
+    measured = paired.withColumn("meters", F.coalesce(geo.distance(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")), F.lit(0.0))).withColumn("so_far", F.sum("meters").over(so_far()))
+    whole = measured.withColumn("total", totals).withColumn("n", F.max("seq").over(whole_shape()))
     reached = whole.where(F.when(F.col("total") > 0, (F.col("meters") > 0) & (F.col("so_far") >= F.col("total") / 2)).otherwise(F.col("seq") == F.floor(F.col("n") / 2) + 1))
     share = F.when(F.col("total") > 0, (F.col("total") / 2 - (F.col("so_far") - F.col("meters"))) / F.col("meters"))
     at = lambda c: F.when(F.col("total") > 0, F.col(c + "0") + (F.col(c) - F.col(c + "0")) * share).otherwise(F.col(c))

@@ -94,7 +94,7 @@ def segment_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT shape_id, lat, lng, min(seq) AS seq FROM (SELECT *, max(seq) OVER (PARTITION BY shape_id) AS n FROM vertices) WHERE seq % 2 = 1 OR seq = n GROUP BY shape_id, lat, lng")
 def pair_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """Distinct ends of the pairs; the first wins."""
-    ends = vertices(spark, d).withColumn("n", F.max("seq").over(measure.WHOLE)).where("seq % 2 = 1 or seq = n")
+    ends = vertices(spark, d).withColumn("n", F.max("seq").over(measure.whole_shape())).where("seq % 2 = 1 or seq = n")
     return ends.groupBy("shape_id", "lat", "lng").agg(F.min("seq").alias("seq"))
 
 
