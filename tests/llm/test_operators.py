@@ -414,3 +414,33 @@ def test_toxicity_counts_add_up():
     for text, label in zip(texts, labels):
         expected[label].update(toxicity.features(np.frombuffer((text or "").encode(), np.uint8)).tolist())
     assert found == {(f, expected[0][f], expected[1][f]) for f in expected[0] | expected[1]}
+
+
+def test_language_model_reads_all_training_texts(spark, monkeypatch):
+    """More texts than a sample would hold, and a long one: ids that stand only there count and are fitted."""
+    monkeypatch.setattr(lm, "FIT_STEPS", 5)
+    ranks = lm.read_ranks(queries.vocabulary())
+    key = (queries.vocabulary(), public_tokenizers.PATTERN)
+    encoder = lm.encoder_of(key, ranks, public_tokenizers.PATTERN)
+    texts = [f"common words of text {i}" for i in range(900)] + ["giraffe " * 6000]
+    expected = Counter(i for t in texts for w in lm.words_of(t.encode()) for i in lm.word_ids(encoder, w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lexicon = rows.select("text").mapInArrow(lm._count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found, tokens, kinds = lm.id_frequencies(lexicon, ranks, public_tokenizers.PATTERN, key)
+    words = Counter(w for t in texts for w in lm.words_of(t.encode()))
+    assert (tokens, kinds) == (sum(words.values()) + 901, len(words) + 1)
+    assert {int(i): int(found[i]) for i in np.flatnonzero(found)} == expected | {len(found) - 1: 901}
+    start, p = lm.start_parameters(found), lm.train(rows, found, ranks, public_tokenizers.PATTERN, key)
+    at = p["code"][list(expected)]
+    assert (p["embed"][at] != start["embed"][at]).any(axis=1).all()
+    assert all(np.isfinite(x).all() and x.shape == start[k].shape for k, x in p.items())
+
+
+def test_language_model_scores_better_for_texts_anywhere(spark):
+    """A turn of phrase that only texts beyond any small sample hold scores better than its words the other way round."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["red", "green", "blue", "old", "new", "big"], k=30)) for _ in range(600)]
+    texts += ["left right " * 2500 for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(-1, "left right " * 10, False), (-2, "left left right right " * 5, False)], "doc_id long, text string, train boolean").repartition(2)
+    found = {r["doc_id"]: r["score"] for r in lm.score(docs, F.col("train"), queries.vocabulary(), public_tokenizers.PATTERN).where("held_out").collect()}
+    assert found[-1] > found[-2] + 1
