@@ -49,17 +49,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each document."""
+def fingerprints(documents: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, fp) for each document, with its other columns that are named."""
+    kept = ("doc_id", *others)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = bytes_of(batch.column("text"))
             found = np.array([fingerprint(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found.view(np.int64))], names=[*kept, "fp"])
 
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(apply, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = documents.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(apply, ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in kept) + ", fp long")
 
 
 def _signed(x: int) -> int:
@@ -196,3 +197,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = classes.select("fp", "root").join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(documents: DataFrame, key: str) -> DataFrame:
+    """(doc_id, key) of one document of each component: the smallest id, nulls last, of equals the smallest key. key: a column that tells rows with one id apart."""
+    rows = checkpointed(fingerprints(documents, key))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key))
+    classes = rows.groupBy("fp").agg(first.alias("first"))
+    roots = components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    named = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return named.select("first.doc_id", f"first.{key}")
