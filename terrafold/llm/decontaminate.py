@@ -1,11 +1,13 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
 Texts are words (runs of letters and digits, lower-cased). A first pass over all documents counts, in how
-many of them each n-gram of the test items occurs. In every stretch of STRETCH n-grams of an item, the
-rarest is its seed there: however common a leaked passage is, each part of it keeps a seed. A second pass
-finds the seeds in the documents; where some meet an item on about one diagonal, the passage around is
-aligned with the whole item (word by word: match +2, mismatch -1, gap -1), and the item counts as
-leaked if the alignment scores at least LEAST of what the whole item scores with itself.
+many of them each n-gram of the test items occurs. Seeds are all n-grams that occur in at most COMMON of
+the documents (or in COMMON_ROWS), and in every stretch of STRETCH n-grams of an item the rarest of those
+that occur: an edited copy meets on whatever it kept, and however common a passage is, each part of it
+keeps a seed. A second pass finds the seeds in the documents; where some meet an item on about one diagonal
+and enough of its words are near for the score, the passage around is aligned with the whole item (word by
+word: match +2, mismatch -1, gap -1), and the item counts as leaked if the alignment scores at least LEAST
+of what the whole item scores with itself, or LONG.
 
 Items go to the tasks by broadcast, BLOCK_WORDS words of them at a time, so the bound holds for any number
 of items; further blocks repeat both passes.
@@ -19,7 +21,7 @@ null item ids are kept as null; other columns are left out.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import row_key
 
 N, STRETCH, LEAST = 3, 3, 0.5
+COMMON, COMMON_ROWS = 0.01, 1000
+#: The score of 50 equal words, which leak from an item of any length.
+LONG = 100
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -50,6 +55,7 @@ class Items:
         self.gram = grams
         self.firsts = {g[0] for g in grams}
         self.lengths = sorted({len(g) for g in grams}, reverse=True)
+        self.bags = [Counter(w.tolist()) for w in self.words]
 
     @staticmethod
     def n(words: np.ndarray) -> int:
@@ -70,13 +76,16 @@ class Items:
                         yield i, g
 
 
-def seeds_of(items: Items, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """gram: (item, place) of each seed."""
+def seeds_of(items: Items, counts: dict[int, int], common: int = COMMON_ROWS) -> dict[int, list[tuple[int, int]]]:
+    """gram: (item, place) of each seed. counts: of the grams that occur; those up to common are seeds anywhere."""
     seeds = defaultdict(list)
     for item, grams in enumerate(items.grams):
         for a in range(0, len(grams), STRETCH):
-            place = min(range(a, min(a + STRETCH, len(grams))), key=lambda p: (counts.get(grams[p], 0), p))
-            seeds[grams[place]].append((item, place))
+            there = [p for p in range(a, min(a + STRETCH, len(grams))) if counts.get(grams[p], 0)]
+            rarest = min(there, key=lambda p: (counts[grams[p]], p), default=None)
+            for p in there:
+                if p == rarest or counts[grams[p]] <= common:
+                    seeds[grams[p]].append((item, p))
     return dict(seeds)
 
 
@@ -118,6 +127,7 @@ def leaks(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str, leas
     for item, offsets in met.items():
         words = items.words[item]
         reach = len(words) // 2 + 2
+        enough = min(least * MATCH * len(words), LONG)
         offsets.sort()
         best, at = None, 0
         while at < len(offsets):
@@ -126,10 +136,12 @@ def leaks(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str, leas
             while end + 1 < len(offsets) and offsets[end + 1] - offsets[end] <= reach:
                 end += 1
             low, high = max(0, offsets[at] - reach), min(len(array), offsets[end] + len(words) + reach)
-            score, a, b = align(words, array[low:high])
-            share = score / (MATCH * len(words))
-            if share >= least and (best is None or share > best[0]):
-                best = (share, low + a, low + b, end - at + 1)
+            # No alignment scores more than all words that both hold.
+            if MATCH * (items.bags[item] & Counter(numbers[low:high])).total() >= enough:
+                score, a, b = align(words, array[low:high])
+                share = score / (MATCH * len(words))
+                if score >= enough and (best is None or share > best[0]):
+                    best = (share, low + a, low + b, end - at + 1)
             at = end + 1
         if best:
             out.append((item, *best))
@@ -161,16 +173,18 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            counts = np.zeros(len(items.gram), np.int64)
+            counts = np.zeros(len(items.gram) + 1, np.int64)
             for batch in batches:
+                counts[-1] += batch.num_rows
                 for text in batch.column("text"):
                     counts[list({g for _, g in items.hits(items.read(text.as_py()))})] += 1
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["gram", "n"])
 
-        # A row for each n-gram of the block at most.
+        # A row for each n-gram of the block at most, and one for the number of documents.
         counts = {r[0]: r[1] for r in rows.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect()}
-        seeds = spark.sparkContext.broadcast(seeds_of(shared.value, counts))
+        common = max(COMMON_ROWS, int(COMMON * counts.pop(len(shared.value.gram), 0)))
+        seeds = spark.sparkContext.broadcast(seeds_of(shared.value, counts, common))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared, seeds=seeds, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -252,6 +252,22 @@ def test_decontamination_blocks_agree(spark, monkeypatch):
     assert collected(decontaminate.find_leaks(docs, benchmark), "doc_id", "item_id", "score") == whole and len(whole) == 7
 
 
+def test_decontamination_seeds_only_what_occurs(spark):
+    """Every 4th or 5th word changed, beside the item's own copy elsewhere or not: whatever n-grams are left are seeds."""
+    other = lambda i, step: " ".join(w if (k + 1) % step else f"changed{k}" for k, w in enumerate(passage(1000 + i, 40).split()))
+    benchmark = spark.createDataFrame([(i, passage(1000 + i, 40)) for i in range(12)], "item_id long, text string")
+    rows = [(i, f"{passage(i)} {other(i, 4 + i % 2)} {passage(i + 1)}") for i in range(12)] + [(100 + i, passage(1000 + i, 40)) for i in range(0, 12, 3)]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert collected(found, "doc_id", "item_id") == sorted([(i, i) for i in range(12)] + [(100 + i, i) for i in range(0, 12, 3)], key=repr)
+
+
+def test_decontamination_of_a_part_of_a_long_item(spark):
+    whole = passage(3000, 300).split()
+    benchmark = spark.createDataFrame([(1, " ".join(whole))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([passage(1), *whole[100:160], passage(2)])), (2, " ".join([passage(3), *whole[100:130], passage(4)]))], "doc_id long, text string")
+    assert collected(decontaminate.find_leaks(docs, benchmark), "doc_id", "item_id") == [(1, 1)]
+
+
 def test_alignment():
     score = lambda a, b: decontaminate.align(np.array(a), np.array(b))
     assert score([1, 2, 3, 4], [9, 1, 2, 3, 4, 9]) == (8, 1, 5)
