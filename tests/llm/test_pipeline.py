@@ -1,5 +1,7 @@
 """Stages of the pipeline on small awkward tables."""
 
+import random
+
 import corpus_pipeline
 from tests.llm.conftest import passage
 
@@ -19,3 +21,23 @@ def test_ids_do_not_decide_which_texts_go(spark, data):
     expected = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (None, texts[5]), (8, None)]
     assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted(expected, key=repr)
     assert corpus_pipeline.drop_near_duplicates(spark, rows_of(spark, pairs).limit(0), data).count() == 0
+
+
+def test_near_copies_by_jaccard(spark, data):
+    """Of a text and its copy with words changed, one stays from similarity 0.8 on, both below; large groups of near copies leave one."""
+    rng = random.Random(11)
+    pairs, sets = [], {}
+    for k in range(150):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+        copy = [f"x{rng.randrange(10**6)}" if rng.random() < 0.012 * (k % 4) else w for w in words]
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    base = passage(5, 200).split()
+    pairs += [(1000 + k, " ".join([*base[:k], f"edit{k}", *base[k + 1 :]])) for k in range(100)]
+    for i, text in pairs:
+        w = text.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    found = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows_of(spark, pairs), data).collect()}
+    expected = {2 * k for k in range(150)} | {2 * k + 1 for k in range(150) if jaccard(2 * k, 2 * k + 1) < 0.8} | {1000}
+    assert 20 < sum(0.8 <= jaccard(2 * k, 2 * k + 1) < 0.95 for k in range(150))
+    assert found == expected
