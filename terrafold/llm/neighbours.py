@@ -7,8 +7,9 @@ searches its own shard, leaf by leaf in order of projected distance, and checks
 way. It stops once what is left is so far in projection that, by the chi-square test at CONFIDENCE, it
 cannot hide a nearer vector. The other shards that this test does not rule out are searched the same way.
 
-Of equal vectors only the k + 1 smallest ids can be among any query's k nearest, so only these are
-indexed: exact, and it keeps a vector that a third of all rows share out of any single task.
+Of equal vectors with one id only k rows can be among a query's k nearest, and of what is left, with the
+query's own id left out, only the 2 k smallest ids; so only these are indexed: exact, also with repeated
+ids, and it keeps a vector that a third of all rows share out of any single task.
 
 Defined results: vectors null, empty, zero or with null or non-finite components take no part, nor do
 those whose length is not the most common (smallest of equals); a query id that occurs twice asks once,
@@ -132,7 +133,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
     rows = rows.where(F.size("embedding") == size)
     project = directions(size)
     factor = chi_square(DIMENSIONS, confidence)
-    indexed = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1).select("vec_id", "embedding")
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
+    indexed = few.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= 2 * k).select("vec_id", "embedding")
     sample = rows.select("embedding").orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE_ROWS).toArrow()
     shadows = _matrix(sample.column("embedding")) @ project
     shards = max(1, min(-(-n // SHARD_ROWS), SAMPLE_ROWS // 8))

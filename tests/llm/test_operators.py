@@ -224,6 +224,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """A query whose id is repeated with one vector, as its smallest id or between others, finds the others at distance 0."""
+    ids = [0] * 15 + [1] + [5] * 15 + list(range(7, 20))
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "vec_id long, embedding array<float>")
+    found = collected(neighbours.nearest(df, F.col("vec_id").isin(0, 5, 9), k=3), "query_id", "rank", "vec_id", "score")
+    assert found == sorted([(q, n + 1, v, 0.0) for q, near in ((0, (1, 5, 5)), (5, (0, 0, 0)), (9, (0, 0, 0))) for n, v in enumerate(near)], key=repr)
+    rest = collected(neighbours.nearest(df.where("vec_id in (1, 5, 7, 8)"), F.col("vec_id") == 5, k=3), "vec_id")
+    assert rest == [(1,), (7,), (8,)]
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
