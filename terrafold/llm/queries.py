@@ -52,7 +52,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2, vocabulary(), public_tokenizers.PATTERN)
+    return lm.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2, vocabulary())
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
