@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrafold.functions.text import fixed
+from terrafold.functions.text import fixed, rounded
 
 #: Sphere of distances, sphere of the projection, its latitude limit, tile zoom limit.
 SPHERE, MERCATOR, LATITUDE, ZOOM = 6371000.0, 6378137.0, 85.0511287798, 19
@@ -71,12 +71,23 @@ def parsed_pair(x: Column) -> Column:
     return F.when(ok & lat.isNotNull() & lng.isNotNull(), F.struct(lat.alias("lat"), lng.alias("lng")))
 
 
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def distance_label(m: Column) -> Column:
-    return F.when(m >= 1000, F.concat(fixed(m / 1000, 2), F.lit(" km"))).when(m >= 100, F.concat(fixed(m, 0), F.lit(" m"))).when(m.isNotNull() & ~F.isnan(m), F.concat(fixed(m, 1), F.lit(" m"))).otherwise("-")
+    """What is not finite is a dash."""
+    return F.when(~finite(m), "-").when(m >= 1000, F.concat(fixed(m / 1000, 2), F.lit(" km"))).when(m >= 100, F.concat(rounded(m), F.lit(" m"))).otherwise(F.concat(fixed(m, 1), F.lit(" m")))
 
 
 def area_label(a: Column) -> Column:
-    return F.when(a >= 1e6, F.concat(fixed(a / 1e6, 2), F.lit(" km²"))).when(a.isNotNull() & ~F.isnan(a), F.concat(fixed(a, 0), F.lit(" m²"))).otherwise("-")
+    """What is not finite is a dash."""
+    return F.when(~finite(a), "-").when(a >= 1e6, F.concat(fixed(a / 1e6, 2), F.lit(" km²"))).otherwise(F.concat(rounded(a), F.lit(" m²")))
+
+
+def usable_radius(x: Column) -> Column:
+    """A circle's radius: finite and above 0, else null."""
+    return F.when(finite(x) & (x > 0), x)
 
 
 def circle_area(radius: Column) -> Column:
@@ -86,3 +97,11 @@ def circle_area(radius: Column) -> Column:
 def open_ring(v: Column) -> Column:
     """An array of vertices without a last one that repeats the first."""
     return F.when((F.size(v) >= 2) & (F.get(v, F.lit(0)) == F.element_at(v, -1)), F.slice(v, 1, F.size(v) - 1)).otherwise(v)
+
+
+def first_ring(kind: Column, coordinates: Column) -> Column:
+    """The [lng, lat] points of a GeoJSON line, or of the first ring of a polygon or of the first of several polygons; coordinates as JSON text."""
+    ring = F.from_json(F.when(kind == "Polygon", coordinates), "array<array<array<double>>>")
+    several = F.from_json(F.when(kind == "MultiPolygon", coordinates), "array<array<array<array<double>>>>")
+    line = F.from_json(F.when(kind == "LineString", coordinates), "array<array<double>>")
+    return F.coalesce(line, F.get(ring, F.lit(0)), F.get(F.get(several, F.lit(0)), F.lit(0)))

@@ -6,12 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
 
+def trimmed(x: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.btrim(x, F.lit(WHITE))
+
+
 def like_pattern(term: str) -> str:
     """The regular expression of a search term: its first character is literal, later % and _ are wildcards, a later
     backslash makes what follows literal and, at the end, asks for a literal % at the end of the text."""
@@ -34,11 +41,16 @@ def matches(x: Column, term: str) -> Column:
 
 
 def blank_to_null(x: Column) -> Column:
-    return F.nullif(F.trim(x), F.lit(""))
+    return F.nullif(trimmed(x), F.lit(""))
 
 
 def name_error(x: Column, most: int = 80) -> Column:
-    return F.coalesce(F.char_length(F.trim(x)) > most, F.lit(False))
+    return F.coalesce(F.char_length(trimmed(x)) > most, F.lit(False))
+
+
+def password_ok(x: Column) -> Column:
+    """At least 8 code points, white space included."""
+    return F.coalesce(F.char_length(x) >= 8, F.lit(False))
 
 
 def share_password_ok(x: Column) -> Column:
@@ -47,23 +59,27 @@ def share_password_ok(x: Column) -> Column:
 
 
 def export_name(x: Column, default: str = "export") -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(x, r'[\x00-\x1f\x7f<>:"/\\|?*]', "_"), r"^[ .]+|[ .]+$", "")
+    cleaned = F.regexp_replace(F.regexp_replace(x, r'[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', "_"), r"^[ .]+|[ .]+$", "")
     named = F.when(F.coalesce(cleaned, F.lit("")) == "", F.lit(default)).otherwise(cleaned)
     return F.when(F.endswith(ascii_lower(named), F.lit(".json")), named).otherwise(F.concat(named, F.lit(".json")))
 
 
 def base_name(x: Column) -> Column:
-    """The last path part; null if the path climbs."""
-    return F.when(~F.contains(x, F.lit("..")), F.element_at(F.split(x, "/"), -1))
+    """The last path part; null if that holds two dots in a row or a backslash."""
+    last = F.element_at(F.split(x, "/"), -1)
+    return F.when(~last.contains("..") & ~last.contains("\\"), last)
 
 
 def extension(x: Column) -> Column:
-    return F.regexp_extract(x, r"\.([^.]*)$", 1)
+    """What follows the last dot of the last path part; none if nothing stands before that dot."""
+    return F.regexp_extract(x, r"[^/]\.([^./]*)$", 1)
 
 
-#: The endings that may be uploaded, exact in case, and content types.
+#: The endings that may be uploaded and their content types, exact in case; the kinds a browser may send.
 ALLOWED = ("png", "PNG", "jpg", "JPG", "jpeg", "JPEG", "gif", "GIF", "webp", "WEBP", "pdf", "mp4", "MP4")
-CONTENT_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "pdf": "application/pdf", "mp4": "video/mp4"}
+CONTENT_TYPES = {"jpg": "image/jpeg", "JPG": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "PNG": "image/png", "gif": "image/gif", "GIF": "image/gif", "webp": "image/webp", "WEBP": "image/webp", "mp4": "video/mp4", "MP4": "video/mp4", "pdf": "application/pdf"}
+MIME_TYPES = ("image/jpeg", "image/png", "image/webp", "image/gif", "video/mp4", "application/pdf")
+DOWNLOADS = ("pdf", "zip", "png", "jpg", "jpeg", "gif", "txt", "csv", "mp4", "mp3")
 
 
 def upload_allowed(x: Column) -> Column:
@@ -72,7 +88,28 @@ def upload_allowed(x: Column) -> Column:
 
 def content_type(x: Column) -> Column:
     kinds = F.create_map(*(F.lit(v) for kv in CONTENT_TYPES.items() for v in kv))
-    return F.coalesce(F.element_at(kinds, F.lower(extension(x))), F.lit("application/octet-stream"))
+    return F.coalesce(F.element_at(kinds, extension(x)), F.lit("application/octet-stream"))
+
+
+def mime_allowed(x: Column) -> Column:
+    return x.isin(*MIME_TYPES)
+
+
+def ends_in(x: Column, *endings: str) -> Column:
+    """Whether x ends in a dot and one of the endings, whatever their case."""
+    return x.rlike(rf"(?i)\.(?:{'|'.join(endings)})\z")
+
+
+def is_mp4(x: Column) -> Column:
+    return ends_in(x, "mp4")
+
+
+def is_pdf(x: Column) -> Column:
+    return ends_in(x, "pdf")
+
+
+def is_download(href: Column) -> Column:
+    return ends_in(href, *DOWNLOADS)
 
 
 def storage_path(x: Column, thumb: bool = False) -> Column:
@@ -92,23 +129,44 @@ def colour(x: Column, fallback: str = "#d94841") -> Column:
 
 
 def host(url: Column) -> Column:
-    return ascii_lower(F.regexp_extract(url, "^[A-Za-z]+://([^/?#:]*)", 1))
+    return ascii_lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)", 1))
+
+
+#: The hosts whose links name a video.
+VIDEO_HOSTS = ("www.youtube.com", "youtube.com", "m.youtube.com", "youtu.be", "www.youtube-nocookie.com")
 
 
 def youtube_id(url: Column) -> Column:
     """Of short, watch, shorts and embed links on the hosts known; else null."""
-    short = F.when(host(url) == "youtu.be", F.regexp_extract(url, "^[a-z]+://[^/]*/([A-Za-z0-9_-]{11})(?:[?#/]|$)", 1))
-    wide = F.when(host(url).isin("youtube.com", "www.youtube.com", "m.youtube.com"), F.coalesce(F.nullif(F.regexp_extract(url, "^[a-z]+://[^/]*/(?:shorts|embed)/([A-Za-z0-9_-]{11})(?:[?#/]|$)", 1), F.lit("")), F.regexp_extract(url, "^[a-z]+://[^/]*/watch[?](?:[^#]*&)?v=([A-Za-z0-9_-]{11})(?:[&#]|$)", 1)))
+    path = F.regexp_extract(url, "^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    short = F.when(host(url) == "youtu.be", F.regexp_extract(path, r"^/([A-Za-z0-9_-]{11})\z", 1))
+    inner = F.regexp_extract(path, r"^/(?:shorts|embed)/([A-Za-z0-9_-]{11})(?:/|\z)", 1)
+    first = F.regexp_extract(F.regexp_extract(url, "^[^?#]*[?]([^#]*)", 1), "(?:^|&)v=([^&]*)", 1)
+    watched = F.when(path == "/watch", F.regexp_extract(first, r"^([A-Za-z0-9_-]{11})\z", 1))
+    wide = F.when(host(url).isin(*(h for h in VIDEO_HOSTS if h != "youtu.be")), F.coalesce(watched, inner))
     return F.nullif(F.coalesce(short, wide), F.lit(""))
 
 
 def is_localhost(url: Column) -> Column:
-    return host(url).isin("localhost", "127.0.0.1")
+    return host(url).isin("localhost", "127.0.0.1", "[::1]")
+
+
+def link_kind(url: Column) -> Column:
+    """What a link is shown as: a PDF if it ends in .pdf and is local or relative; other http links are external."""
+    external = url.rlike("^https?://")
+    return F.when(is_pdf(url) & (~external | is_localhost(url)), "pdf").when(external, "external").otherwise("internal")
 
 
-def link_kind(url: Column, own_host: str) -> Column:
-    path = ascii_lower(F.regexp_extract(url, "^([^?#]*)", 1))
-    return F.when(F.endswith(path, F.lit(".pdf")), "pdf").when(youtube_id(url).isNotNull(), "video").when(host(url) == own_host, "internal").otherwise("external")
+def link_opening(kind: Column, url: Column, installed: Column) -> Column:
+    """The start of a link's element: external links and PDFs open a new tab; an installed app downloads PDFs instead."""
+    tab = lambda title: F.lit(f'<a target="_blank" rel="noopener noreferrer" title="{title}" ')
+    saved = F.concat(F.lit('<a href="#" title="PDFダウンロードリンク" onclick="downloadFile(\''), url, F.lit("')\""))
+    return F.when((kind == "pdf") & installed, saved).when(kind == "pdf", tab("PDFリンク")).when(kind == "external", tab("外部リンク")).otherwise("<a ")
+
+
+def absolute_url(protocol: Column, hostname: Column, port: Column, path: Column) -> Column:
+    """protocol with its colon; an empty port is left out with its colon."""
+    return F.concat(protocol, F.lit("//"), hostname, F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port)), path)
 
 
 def thumb_link(x: Column) -> Column:
@@ -125,15 +183,30 @@ def youtube_frames(x: Column) -> Column:
     return F.regexp_replace(x, r'<app-youtube src="([^"]*)"></app-youtube>', '<iframe src="$1"></iframe>')
 
 
+#: The elements that may stay, with the attributes that may stay on each.
+ELEMENTS = {
+    "h1": ("id", "class"), "h2": ("id", "class"), "h3": ("id",), "h4": ("id",), "h5": ("id",), "h6": ("id",), "pre": ("class",), "a": ("target", "rel", "href", "title", "onclick"),
+    "img": ("src", "alt", "onclick"), "video": ("src", "controls", "preload", "poster"), "p": (), "div": ("class",), "span": (), "li": (), "strong": (), "ul": (), "ol": (),
+    "blockquote": (), "code": (), "table": (), "tbody": (), "th": (), "td": (), "tr": (), "details": ("class",), "summary": (), "app-youtube": ("video-id", "data-src"),
+}
+
+
 def strip_html(x: Column) -> Column:
-    """Without scripts, with their bodies, frames and any tag that is not on a short list."""
-    x = F.regexp_replace(x, r"(?is)<(script|style|iframe)\b[^>]*>.*?</\1\s*>", "")
-    return F.regexp_replace(x, r"(?i)</?(?!(?:a|b|i|p|em|strong|ul|ol|li|h[1-6]|br|code|pre|blockquote|img|video)\b)[a-z][^>]*>", "")
+    """Scripts go with their bodies and other elements that are not on the list without theirs; a frame's tags become a
+    notice; of the elements on the list only the attributes that are listed for each stay, values in double quotes."""
+    x = F.regexp_replace(x, r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", "")
+    x = F.regexp_replace(x, r"(?i)</?iframe\b[^>]*>", "Not Allow iframe ")
+    x = F.regexp_replace(x, rf"(?i)</?(?!(?:{'|'.join(ELEMENTS)})[\s/>])[a-z][^>]*>", "")
+    # What is not listed goes first, attribute by attribute, each where the last one ended.
+    for names in sorted({v for v in ELEMENTS.values()}):
+        tags = "|".join(sorted((k for k, v in ELEMENTS.items() if v == names), key=len, reverse=True))
+        kept = rf"(?:{'|'.join(names)})\s*=" if names else "(?!)"
+        x = F.regexp_replace(x, rf"""(?i)(<(?:{tags})(?=[\s/])|\G(?!^))((?:\s+{kept}\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))*)\s+(?!{kept})[^\s=>"'/]+(?:\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))?""", "$1$2")
+    return x
 
 
 def embed_text(filename: Column, link: Column) -> Column:
-    kind = content_type(filename)
-    return F.when(F.startswith(kind, F.lit("video/")), F.format_string("?[%s](%s)", filename, link)).when(kind == "application/pdf", F.format_string("[%s](%s)", filename, link)).otherwise(F.format_string("![%s](%s)", filename, link))
+    return F.when(is_mp4(filename), F.format_string("?[%s](%s)", filename, link)).when(is_pdf(filename), F.format_string("[%s](%s)", filename, link)).otherwise(F.format_string("![%s](%s)", filename, link))
 
 
 def title_and_body(title: Column, detail: Column) -> Column:
@@ -142,15 +215,24 @@ def title_and_body(title: Column, detail: Column) -> Column:
 
 
 def cookies(x: Column) -> Column:
-    """k=v pairs, those with exactly one equals sign, as a map; the last of a key wins."""
-    halves = F.transform(F.split(x, ";"), lambda p: F.split(F.trim(p), "="))
-    pairs = F.filter(halves, lambda p: F.size(p) == 2)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q[0] == p[0]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p[0], p[1])))
-
-
-def max_age(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?i)(?:^|[,\s])max-age=(\d+)", 1).try_cast("bigint")
+    """k=v pairs, those with exactly one equals sign, as a map; white space around both goes, the first of a key wins."""
+    pairs = F.filter(F.transform(F.split(x, ";"), lambda p: F.transform(F.split(p, "="), trimmed)), lambda p: F.size(p) == 2)
+    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q[0] == p[0]))
+    return F.map_from_entries(F.transform(first, lambda p: F.struct(p[0], p[1])))
+
+
+def cache_control(x: Column) -> Column:
+    """(kind, max_age, header, error) of a setting; what is no kind known, and a bad age, is an error and has no kind."""
+    low = F.lower(trimmed(x))
+    private = F.startswith(low, F.lit("private"))
+    told = F.when(private & low.contains("max-age="), F.regexp_extract(low, "(?s)max-age=(.*)$", 1))
+    age = F.when(told.rlike(r"^\+?[0-9]+\z"), told.try_cast("decimal(20,0)"))
+    age = F.when(age <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), age)
+    bad = told.isNotNull() & age.isNull()
+    kind = F.when(low.isin("public", "no-store", "no-cache"), low).when(private & ~bad, "private")
+    header = F.when(age.isNotNull(), F.concat(F.lit("private, max-age="), age.cast("string"))).otherwise(kind)
+    error = F.when(bad, "Invalid max-age value").when(kind.isNull(), F.concat(F.lit("Unknown cache control: "), x))
+    return F.struct(kind.alias("kind"), age.alias("max_age"), header.alias("header"), error.alias("error"))
 
 
 def with_port(x: Column, port: int = 80) -> Column:
@@ -158,12 +240,26 @@ def with_port(x: Column, port: int = 80) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """Half up, as text with so many places."""
-    scaled = F.floor(F.abs(x) * 10**places + F.lit(0.5)).cast("bigint")
-    digits = F.when(F.length(scaled.cast("string")) > places, scaled.cast("string")).otherwise(F.lpad(scaled.cast("string"), places + 1, "0"))
+    """The finite number x, below 10 ** (18 - places), with so many places, rounded by its exact value; of two equally near texts the one further from 0.
+
+    The product of x and the power of ten is taken as two doubles whose sum is exact."""
+    a, power = F.abs(x), float(10**places)
+    product = a * power
+    split = a * 134217729.0
+    high = split - (split - a)
+    error = (high * power - product) + (a - high) * power
+    whole = F.floor(product)
+    scaled = (whole + F.when((product - whole) + error >= 0.5, 1).otherwise(0)).cast("bigint")
+    digits = F.lpad(scaled.cast("string"), F.greatest(F.length(scaled.cast("string")), F.lit(places + 1)), F.lit("0"))
     n = F.length(digits)
     text = digits if places == 0 else F.concat(F.substr(digits, F.lit(1), n - places), F.lit("."), F.substr(digits, n - places + 1, F.lit(places)))
-    return F.concat(F.when((x < 0) & (scaled > 0), "-").otherwise(""), text)
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
+
+
+def rounded(x: Column) -> Column:
+    """The nearest whole number as text; of two equally near the larger."""
+    whole = F.floor(x)
+    return (whole + F.when(x - whole >= 0.5, 1).otherwise(0)).cast("bigint").cast("string")
 
 
 def file_size(x: Column) -> Column:

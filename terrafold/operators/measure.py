@@ -60,3 +60,15 @@ def pair_groups(vertices: DataFrame) -> DataFrame:
     grouped = segments(vertices).withColumn("pair", F.floor((F.col("seq") - 2) / 2))
     fine = F.when(F.isnan("meters"), 0.0).otherwise(F.coalesce("meters", F.lit(0.0)))
     return grouped.groupBy("shape_id", "pair").agg(F.sum(fine).alias("meters"), F.max("seq").alias("last_seq"))
+
+
+def group_centres(vertices: DataFrame) -> DataFrame:
+    """The point at half of the length of each two segments in a row; without length the middle of the first."""
+    groups = segments(vertices).withColumn("pair", F.floor((F.col("seq") - 2) / 2))
+    inside = Window.partitionBy("shape_id", "pair").orderBy("seq")
+    run = groups.withColumn("reached", F.sum("meters").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("meters").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    half = F.col("total") / 2
+    share = F.when(F.col("total") <= 0, 0.5).when(F.col("meters") > 0, (half - (F.col("reached") - F.col("meters"))) / F.col("meters")).otherwise(0.0)
+    at = lambda c: (F.col(c + "0") + (F.col(c) - F.col(c + "0")) * share).alias(c)
+    hit = run.where((F.col("total") <= 0) | (F.col("reached") >= half))
+    return hit.groupBy("shape_id", "pair").agg(F.min(F.struct("seq", at("lat"), at("lng"))).alias("p")).select("shape_id", "pair", "p.lat", "p.lng")

@@ -10,6 +10,16 @@ def insert(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new)
 
 
+def insert_returning(rows: DataFrame, new: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The table after, and the keys of what was inserted."""
+    return insert(rows, new), new.select(*keys)
+
+
+def update_returning(rows: DataFrame, where: Column, values: dict[str, Column], *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The table after, and the keys of what was hit, as they stood before."""
+    return update(rows, where, values), rows.where(where).select(*keys)
+
+
 def update(rows: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
     hit = F.coalesce(where, F.lit(False))
     return rows.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in values.items()})

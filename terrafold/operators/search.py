@@ -13,10 +13,12 @@ from terrafold.functions.text import matches
 def in_scope(rows: DataFrame, layers: DataFrame, user: object, layer: object) -> DataFrame:
     """The user's rows of the layer, or all of them if it is the user's master layer. An unknown layer is no master.
 
-    The one layer row is looked up in the plan itself; the user's filter reaches the scan."""
-    master = layers.where((F.col("id") == layer) & (F.col("user_id") == user)).agg(F.coalesce(F.max("is_master"), F.lit(False)).alias("_master"))
+    Filters by user and layer reach the scan of the layer's rows. The other layers' rows meet the one master row, if there
+    is one; where there is none, adaptive execution drops their scan."""
     own = rows.where(F.col("user_id") == user)
-    return own.join(F.broadcast(master)).where(F.col("_master") | (F.col("layer_id") == layer)).drop("_master")
+    master = layers.where((F.col("id") == layer) & (F.col("user_id") == user) & F.col("is_master")).select(F.col("user_id").alias("_owner")).distinct()
+    others = own.where(~F.coalesce(F.col("layer_id") == layer, F.lit(False)))
+    return own.where(F.col("layer_id") == layer).union(others.join(F.broadcast(master), F.col("user_id") == F.col("_owner"), "left_semi"))
 
 
 def search(markers: DataFrame, terms: list[str], columns: tuple[str, ...] = ("marker_name", "detail")) -> DataFrame:

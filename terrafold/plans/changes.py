@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import blank_to_null, name_error
+from terrafold.functions.times import plus_minutes
 from terrafold.operators import mutations as change
 from terrafold.plans.registry import query
+from terrafold.sources.packages import SHAPE_KINDS
 from terrafold.sources.tables import images, layers, markers, shapes, shares, users
 
 M = "id, user_id, layer_id, marker_name, latitude, longitude, detail"
 
 
-@query(f"SELECT {M} FROM markers UNION ALL SELECT 0, 1, 6, '', CAST(35.681236 AS DOUBLE), CAST(139.767125 AS DOUBLE), ''")
+@query(f"SELECT {M} FROM markers UNION ALL SELECT 0, 1, 6, '', CAST(43.0625 AS DOUBLE), CAST(141.3125 AS DOUBLE), ''")
 def insert_marker(spark: SparkSession, d: str) -> DataFrame:
     rows = markers(spark, d)
-    new = spark.createDataFrame([(0, 1, 6, "", 35.681236, 139.767125, "")], rows.schema)
+    new = spark.createDataFrame([(0, 1, 6, "", 43.0625, 141.3125, "")], rows.schema)
     return change.insert(rows, new)
 
 
-@query("SELECT id, CASE WHEN id = 7 AND user_id = 3 THEN 35.0 ELSE latitude END AS latitude, CASE WHEN id = 7 AND user_id = 3 THEN 139.0 ELSE longitude END AS longitude FROM markers")
+@query("SELECT id, CASE WHEN id = 7 AND user_id = 3 THEN 26.25 ELSE latitude END AS latitude, CASE WHEN id = 7 AND user_id = 3 THEN 127.75 ELSE longitude END AS longitude FROM markers")
 def move_marker(spark: SparkSession, d: str) -> DataFrame:
     hit = (F.col("id") == 7) & (F.col("user_id") == 3)
-    return change.update(markers(spark, d), hit, {"latitude": F.lit(35.0), "longitude": F.lit(139.0)}).select("id", "latitude", "longitude")
+    return change.update(markers(spark, d), hit, {"latitude": F.lit(26.25), "longitude": F.lit(127.75)}).select("id", "latitude", "longitude")
 
 
 @query("SELECT id, CASE WHEN layer_id = 6 AND user_id = 1 THEN 'renamed' ELSE marker_name END AS marker_name, CASE WHEN layer_id = 6 AND user_id = 1 THEN 11 ELSE layer_id END AS layer_id FROM markers")
@@ -61,13 +63,36 @@ def rename_layer(spark: SparkSession, d: str) -> DataFrame:
     return change.update(layers(spark, d), F.col("id").isin(2, 7) & ~F.col("is_master"), {"layer_name": F.lit("renamed layer")}).select("id", "layer_name")
 
 
-@query("SELECT id, nullif(trim(name), '') AS name, length(trim(name)) > 80 AS too_long FROM (SELECT id, CASE id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || marker_name || ' ' WHEN 2 THEN repeat('é', 81) ELSE repeat('é', 80) END AS name FROM markers)")
+@query("SELECT id, CASE id % 5 WHEN 1 THEN marker_name WHEN 2 THEN repeat('é', 81) WHEN 3 THEN repeat('é', 80) WHEN 4 THEN 'a' || chr(12288) || 'b' END AS name, id % 5 = 2 AS too_long FROM markers")
 def shape_names_checked(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("id") % 4
-    raw = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit(" "), "marker_name", F.lit(" "))).when(k == 2, F.repeat(F.lit("é"), 81)).otherwise(F.repeat(F.lit("é"), 80))
+    """White space of any kind goes at both ends, and what is then empty is no name."""
+    k = F.col("id") % 5
+    raw = F.when(k == 0, "\t\n\u3000").when(k == 1, F.concat(F.lit("\u3000 "), "marker_name", F.lit("\u00a0\n"))).when(k == 2, F.repeat(F.lit("é"), 81)).when(k == 3, F.concat(F.lit("\u2003"), F.repeat(F.lit("é"), 80))).otherwise("a\u3000b")
     return markers(spark, d).select("id", raw.alias("name")).select("id", blank_to_null(F.col("name")).alias("name"), name_error(F.col("name")).alias("too_long"))
 
 
+NEW_SHAPES = [(-1, "polygon", "  one\t"), (-2, "circle", "\u3000"), (-3, "triangle", "three"), (-4, "polyline", "x" * 81), (-5, "rectangle", None)]
+
+
+@query("SELECT id, user_id, layer_id, shape_type, name, NULL AS refused FROM shapes UNION ALL VALUES (-1, 1, 6, 'polygon', 'one', NULL), (-2, 1, 6, 'circle', NULL, NULL), (-5, 1, 6, 'rectangle', NULL, NULL), (-3, 1, 6, 'triangle', 'three', 'shape type'), (-4, 1, 6, 'polyline', repeat('x', 81), 'name')")
+def insert_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the shapes sent those of a known type and with a fitting name are inserted; the others come with the reason."""
+    sent = spark.createDataFrame(NEW_SHAPES, "id long, shape_type string, name string")
+    refused = F.when(~F.col("shape_type").isin(*SHAPE_KINDS), "shape type").when(name_error(F.col("name")), "name")
+    checked = sent.select("id", F.lit(1).alias("user_id"), F.lit(6).alias("layer_id"), "shape_type", F.when(refused.isNull(), blank_to_null(F.col("name"))).otherwise(F.col("name")).alias("name"), refused.alias("refused"))
+    rows = shapes(spark, d).select("id", "user_id", "layer_id", "shape_type", "name", F.lit(None).cast("string").alias("refused"))
+    return change.insert(rows, checked)
+
+
+@query("SELECT 'inserted' AS done, CAST(-1 AS BIGINT) AS id UNION ALL SELECT 'updated', id FROM markers WHERE layer_id = 6 AND user_id = 1")
+def changed_keys(spark: SparkSession, d: str) -> DataFrame:
+    """An insert and an update each give the keys that they touched."""
+    rows = markers(spark, d)
+    rows, inserted = change.insert_returning(rows, spark.createDataFrame([(-1, 1, 6, "", 43.0625, 141.3125, "")], rows.schema), "id")
+    _, updated = change.update_returning(rows, (F.col("layer_id") == 6) & (F.col("user_id") == 1) & (F.col("id") >= 0), {"detail": F.lit("x")}, "id")
+    return inserted.select(F.lit("inserted").alias("done"), "id").union(updated.select(F.lit("updated").alias("done"), "id"))
+
+
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE name END AS name, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 24 ELSE layer_id END AS layer_id FROM shapes")
 def partial_update_shape(spark: SparkSession, d: str) -> DataFrame:
     """The name is always overwritten, here by nothing; a layer only if one is given."""
@@ -113,8 +138,14 @@ def user_with_master_layer(spark: SparkSession, d: str) -> DataFrame:
     return kinds(change.insert(old_users, new), "user").union(kinds(change.insert(old_layers, new), "layer"))
 
 
-@query("SELECT user_id, CASE WHEN user_id = 2 THEN false ELSE is_private END AS is_private, CASE WHEN user_id = 3 THEN 0 ELSE user_id END AS failed_count FROM users")
+@query("SELECT user_id, CASE WHEN user_id = 2 THEN false ELSE is_private END AS is_private, CASE WHEN user_id IN (1, 3) THEN 0 ELSE user_id END AS failed_count, user_id = 1 AS is_locked, CASE WHEN user_id = 4 THEN TIMESTAMP '2024-01-01 00:05:00' END AS next_challenge FROM users")
 def user_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = users(spark, d).withColumn("failed_count", F.col("user_id"))
-    rows = change.update(rows, F.col("user_id") == 2, {"is_private": F.lit(False)})
-    return change.update(rows, F.col("user_id") == 3, {"failed_count": F.lit(0)}).select("user_id", "is_private", "failed_count")
+    """Privacy, counter, lock (the counter starts anew), unlocking, and the time of the next try."""
+    user, at = F.col("user_id"), F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = users(spark, d).withColumns({"failed_count": user, "is_locked": user == 0, "next_challenge": F.lit(None).cast("timestamp_ntz")})
+    rows = change.update(rows, user == 2, {"is_private": F.lit(False)})
+    rows = change.update(rows, user == 3, {"failed_count": F.lit(0)})
+    rows = change.update(rows, user == 1, {"is_locked": F.lit(True), "failed_count": F.lit(0)})
+    rows = change.update(rows, user == 0, {"is_locked": F.lit(False)})
+    rows = change.update(rows, user == 4, {"next_challenge": plus_minutes(at, F.lit(5))})
+    return rows.select("user_id", "is_private", "failed_count", "is_locked", "next_challenge")

@@ -91,6 +91,23 @@ def segment_pairs(spark: SparkSession, d: str) -> DataFrame:
     return measure.pair_groups(vertices(spark, d)).select("shape_id", "pair", F.round("meters", 3).alias("meters"), "last_seq")
 
 
+@query(f"""WITH {SEGMENTS}, p AS (SELECT *, CAST(floor((seq - 2) / 2) AS BIGINT) AS pair FROM segments WHERE seq > 1),
+    r AS (SELECT *, sum(meters) OVER (PARTITION BY shape_id, pair ORDER BY seq ROWS UNBOUNDED PRECEDING) AS reached, sum(meters) OVER (PARTITION BY shape_id, pair) AS total FROM p),
+    h AS (SELECT *, row_number() OVER (PARTITION BY shape_id, pair ORDER BY seq) AS k FROM r WHERE total <= 0 OR reached >= total / 2)
+    SELECT shape_id, pair, round(lat0 + (lat - lat0) * t, 7) AS lat, round(lng0 + (lng - lng0) * t, 7) AS lng FROM (SELECT *, CASE WHEN total <= 0 THEN 0.5 WHEN meters > 0 THEN (total / 2 - (reached - meters)) / meters ELSE 0 END AS t FROM h WHERE k = 1)""")
+def group_centres(spark: SparkSession, d: str) -> DataFrame:
+    return measure.group_centres(vertices(spark, d)).select("shape_id", "pair", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"))
+
+
+@query(f"SELECT shape_id, round(m, 3) AS radius, m > 0 AS complete FROM (SELECT shape_id, {_haversine('lat0', 'lng0', 'lat1', 'lng1')} AS m FROM (SELECT shape_id, arg_min(lat, seq) AS lat0, arg_min(lng, seq) AS lng0, arg_max(lat, seq) AS lat1, arg_max(lng, seq) AS lng1 FROM vertices JOIN shapes s ON s.id = shape_id AND s.shape_type = 'circle' GROUP BY shape_id))")
+def drawn_circles(spark: SparkSession, d: str) -> DataFrame:
+    """The radius from a centre and a point of the edge, here the first and the last vertex; a circle needs one above 0."""
+    kinds = shapes(spark, d).where("shape_type = 'circle'").select(F.col("id").alias("shape_id"))
+    ends = vertices(spark, d).join(kinds, "shape_id", "left_semi").groupBy("shape_id").agg(*(f(c, "seq").alias(f"{c}{n}") for c in ("lat", "lng") for n, f in ((0, F.min_by), (1, F.max_by))))
+    meters = geo.distance(F.col("lat0"), F.col("lng0"), F.col("lat1"), F.col("lng1"))
+    return ends.select("shape_id", F.round(meters, 3).alias("radius"), geo.usable_radius(meters).isNotNull().alias("complete"))
+
+
 @query("SELECT shape_id, lat, lng, min(seq) AS seq FROM (SELECT *, max(seq) OVER (PARTITION BY shape_id) AS n FROM vertices) WHERE seq % 2 = 1 OR seq = n GROUP BY shape_id, lat, lng")
 def pair_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """Distinct ends of the pairs; the first wins."""
@@ -137,35 +154,56 @@ HITS = f"""{EDGES}, {CLICKS}, lines AS (SELECT e.shape_id, s.shape_type = 'polyl
     t AS (SELECT *, CASE WHEN (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) ELSE 0 END AS t,
       (ay > py) <> (by_ > py) AND px < (bx - ax) * (py - ay) / nullif(by_ - ay, 0) + ax AS crosses FROM points, lines),
     found AS (SELECT click_id, shape_id, NOT open AND count(*) FILTER (WHERE crosses) % 2 = 1 AS inside, min(sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by_ - ay)), 2))) AS away FROM t GROUP BY click_id, shape_id, open),
-    hits AS (SELECT click_id, shape_id, inside, CASE WHEN inside THEN 0 ELSE away END AS pixels FROM found WHERE inside OR away <= 18)"""
+    round AS (SELECT click_id, s.id AS shape_id FROM points, shapes s JOIN vertices v ON v.shape_id = s.id AND v.seq = 1
+      WHERE s.shape_type = 'circle' AND s.id % 5 > 0 AND sqrt(pow(px - {PX.format(X.format('v.lng'))}, 2) + pow(py - {PX.format('-' + Y.format('v.lat'))}, 2)) <= 5 + s.id % 30 + 18),
+    hits AS (SELECT click_id, shape_id, inside, CASE WHEN inside THEN 0 ELSE away END AS pixels FROM found WHERE inside OR away <= 18 UNION ALL SELECT click_id, shape_id, true, 0 FROM round)"""
+
+
+def round_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes with a radius in pixels, infinite for every fifth circle, which then meets nothing."""
+    return shapes(spark, d).withColumn("radius", F.when(F.col("id") % 5 == 0, float("inf")).otherwise((5 + F.col("id") % 30).cast("double")))
 
 
 @query(f"WITH {HITS} SELECT click_id, count(*) AS n, count(*) FILTER (WHERE inside) AS n_inside, round(sum(pixels), 2) AS pixels FROM hits GROUP BY click_id")
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    found = hits.hit_shapes(clicks(spark, d), shapes(spark, d), vertices(spark, d), 12)
+    found = hits.hit_shapes(clicks(spark, d), round_shapes(spark, d), vertices(spark, d), 12)
     return found.groupBy("click_id").agg(F.count("*").alias("n"), F.count_if("inside").alias("n_inside"), F.round(F.sum("pixels"), 2).alias("pixels"))
 
 
 @query(f"WITH {HITS} SELECT click_id, arg_max(h.shape_id, {{'a': -pixels, 'b': created_at, 'c': h.shape_id}}) AS shape_id FROM hits h JOIN shapes s ON s.id = h.shape_id GROUP BY click_id")
 def nearest_shape(spark: SparkSession, d: str) -> DataFrame:
-    s = shapes(spark, d)
+    s = round_shapes(spark, d)
     return hits.nearest(hits.hit_shapes(clicks(spark, d), s, vertices(spark, d), 12), s).select("click_id", "shape_id")
 
 
-FIX = "CASE WHEN {m} >= 1000 THEN printf('%d.%02d km', CAST(floor({m} / 1000 * 100 + 0.5) AS BIGINT) // 100, CAST(floor({m} / 1000 * 100 + 0.5) AS BIGINT) % 100) WHEN {m} >= 100 THEN printf('%d m', CAST(floor({m} + 0.5) AS BIGINT)) ELSE printf('%d.%d m', CAST(floor({m} * 10 + 0.5) AS BIGINT) // 10, CAST(floor({m} * 10 + 0.5) AS BIGINT) % 10) END"
+#: Lengths that are not finite or whose exact value is on one side of a tie, and what they are shown as.
+ODD = {1: ("NaN", "-"), 2: ("Infinity", "-"), 3: ("-Infinity", "-"), 4: ("0.35", "0.3 m"), 5: ("1.45", "1.4 m"), 6: ("0.25", "0.3 m"), 7: ("100.5", "101 m"), 8: ("1005", "1.00 km"), 9: ("-0.04", "-0.0 m"), 10: ("-2.5", "-2.5 m")}
+ODD_AREAS = {1: ("NaN", "-"), 2: ("Infinity", "-"), 3: ("-Infinity", "-"), 4: ("0.5", "1 m²"), 5: ("0.49999999999999994", "0 m²"), 6: ("1005000", "1.00 km²"), 7: ("-2.5", "-2 m²"), 8: ("1000000", "1.00 km²")}
+
+
+def _odd(odd: dict, value, key: str):
+    """value, but for some ids one of the odd numbers."""
+    numbers = F.create_map(*(F.lit(x) for k, v in odd.items() for x in (k, float(v[0]))))
+    return F.coalesce(F.element_at(numbers, (F.col(key) % 40).cast("int")), value)
+
+
+def _odd_sql(odd: dict) -> str:
+    return " ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in odd.items())
 
 
-@query(f"SELECT id, {FIX.format(m='m')} AS label FROM (SELECT id, CAST(id * 37 % 5000 AS DOUBLE) / 3 AS m FROM markers)")
+@query(f"SELECT id, CASE id % 40 {_odd_sql(ODD)} ELSE CASE WHEN m >= 1000 THEN printf('%.2f km', m / 1000) WHEN m >= 100 THEN printf('%.0f m', m) ELSE printf('%.1f m', m) END END AS label FROM (SELECT id, CAST(id * 37 % 5000 AS DOUBLE) / 3 AS m FROM markers)")
 def distance_labels(spark: SparkSession, d: str) -> DataFrame:
-    return markers(spark, d).select("id", geo.distance_label((F.col("id") * 37 % 5000).cast("double") / 3).alias("label"))
+    meters = (F.col("id") * 37 % 5000).cast("double") / 3
+    return markers(spark, d).select("id", geo.distance_label(_odd(ODD, meters, "id")).alias("label"))
 
 
-@query("SELECT id, CASE WHEN a >= 1000000 THEN printf('%d.%02d km²', CAST(floor(a / 10000 + 0.5) AS BIGINT) // 100, CAST(floor(a / 10000 + 0.5) AS BIGINT) % 100) ELSE printf('%d m²', CAST(floor(a + 0.5) AS BIGINT)) END AS label FROM (SELECT id, CAST(id * 7919 % 3000017 AS DOUBLE) / 1.7 AS a FROM markers)")
+@query(f"SELECT id, CASE id % 40 {_odd_sql(ODD_AREAS)} ELSE CASE WHEN a >= 1000000 THEN printf('%.2f km²', a / 1000000) ELSE printf('%.0f m²', a) END END AS label FROM (SELECT id, CAST(id * 7919 % 3000017 AS DOUBLE) / 1.7 AS a FROM markers)")
 def area_labels(spark: SparkSession, d: str) -> DataFrame:
-    return markers(spark, d).select("id", geo.area_label((F.col("id") * 7919 % 3000017).cast("double") / F.lit(1.7)).alias("label"))
+    area = (F.col("id") * 7919 % 3000017).cast("double") / F.lit(1.7)
+    return markers(spark, d).select("id", geo.area_label(_odd(ODD_AREAS, area, "id")).alias("label"))
 
 
-@query("SELECT id, printf('%d.%05d', CAST(floor(latitude * 100000 + 0.5) AS BIGINT) // 100000, CAST(floor(latitude * 100000 + 0.5) AS BIGINT) % 100000) AS lat, latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AS valid, latitude BETWEEN 20.25 AND 45.55 AND longitude BETWEEN 122.56 AND 153.59 AS inside FROM markers")
+@query("SELECT id, printf('%.5f', latitude) AS lat, latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AS valid, latitude BETWEEN 20.25 AND 45.55 AND longitude BETWEEN 122.56 AND 153.59 AS inside FROM markers")
 def coordinate_text(spark: SparkSession, d: str) -> DataFrame:
     lat, lng = F.col("latitude"), F.col("longitude")
     return markers(spark, d).select("id", fixed(lat, 5).alias("lat"), geo.valid_coordinate(lat, lng).alias("valid"), geo.in_study_area(lat, lng).alias("inside"))

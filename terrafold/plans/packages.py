@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.functions import geo
+from terrafold.functions.text import colour
 from terrafold.plans.registry import query
 from terrafold.sources import packages
 from terrafold.sources.tables import layers, markers, shapes, table, vertices
@@ -32,7 +34,7 @@ def export_package_json(spark: SparkSession, d: str) -> DataFrame:
     """Written as JSON text and read back: engines spell JSON differently, so counts are compared."""
     text = _exported(spark, d).select("layer_id", packages.as_json(F.col("package"), pretty=True).alias("text"))
     back = text.select("layer_id", packages.parsed(F.col("text")).alias("p"))
-    return back.select("layer_id", "p.version", F.size("p.markers").cast("bigint").alias("markers"), F.size("p.shapes").cast("bigint").alias("shapes"))
+    return back.groupBy("layer_id").agg(F.max("p.version").alias("version"), F.sum(F.size("p.markers")).alias("markers"), F.sum(F.size("p.shapes")).alias("shapes"))
 
 
 @query("SELECT row_number() OVER (ORDER BY layer_name) AS id, layer_name, false AS is_master FROM (SELECT DISTINCT l.layer_name FROM layers l JOIN markers m ON m.layer_id = l.id)")
@@ -63,27 +65,46 @@ def import_old_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shape_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Shapes as GeoJSON text with style; circles carry a radius, colours are given for half of them."""
+    """Shapes as GeoJSON text: polygons and rectangles as closed rings, lines as lines, circles as points with a radius; style beside."""
     points = vertices(spark, d).groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct("seq", "lng", "lat"))).alias("v"))
     rows = shapes(spark, d).withColumnRenamed("id", "shape_id").join(points, "shape_id")
     pairs = F.transform("v", lambda p: F.array(p["lng"], p["lat"]))
-    round_ = F.col("shape_type") == "circle"
-    properties = F.struct(F.when(round_, (100 + F.col("shape_id") % 900).cast("double")).alias("radius"), F.when(F.col("shape_id") % 2 == 0, F.lit("#ABC")).alias("color"), F.lit(None).cast("double").alias("weight"))
-    line = F.struct(F.when(round_, "Point").otherwise("LineString").alias("type"), F.when(~round_, pairs).alias("coordinates"), F.when(round_, F.get(pairs, F.lit(0))).alias("point"))
-    return rows.select("shape_id", "shape_type", F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), properties.alias("properties"))).alias("geojson"))
-
-
-@query("SELECT s.id AS shape_id, CASE WHEN shape_type = 'circle' THEN CAST(100 + s.id % 900 AS DOUBLE) END AS radius, v.n AS points, v.lat, v.lng, CASE WHEN s.id % 2 = 0 THEN '#aabbcc' ELSE '#d94841' END AS color, 4.0::DOUBLE AS weight, 0.16::DOUBLE AS opacity FROM shapes s JOIN (SELECT shape_id, count(*) AS n, arg_min(lat, seq) AS lat, arg_min(lng, seq) AS lng FROM vertices GROUP BY 1) v ON v.shape_id = s.id")
+    kind = F.when(F.col("shape_type") == "circle", "Point").when(F.col("shape_type") == "polyline", "LineString").otherwise("Polygon")
+    coordinates = F.when(kind == "Point", F.to_json(F.get(pairs, F.lit(0)))).when(kind == "LineString", F.to_json(pairs)).otherwise(F.to_json(F.array(F.concat(pairs, F.slice(pairs, 1, 1)))))
+    # Every fifth circle has a radius that no circle can have, and is dropped when read.
+    radius = F.when(F.col("shape_id") % 5 == 0, F.lit(-1.0)).otherwise((100 + F.col("shape_id") % 900).cast("double"))
+    given, area = F.when(F.col("shape_id") % 2 == 0, F.lit("#ABC")), F.col("shape_type") != "polyline"
+    shown = colour(F.coalesce(given, F.lit("")))
+    style = F.struct(shown.alias("color"), F.lit(4.0).alias("weight"), F.when(area, shown).alias("fillColor"), F.when(area, F.lit(0.16)).alias("fillOpacity"))
+    properties = F.struct(style.alias("style"), F.when(kind == "Point", radius).alias("radius"))
+    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit('},"properties":'), F.to_json(properties), F.lit("}"))
+    return rows.select("shape_id", "shape_type", text.alias("geojson"))
+
+
+@query("SELECT s.id AS shape_id, CASE s.shape_type WHEN 'circle' THEN 'Point' WHEN 'polyline' THEN 'LineString' ELSE 'Polygon' END AS kind, CASE WHEN shape_type = 'circle' THEN CAST(100 + s.id % 900 AS DOUBLE) END AS radius, CASE WHEN shape_type = 'circle' THEN 1 WHEN shape_type = 'polyline' THEN v.n ELSE v.n + 1 END AS points, v.lat, v.lng, CASE WHEN s.id % 2 = 0 THEN '#aabbcc' ELSE '#d94841' END AS color, 4.0::DOUBLE AS weight, CASE WHEN shape_type <> 'polyline' THEN 0.16::DOUBLE END AS opacity FROM shapes s JOIN (SELECT shape_id, count(*) AS n, arg_min(lat, seq) AS lat, arg_min(lng, seq) AS lng FROM vertices GROUP BY 1) v ON v.shape_id = s.id WHERE NOT (shape_type = 'circle' AND s.id % 5 = 0)")
 def geojson_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Written with style and radius and read back: first point, number of points, style with its defaults."""
-    from terrafold.functions.text import colour
-
+    """Written with style and radius and read back: kind, first point, number of points; circles without a usable radius are dropped."""
     at = lambda p: F.get_json_object("geojson", p)
-    line = F.from_json(at("$.geometry.coordinates"), "array<array<double>>")
-    first = F.coalesce(F.get(line, F.lit(0)), F.from_json(at("$.geometry.point"), "array<double>"))
-    counts = vertices(spark, d).groupBy("shape_id").agg(F.count("*").alias("points"))
-    read = shape_documents(spark, d).select("shape_id", at("$.properties.radius").cast("double").alias("radius"), F.get(first, F.lit(1)).alias("lat"), F.get(first, F.lit(0)).alias("lng"), colour(F.coalesce(at("$.properties.color"), F.lit(""))).alias("color"), F.coalesce(at("$.properties.weight").cast("double"), F.lit(4.0)).alias("weight"), F.lit(0.16).alias("opacity"))
-    return read.join(counts, "shape_id").select("shape_id", "radius", "points", "lat", "lng", "color", "weight", "opacity")
+    kind, coordinates = at("$.geometry.type"), at("$.geometry.coordinates")
+    ring = F.coalesce(geo.first_ring(kind, coordinates), F.array(F.from_json(F.when(kind == "Point", coordinates), "array<double>")))
+    radius = geo.usable_radius(at("$.properties.radius").cast("double"))
+    read = shape_documents(spark, d).select("shape_id", "shape_type", kind.alias("kind"), radius.alias("radius"), ring.alias("ring"), *(at(f"$.properties.style.{k}").alias(a) for k, a in (("color", "color"), ("weight", "weight"), ("fillOpacity", "opacity"))))
+    fits = (F.col("shape_type") != "circle") | (F.col("radius").isNotNull() & (F.size(F.get("ring", F.lit(0))) >= 2))
+    first = F.get("ring", F.lit(0))
+    return read.where(fits).select("shape_id", "kind", "radius", F.size("ring").cast("bigint").alias("points"), F.get(first, F.lit(1)).alias("lat"), F.get(first, F.lit(0)).alias("lng"), "color", F.col("weight").cast("double").alias("weight"), F.col("opacity").cast("double").alias("opacity"))
+
+
+@query("SELECT s.id AS shape_id, v.n + 1 AS points, v.lat, v.lng FROM shapes s JOIN (SELECT shape_id, count(*) AS n, arg_min(lat, seq) AS lat, arg_min(lng, seq) AS lng FROM vertices GROUP BY 1) v ON v.shape_id = s.id WHERE shape_type IN ('polygon', 'rectangle')")
+def flattened_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Of polygons with a hole, and of several polygons, the first ring alone."""
+    rows = shape_documents(spark, d).where("shape_type in ('polygon', 'rectangle')")
+    ring = F.get_json_object("geojson", "$.geometry.coordinates[0]")
+    hole = F.lit("[[0,0],[0,1],[1,1],[0,0]]")
+    several = F.col("shape_type") == "rectangle"
+    nested = F.when(several, F.concat(F.lit("[["), ring, F.lit(","), hole, F.lit("],["), hole, F.lit("]]"))).otherwise(F.concat(F.lit("["), ring, F.lit(","), hole, F.lit("]")))
+    flat = geo.first_ring(F.when(several, "MultiPolygon").otherwise("Polygon"), nested)
+    first = F.get("ring", F.lit(0))
+    return rows.select("shape_id", flat.alias("ring")).select("shape_id", F.size("ring").cast("bigint").alias("points"), F.get(first, F.lit(1)).alias("lat"), F.get(first, F.lit(0)).alias("lng"))
 
 
 @query("SELECT user_id, count(*) AS markers, count(DISTINCT layer_id) AS layers FROM markers WHERE layer_id IN (1, 6, 7) AND user_id = 1 GROUP BY user_id")
@@ -91,6 +112,7 @@ def share_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the listed layers that the user owns, nested into maps as text and read back; foreign layers vanish."""
     wanted = spark.createDataFrame([(1,), (6,), (7,)], "layer_id int")
     own = markers(spark, d).where("user_id = 1").join(wanted, "layer_id", "left_semi")
-    text = own.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), F.struct("marker_name", "layer_id"))))).alias("markers"))
+    dealt = packages.in_parts(own, ["user_id"], "id")
+    text = dealt.groupBy("user_id", "part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), F.struct("marker_name", "layer_id"))))).alias("markers"))
     back = text.select("user_id", F.explode(F.from_json("markers", "map<string,struct<marker_name:string,layer_id:int>>")))
     return back.groupBy("user_id").agg(F.count("*").alias("markers"), F.countDistinct("value.layer_id").alias("layers"))

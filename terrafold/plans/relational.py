@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.plans.registry import query
+from terrafold.sources.packages import in_parts
 from terrafold.sources.tables import images, layers, markers, shapes, shares, table, text_markers, users, vertices
 
 TILE_SERVERS = [(1, "standard", "Standard", True, None, 18), (2, "photo", "Photographs", False, 9, None)]
@@ -18,6 +19,10 @@ def tile_servers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TILE_SERVERS, TILE_COLUMNS)
 
 
+#: The settings that a new installation starts with; the administrator's secrets are not data here.
+SEED_SETTINGS = [("login_attempts_limit", "15"), ("next_challenge_minutes", "5"), ("challenge_limit_start", "5")]
+
+
 def seeded(existing: DataFrame, seed: DataFrame) -> DataFrame:
     """existing, or seed if it has no rows."""
     n = existing.agg(F.count("*").alias("_n"))
@@ -30,6 +35,28 @@ def tile_server_list(spark: SparkSession, d: str) -> DataFrame:
     return seeded(empty, tile_servers(spark)).select("id", "layer_name", "label", "include_foreign_tiles", F.coalesce("min_zoom", F.lit(5)).alias("min_zoom"), F.coalesce("max_zoom", F.lit(18)).alias("max_zoom"))
 
 
+@query("SELECT * FROM (VALUES ('setting', 'challenge_limit_start', '5'), ('setting', 'login_attempts_limit', '15'), ('setting', 'next_challenge_minutes', '5'), ('user', 'admin', 'superuser')) v(kind, name, value)")
+def first_seed(spark: SparkSession, d: str) -> DataFrame:
+    """What an empty installation gets beside tile servers: an administrator and three settings."""
+    settings = seeded(spark.createDataFrame([], "name string, value string"), spark.createDataFrame(SEED_SETTINGS, "name string, value string"))
+    accounts = seeded(spark.createDataFrame([], "name string, value string"), spark.createDataFrame([("admin", "superuser")], "name string, value string"))
+    return settings.select(F.lit("setting").alias("kind"), "name", "value").union(accounts.select(F.lit("user"), "name", "value"))
+
+
+@query("SELECT user_id, username FROM users")
+def second_seed(spark: SparkSession, d: str) -> DataFrame:
+    """Where users exist, none is added."""
+    return seeded(users(spark, d).select("user_id", "username"), spark.createDataFrame([(99, "admin")], "user_id int, username string"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN CAST(39.2 AS DOUBLE) ELSE latitude END AS latitude, CASE WHEN id % 3 = 0 THEN CAST(138.5 AS DOUBLE) ELSE longitude END AS longitude, CASE WHEN id % 3 = 0 THEN 6 ELSE 18 END AS zoom FROM markers")
+def view_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Where a map opens: near the marker asked for, else far above the middle of the country."""
+    asked = F.col("id") % 3 != 0
+    rows = markers(spark, d).select("id", F.when(asked, F.col("latitude")).alias("lat"), F.when(asked, F.col("longitude")).alias("lng"))
+    return rows.select("id", F.coalesce("lat", F.lit(39.2)).alias("latitude"), F.coalesce("lng", F.lit(138.5)).alias("longitude"), F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), 18).otherwise(6).alias("zoom"))
+
+
 @query("SELECT user_id, username, is_superuser FROM users")
 def users_list(spark: SparkSession, d: str) -> DataFrame:
     """Without secrets."""
@@ -78,11 +105,11 @@ def deletable_layers(spark: SparkSession, d: str) -> DataFrame:
     return layers(spark, d).where(~F.col("is_master")).select("id", "layer_name")
 
 
-@query("SELECT id, filename FROM images WHERE contains(filename, '1') AND contains(filename, '.p')")
+@query("SELECT id, filename FROM images WHERE contains(filename, 'ed') AND contains(filename, '.p')")
 def image_filter_cumulative(spark: SparkSession, d: str) -> DataFrame:
     """Case-sensitive; each further term filters what is left."""
     rows = images(spark, d)
-    for term in ("1", ".p"):
+    for term in ("ed", ".p"):
         rows = rows.where(F.contains("filename", F.lit(term)))
     return rows.select("id", "filename")
 
@@ -142,6 +169,15 @@ def export_shapes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "shape_type", "name", "created_at", "layer_name", F.col("user_id").alias("layer_user"), "place")
 
 
+@query("SELECT s.id, s.shape_type, s.name, l.id AS layer_id, l.layer_name, l.is_master, row_number() OVER (PARTITION BY s.layer_id ORDER BY s.created_at, s.id) AS place FROM shapes s JOIN layers l ON s.layer_id = l.id WHERE s.user_id = 1")
+def export_all_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Asked for from the master layer: the shapes of all layers, in order of creation within each."""
+    own = shapes(spark, d).where(F.col("user_id") == 1)
+    names = layers(spark, d).select(F.col("id").alias("layer_id"), "layer_name", "is_master")
+    rows = own.join(names, "layer_id").withColumn("place", F.row_number().over(Window.partitionBy("layer_id").orderBy("created_at", "id")))
+    return rows.select("id", "shape_type", "name", "layer_id", "layer_name", "is_master", "place")
+
+
 @query("SELECT l.id, EXISTS (SELECT 1 FROM markers m WHERE m.layer_id = l.id AND m.user_id = l.user_id) AS used FROM layers l")
 def layer_used(spark: SparkSession, d: str) -> DataFrame:
     used = markers(spark, d).select(F.col("layer_id").alias("id"), "user_id").distinct().withColumn("_used", F.lit(True))
@@ -188,9 +224,9 @@ def share_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT key, value.marker_name AS marker_name FROM (SELECT id AS key, {'marker_name': marker_name} AS value FROM markers WHERE user_id = 4 AND layer_id = 9)")
 def keyed_map(spark: SparkSession, d: str) -> DataFrame:
-    """A layer's rows as one map by id, then its entries."""
-    rows = markers(spark, d).where("user_id = 4 and layer_id = 9")
-    return rows.groupBy("layer_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("marker_name")))).alias("m")).select(F.explode("m")).select("key", "value.marker_name")
+    """A layer's rows as maps by id, in parts of a bounded size, then their entries."""
+    rows = in_parts(markers(spark, d).where("user_id = 4 and layer_id = 9"), ["layer_id"], "id")
+    return rows.groupBy("layer_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("marker_name")))).alias("m")).select(F.explode("m")).select("key", "value.marker_name")
 
 
 @query("SELECT DISTINCT trim(name) AS layer_name FROM (SELECT marker_name AS name FROM (SELECT l.layer_name AS marker_name FROM markers m JOIN layers l ON m.layer_id = l.id) UNION ALL SELECT ' ' || source || ' ' FROM documents)")
@@ -224,6 +260,12 @@ def layers_by_id_desc(spark: SparkSession, d: str) -> DataFrame:
     return layers(spark, d).select("id", F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))
 
 
+@query("SELECT id, layer_name, row_number() OVER (ORDER BY id) AS place FROM layers")
+def layers_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """25 rows at every scale."""
+    return layers(spark, d).select("id", "layer_name", F.row_number().over(Window.orderBy("id")).alias("place")).orderBy("id")
+
+
 @query("SELECT user_id, id, layer_name, row_number() OVER (PARTITION BY user_id ORDER BY is_master DESC, layer_name) AS place FROM layers")
 def layers_master_first(spark: SparkSession, d: str) -> DataFrame:
     """Master first, then by name in Japanese order; rows without id or name are dropped."""

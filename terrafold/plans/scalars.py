@@ -31,12 +31,15 @@ def export_names(spark: SparkSession, d: str) -> DataFrame:
     return markers(spark, d).select("id", text.export_name(x).alias("name"))
 
 
-@query(f"SELECT id, CASE WHEN contains(url, '..') THEN NULL ELSE list_extract(string_split(url, '/'), -1) END AS name FROM {P}")
+@query(f"SELECT id, {_pick('id', chr(39) + 'a' + chr(39) + ' || id || ' + chr(39) + '.png' + chr(39), 'NULL', 'NULL', 'NULL', chr(39) + chr(39))} AS name FROM {P}")
 def base_names(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("id", text.base_name(F.col("url")).alias("name"))
+    """Climbing before the last part does no harm; within it two dots and a backslash do."""
+    n = F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".png"))
+    path = choose(F.col("id"), F.concat(F.lit("../x/"), n), F.concat(F.lit("x/a.."), n), F.concat(F.lit("a\\"), n), "..", "a/b/")
+    return _pages(spark, d).select("id", text.base_name(path).alias("name"))
 
 
-@query("SELECT id, regexp_extract(filename, '\\.([^.]*)$', 1) IN ('png','PNG','jpg','JPG','jpeg','JPEG','gif','GIF','webp','WEBP','pdf','mp4','MP4') AS allowed, CASE lower(regexp_extract(filename, '\\.([^.]*)$', 1)) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'pdf' THEN 'application/pdf' WHEN 'mp4' THEN 'video/mp4' ELSE 'application/octet-stream' END AS content_type, 'images/' || substr(filename, 1, 5) || '/' || filename AS path, 'images/' || substr(filename, 1, 5) || '/thumb/' || filename AS thumb FROM images")
+@query("SELECT id, regexp_extract(filename, '\\.([^.]*)$', 1) IN ('png','PNG','jpg','JPG','jpeg','JPEG','gif','GIF','webp','WEBP','pdf','mp4','MP4') AS allowed, CASE id % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'application/pdf' WHEN 5 THEN 'video/mp4' ELSE 'application/octet-stream' END AS content_type, 'images/' || substr(filename, 1, 5) || '/' || filename AS path, 'images/' || substr(filename, 1, 5) || '/thumb/' || filename AS thumb FROM images")
 def ext_allowed(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("filename")
     return images(spark, d).select("id", text.upload_allowed(f).alias("allowed"), text.content_type(f).alias("content_type"), text.storage_path(f).alias("path"), text.storage_path(f, thumb=True).alias("thumb"))
@@ -50,23 +53,52 @@ def embed_texts(spark: SparkSession, d: str) -> DataFrame:
 VIDEO = "lpad(CAST(id AS VARCHAR), 11, 'aB_-')"
 
 
-@query(f"SELECT id, CASE WHEN id % 6 < 4 THEN {VIDEO} END AS video FROM {P}")
+@query(f"SELECT id, CASE WHEN id % 9 < 6 THEN {VIDEO} END AS video FROM {P}")
 def youtube_id(spark: SparkSession, d: str) -> DataFrame:
     v = F.lpad(F.col("id").cast("string"), 11, "aB_-")
-    url = choose(F.col("id"), F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=1")), F.concat(F.lit("https://www.youtube.com/shorts/"), v), F.concat(F.lit("https://m.youtube.com/watch?a=b&v="), v, F.lit("&c=d")), F.concat(F.lit("https://YouTube.com/embed/"), v), F.concat(F.lit("https://youtube.example.com/embed/"), v), F.col("url"))
+    url = choose(F.col("id"), F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=1")), F.concat(F.lit("https://www.youtube.com/shorts/"), v), F.concat(F.lit("https://m.youtube.com/watch?a=b&v="), v, F.lit("&c=d")), F.concat(F.lit("https://YouTube.com/embed/"), v), F.concat(F.lit("https://www.youtube-nocookie.com/embed/"), v, F.lit("?x")), F.concat(F.lit("https://www.youtube.com/shorts/"), v, F.lit("/more")), F.concat(F.lit("https://youtube.example.com/embed/"), v), F.concat(F.lit("https://youtu.be/"), v, F.lit("/")), F.concat(F.lit("https://www.youtube.com/watch/?v="), v))
     return _pages(spark, d).select("id", text.youtube_id(url).alias("video"))
 
 
-@query(f"SELECT id, id % 3 < 2 AS is_local FROM {P}")
+@query(f"SELECT id, id % 4 < 3 AS is_local FROM {P}")
 def localhost_links(spark: SparkSession, d: str) -> DataFrame:
-    url = choose(F.col("id"), "http://localhost:8080/x", "http://127.0.0.1/", F.col("url"))
+    url = choose(F.col("id"), "http://localhost:8080/x", "http://127.0.0.1/", "http://u@[::1]:80/", "http://localhost.example/")
     return _pages(spark, d).select("id", text.is_localhost(url).alias("is_local"))
 
 
-@query(f"SELECT id, CASE id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'internal' ELSE 'external' END AS kind, url || CASE WHEN contains(url, '?') THEN '&thumb=true' ELSE '?thumb=true' END AS thumb FROM {P}")
+@query(f"SELECT id, CASE id % 7 WHEN 0 THEN 'external' WHEN 1 THEN 'pdf' WHEN 2 THEN 'pdf' WHEN 3 THEN 'internal' WHEN 4 THEN 'internal' WHEN 5 THEN 'internal' ELSE 'external' END AS kind, id % 7 IN (0, 1, 2, 6) AND id % 7 <> 6 AS saved, url || CASE WHEN contains(url, '?') THEN '&thumb=true' ELSE '?thumb=true' END AS thumb FROM {P}")
 def link_kinds(spark: SparkSession, d: str) -> DataFrame:
-    url = choose(F.col("id"), "https://other.example/a.PDF?x", "https://here.example/a", F.concat(F.lit("https://other.example/"), F.col("id").cast("string")))
-    return _pages(spark, d).select("id", text.link_kind(url, "here.example").alias("kind"), text.thumb_link(F.col("url")).alias("thumb"))
+    """A PDF elsewhere is an external link like any other; a scheme in capitals is not seen as external."""
+    url = choose(F.col("id"), "https://other.example/a.PDF", "http://localhost/a.pdf", "/files/a.Pdf", "/files/a", "HTTPS://other.example/", "/a.pdf?x", F.concat(F.lit("https://other.example/"), F.col("id").cast("string")))
+    return _pages(spark, d).select("id", text.link_kind(url).alias("kind"), text.is_download(url).alias("saved"), text.thumb_link(F.col("url")).alias("thumb"))
+
+
+@query(f"SELECT id, CASE id % 4 WHEN 0 THEN '<a target=\"_blank\" rel=\"noopener noreferrer\" title=\"外部リンク\" ' WHEN 1 THEN '<a href=\"#\" title=\"PDFダウンロードリンク\" onclick=\"downloadFile(' || chr(39) || '/a.pdf' || chr(39) || ')\"' WHEN 2 THEN '<a ' ELSE '<a target=\"_blank\" rel=\"noopener noreferrer\" title=\"PDFリンク\" ' END AS opening FROM {P}")
+def link_openings(spark: SparkSession, d: str) -> DataFrame:
+    url = choose(F.col("id"), "https://other.example/", "/a.pdf", "/a", "/a.pdf")
+    return _pages(spark, d).select("id", text.link_opening(text.link_kind(url), url, F.col("id") % 4 == 1).alias("opening"))
+
+
+@query("SELECT id, id % 7 IN (0, 1, 2, 3, 5) AS mime, id % 7 = 5 AS is_mp4, id % 7 IN (3, 4) AS is_pdf FROM images")
+def upload_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What a browser may send, by kind; endings of videos and PDFs in any case."""
+    f = F.col("filename")
+    return images(spark, d).select("id", text.mime_allowed(text.content_type(f)).alias("mime"), text.is_mp4(f).alias("is_mp4"), text.is_pdf(f).alias("is_pdf"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'http://h/s/' ELSE 'http://h:8080/s/' END || id AS url, id % 3 = 2 AS password_ok FROM markers")
+def built_urls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    port = F.when(k % 2 == 0, "").otherwise("8080")
+    path = F.concat(F.lit("/s/"), k.cast("string"))
+    return markers(spark, d).select("id", text.absolute_url(F.lit("http:"), F.lit("h"), port, path).alias("url"), text.password_ok(choose(k, "1234567", "éééé", "  pass 8")).alias("password_ok"))
+
+
+@query("SELECT id, CASE id % 8 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN 'private' WHEN 3 THEN 'no-store' WHEN 4 THEN 'no-cache' END AS kind, CASE WHEN id % 8 = 2 THEN 3600 END AS max_age, CASE id % 8 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN 'private, max-age=3600' WHEN 3 THEN 'no-store' WHEN 4 THEN 'no-cache' END AS header, CASE id % 8 WHEN 5 THEN 'Invalid max-age value' WHEN 6 THEN 'Invalid max-age value' WHEN 7 THEN 'Unknown cache control: Public, x' END AS error FROM markers")
+def cache_controls(spark: SparkSession, d: str) -> DataFrame:
+    said = choose(F.col("id"), " Public ", "PRIVATE", "private=max-age=3600", "no-store", "No-Cache", "private, max-age=1h", "private, max-age=", "Public, x")
+    c = text.cache_control(said)
+    return markers(spark, d).select("id", c["kind"].alias("kind"), c["max_age"].cast("int").alias("max_age"), c["header"].alias("header"), c["error"].alias("error"))
 
 
 @query(f"SELECT id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped FROM {P}")
@@ -79,6 +111,12 @@ def html_stripped(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("id", text.strip_html(F.col("html")).alias("html"))
 
 
+@query("SELECT id, CASE id % 5 WHEN 0 THEN '<p>a</p>' WHEN 1 THEN 'b' WHEN 2 THEN 'Not Allow iframe xNot Allow iframe ' WHEN 3 THEN '<a href=\"/x\" title=\"t\">c</a>' ELSE '<img src=\"/y.png\" alt=\"z\">' END AS html FROM markers")
+def html_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    html = choose(F.col("id"), '<p onclick="x()" class="c">a</p>', "<script>var a='<p>';</script><font color=red>b</font>", '<iframe src="/i">x</iframe>', '<a style="s" href="/x" data-q=1 title="t" onmouseover="m()">c</a>', '<img src="/y.png" onerror="e()" alt="z">')
+    return markers(spark, d).select("id", text.strip_html(html).alias("html"))
+
+
 @query("SELECT id, CASE id % 4 WHEN 0 THEN '#aabbcc' WHEN 1 THEN '#a1b2c3' ELSE '#d94841' END AS colour FROM markers")
 def colours(spark: SparkSession, d: str) -> DataFrame:
     return markers(spark, d).select("id", text.colour(choose(F.col("id"), "#ABC", " #a1B2c3 ", "red", "#12345")).alias("colour"))
@@ -95,14 +133,14 @@ def title_and_body(spark: SparkSession, d: str) -> DataFrame:
     return markers(spark, d).select("id", text.title_and_body(named, detail).alias("body"))
 
 
-@query("SELECT id, marker_name AS token, CASE WHEN id % 2 = 0 THEN 3600 END AS max_age, CASE WHEN id % 2 = 0 THEN 'h:1' ELSE 'h:80' END AS address, id % 3 = 0 AS mobile FROM markers")
+@query("SELECT id, marker_name AS token, CASE WHEN id % 2 = 0 THEN 'h:1' ELSE 'h:80' END AS address, id % 3 = 0 AS mobile FROM markers")
 def headers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
-    cookie = text.cookies(F.concat(F.lit("a=1; bad=x=y; token="), "marker_name", F.lit(";none")))
-    return markers(spark, d).select("id", F.element_at(cookie, "token").alias("token"), text.max_age(F.when(k % 2 == 0, "public, Max-Age=3600").otherwise("no-store")).cast("int").alias("max_age"), text.with_port(F.when(k % 2 == 0, "h:1").otherwise("h")).alias("address"), text.is_mobile(F.when(k % 3 == 0, "x Mobile/1").otherwise("x mobile")).alias("mobile"))
+    cookie = text.cookies(F.concat(F.lit("a=1; bad=x=y; token =\t"), "marker_name", F.lit(" ;none; token=last")))
+    return markers(spark, d).select("id", F.element_at(cookie, "token").alias("token"), text.with_port(F.when(k % 2 == 0, "h:1").otherwise("h")).alias("address"), text.is_mobile(F.when(k % 3 == 0, "x Mobile/1").otherwise("x mobile")).alias("mobile"))
 
 
-@query("SELECT id, CASE WHEN s < 1048576 THEN printf('%d.%d KB', CAST(floor(s / 1024 * 10 + 0.5) AS BIGINT) // 10, CAST(floor(s / 1024 * 10 + 0.5) AS BIGINT) % 10) ELSE printf('%d.%d MB', CAST(floor(s / 1048576 * 10 + 0.5) AS BIGINT) // 10, CAST(floor(s / 1048576 * 10 + 0.5) AS BIGINT) % 10) END AS size, CASE WHEN id % 4 > 0 THEN least(100, CAST(floor(CAST(id * 100 AS DOUBLE) / (id % 4 * 1000) + 0.5) AS INTEGER)) END AS percent, s <= 104857600 AS fits FROM (SELECT id, CAST(id * 7919 % 200000000 AS DOUBLE) AS s FROM markers)")
+@query("SELECT id, CASE WHEN s < 1048576 THEN printf('%.1f KB', s / 1024) ELSE printf('%.1f MB', s / 1048576) END AS size, CASE WHEN id % 4 > 0 THEN least(100, CAST(floor(CAST(id * 100 AS DOUBLE) / (id % 4 * 1000) + 0.5) AS INTEGER)) END AS percent, s <= 104857600 AS fits FROM (SELECT id, CAST(id * 7919 % 200000000 AS DOUBLE) AS s FROM markers)")
 def upload_texts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
     size = (k * 7919 % 200000000).cast("double")

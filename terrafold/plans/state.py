@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,19 @@ from terrafold.sources.tables import attempts, positions, table
 from terrafold.streaming import latest, logins
 
 
-@query()
+LOGINS = """WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, kind, ok) AS k FROM attempts ),
+    s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS ts, '' AS told, 0 AS failed_count, false AS is_locked, CAST(NULL AS TIMESTAMP) AS next_challenge, CAST(NULL AS TIMESTAMP) AS passed_at FROM attempts
+      UNION ALL SELECT user_id, k, ts, told, CASE WHEN told IN ('Wrong', 'UnauthorizedPleaseWait') THEN failed_count + 1 WHEN told IN ('Locked', 'Success') THEN 0 ELSE failed_count END,
+        told = 'Locked' OR is_locked AND told <> 'Unlocked', CASE WHEN told = 'UnauthorizedPleaseWait' THEN ts + INTERVAL 5 MINUTES ELSE next_challenge END, CASE WHEN told = 'CodeRequired' THEN ts ELSE passed_at END
+      FROM (SELECT a.user_id, a.k, a.ts, s.failed_count, s.is_locked, s.next_challenge, s.passed_at, CASE WHEN NOT known THEN 'Unknown' WHEN kind = 'unlock' THEN 'Unlocked'
+          WHEN kind = 'code' THEN CASE WHEN passed_at IS NULL THEN 'NoBasicAuth' WHEN a.ts - passed_at > INTERVAL 3 MINUTES THEN 'Time Over.' WHEN ok THEN 'Success' ELSE 'NoAuth' END
+          WHEN is_locked THEN 'LockedAccount' WHEN next_challenge > a.ts THEN 'PleaseWait' WHEN failed_count = 14 THEN 'Locked'
+          WHEN NOT ok THEN CASE WHEN failed_count >= 4 THEN 'UnauthorizedPleaseWait' ELSE 'Wrong' END WHEN second THEN 'CodeRequired' ELSE 'Success' END AS told
+        FROM s JOIN a ON a.user_id = s.user_id AND a.k = s.k + 1))
+    SELECT user_id, ts, CASE WHEN told IN ('Wrong', 'Unknown') THEN 'Unauthorized' ELSE told END AS outcome, failed_count, is_locked FROM s WHERE k > 0"""
+
+
+@query(LOGINS)
 def login_state(spark: SparkSession, d: str) -> DataFrame:
     return logins.batch(attempts(spark, d))
 
@@ -33,38 +47,50 @@ def deletes_once(spark: SparkSession, d: str) -> DataFrame:
     return latest.once(table(spark, d, "events").select("user_id", "event_type"), "user_id", "event_type")
 
 
-@query("SELECT user_id, max(event_id) FILTER (WHERE event_type = 'error') AS restored FROM events GROUP BY user_id HAVING restored IS NOT NULL")
+@query("SELECT user_id, max(event_id) AS restored FROM events WHERE event_type = 'error' AND event_id % 3 <> 0 GROUP BY user_id")
 def undo_top(spark: SparkSession, d: str) -> DataFrame:
-    """What an undo brings back first: each user's last deletion, here their last error."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("restored")).where("restored is not null")
+    """What an undo brings back first: each user's last deletion that is not restored yet. Errors stand for deletions, every third of them restored."""
+    deleted = table(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id")
+    restored = table(spark, d, "events").where("event_id % 3 = 0").select("event_id")
+    return deleted.join(restored, "event_id", "left_anti").groupBy("user_id").agg(F.max("event_id").alias("restored"))
 
 
 BLOCKS = ("details", "note", "warning")
 
 
 def nested_blocks(text: str) -> str:
-    """:::kind title / ::: blocks, which may nest, as elements; a block that is never closed ends with the text."""
-    out, open_ = [], []
-    for line in text.split("\n"):
-        head = line[3:].strip().split(" ", 1) if line.startswith(":::") else None
-        if head is None:
-            out.append(line)
-        elif head[0] in BLOCKS:
-            open_.append(head[0])
-            title = head[1] if len(head) > 1 else ""
-            out.append(f"<details><summary>{title}</summary>" if head[0] == "details" else f'<div class="{head[0]}">{title}')
-        elif head[0] == "" and open_:
-            out.append("</details>" if open_.pop() == "details" else "</div>")
-        else:
-            out.append(line)
-    out += ["</details>" if kind == "details" else "</div>" for kind in reversed(open_)]
+    """:::kind title / ::: blocks, which may nest, as elements. Any :::word opens a level, a bare ::: closes one; a block that no line closes stays text. Without a title a block is named by its kind in capitals."""
+    lines, out, i = re.split(r"\r?\n", text), [], 0
+    while i < len(lines):
+        kind = next((k for k in BLOCKS if lines[i].startswith(f":::{k}")), None)
+        end, level = None, 0
+        if kind:
+            for j in range(i, len(lines)):
+                line = lines[j].strip()
+                level += 1 if re.match(r":::\w", line, re.A) else -1 if line == ":::" else 0
+                if line == ":::" and level == 0:
+                    end = j
+                    break
+        if end is None:
+            out.append(lines[i])
+            i += 1
+            continue
+        title = re.match(rf":::{kind}\s+(.+)", lines[i])
+        head, tail = ('<details class="details">', "</details>") if kind == "details" else (f'<div class="box {kind}">', "</div>")
+        inner = nested_blocks("\n".join(lines[i + 1 : end]))
+        out.append(f"{head}\n<summary>{title[1].strip() if title else kind.upper()}</summary>\n{inner}\n{tail}\n")
+        i = end + 1
     return "\n".join(out)
 
 
-@query()
+ESCAPED = "replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"SELECT doc_id, md5('<details class=\"details\">' || chr(10) || '<summary>Text</summary>' || chr(10) || '<div class=\"box note\">' || chr(10) || '<summary>NOTE</summary>' || chr(10) || replace({ESCAPED}, chr(13) || chr(10), chr(10)) || chr(10) || '</div>' || chr(10) || chr(10) || '</details>' || chr(10)) AS html_md5 FROM documents WHERE NOT contains(coalesce(text, ''), ':::')")
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Nesting has no bound, so a pandas function walks the lines."""
+    """Nesting has no bound, so a pandas function walks the lines. Texts with block marks of their own are left to the tests."""
     render = F.pandas_udf(lambda x: x.map(nested_blocks), T.StringType())
     body = html_escape(F.coalesce("text", F.lit("")))
     wrapped = F.concat(F.lit(":::details Text\n:::note\n"), body, F.lit("\n:::\n:::"))
-    return table(spark, d, "documents").select("doc_id", F.md5(render(wrapped)).alias("html_md5"))
+    rows = table(spark, d, "documents").where(~F.contains(F.coalesce("text", F.lit("")), F.lit(":::")))
+    return rows.select("doc_id", F.md5(render(wrapped)).alias("html_md5"))

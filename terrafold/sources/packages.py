@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrafold.functions.text import trimmed
+
 LAYER = "struct<layer_name:string,is_master:boolean>"
 MARKER = f"struct<marker_name:string,latitude:double,longitude:double,detail:string,layer:{LAYER}>"
 SHAPE = f"struct<shape_type:string,name:string,geojson:string,layer:{LAYER}>"
@@ -13,8 +15,8 @@ SHAPE_KINDS = ("polygon", "polyline", "rectangle", "circle")
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, package) of the JSON files of a folder; only names that end in .json, as spelled, are read."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    """(path, package) of the JSON files of a folder; only names that end in .json, as spelled, are read. Folders below it are read too."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return files.where(F.endswith("path", F.lit(".json"))).select("path", parsed(F.col("value")).alias("package"))
 
 
@@ -27,15 +29,30 @@ def parsed(text: Column) -> Column:
     return F.when(bare, old).otherwise(F.struct(new["version"].alias("version"), new["markers"].alias("markers"), F.coalesce(new["shapes"], F.expr(f"cast(array() as array<{SHAPE}>)")).alias("shapes")))
 
 
-def exported(markers: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """A package for each key: markers with (*keys, marker), shapes with (*keys, shape), structs of the package.
+#: Rows, about, that one part of a package holds.
+PART_ROWS = 10_000
+
+
+def in_parts(rows: DataFrame, keys: list[str], item: str, most: int = PART_ROWS) -> DataFrame:
+    """rows with a part number, so that a part of a key holds about so many; equal items share a part."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    return rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int")).drop("_parts")
+
 
-    One package is one document, so its rows meet in one group: an export is bounded by what a document may hold."""
-    m = markers.groupBy(*keys).agg(F.sort_array(F.collect_list("marker")).alias("markers"))
-    s = shapes.groupBy(*keys).agg(F.sort_array(F.collect_list("shape")).alias("shapes"))
-    both = m.join(s, keys, "full")
+def exported(markers: DataFrame, shapes: DataFrame, keys: list[str], most: int = PART_ROWS) -> DataFrame:
+    """(*keys, part, package): markers with (*keys, marker), shapes with (*keys, shape), structs of the package.
+
+    A large package comes in numbered parts, each a whole document; importing all parts imports the package."""
+    m = in_parts(markers, keys, "marker", most).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("marker")).alias("markers"))
+    s = in_parts(shapes, keys, "shape", most).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("shape")).alias("shapes"))
+    both = m.join(s, [*keys, "part"], "full")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    return both.select(*keys, F.struct(F.lit(2).alias("version"), none("markers", m.schema["markers"].dataType).alias("markers"), none("shapes", s.schema["shapes"].dataType).alias("shapes")).alias("package"))
+    return both.select(*keys, "part", F.struct(F.lit(2).alias("version"), none("markers", m.schema["markers"].dataType).alias("markers"), none("shapes", s.schema["shapes"].dataType).alias("shapes")).alias("package"))
+
+
+def write_packages(packages: DataFrame, path: str) -> None:
+    """packages with (layer_id, part, package): one JSON document a line, a folder for each layer and part."""
+    packages.select("layer_id", "part", F.to_json("package").alias("value")).write.partitionBy("layer_id", "part").text(path)
 
 
 def as_json(package: Column, pretty: bool = False) -> Column:
@@ -47,8 +64,8 @@ def import_rows(packages: DataFrame, first_layer: int = 0) -> tuple[DataFrame, D
 
     Each distinct trimmed layer name makes one new layer, never a master; ids follow the order of names.
     A blank layer name or an unknown shape type fails the job."""
-    m = packages.select(F.explode("package.markers").alias("x")).select("x.*", F.trim("x.layer.layer_name").alias("layer_name"))
-    s = packages.select(F.explode("package.shapes").alias("x")).select("x.*", F.trim("x.layer.layer_name").alias("layer_name"))
+    m = packages.select(F.explode("package.markers").alias("x")).select("x.*", trimmed(F.col("x.layer.layer_name")).alias("layer_name"))
+    s = packages.select(F.explode("package.shapes").alias("x")).select("x.*", trimmed(F.col("x.layer.layer_name")).alias("layer_name"))
     fails = lambda ok, why: F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit(why)).cast("boolean"))
     named = fails(F.col("layer_name") != "", "a layer has no name")
     m = m.where(named.isNull())

@@ -77,7 +77,10 @@ def shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    """Errors and all other events but purchases and signups are tried passwords, purchases codes, signups an unlocking."""
+    event, user = F.col("event_type"), F.col("user_id")
+    kind = F.when(event == "purchase", "code").when(event == "signup", "unlock").otherwise("password")
+    return table(spark, d, "events").select("user_id", "ts", kind.alias("kind"), F.when(event == "purchase", F.col("event_id") % 2 == 0).otherwise(event != "error").alias("ok"), (user % 10 != 9).alias("known"), (user % 3 == 0).alias("second"))
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +97,7 @@ VIEWS_SQL = {
     "vertices": "SELECT l_orderkey AS shape_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS seq, CAST(35 AS DOUBLE) + CAST(l_partkey * 7919 % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lat, CAST(139 AS DOUBLE) + CAST((l_suppkey * 104729 + l_linenumber * 31) % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lng FROM lineitem",
     "images": "SELECT p_partkey AS id, p_brand AS user_id, p_name || CASE p_partkey % 7 WHEN 0 THEN '.png' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' WHEN 3 THEN '.pdf' WHEN 4 THEN '.PDF' WHEN 5 THEN '.mp4' ELSE '.txt' END AS filename FROM part",
     "shares": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS create_at, o_orderdate + to_days(CAST(o_orderkey % 90 AS INTEGER)) AS expiration FROM orders",
-    "attempts": "SELECT user_id, ts, event_type = 'error' AS failed FROM events",
+    "attempts": "SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'code' WHEN 'signup' THEN 'unlock' ELSE 'password' END AS kind, CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 ELSE event_type <> 'error' END AS ok, user_id % 10 <> 9 AS known, user_id % 3 = 0 AS second FROM events",
     "positions": "SELECT user_id, ts, value FROM events",
 }
 
@@ -103,6 +106,7 @@ def with_views(sql: str) -> str:
     """sql with the views that it names put before it."""
     used = [v for v in VIEWS_SQL if f"{v} " in f"{sql} ".replace(")", " ").replace("\n", " ").replace(",", " ")]
     head = ", ".join(f"{v} AS ({VIEWS_SQL[v]})" for v in used)
-    if sql.lstrip().startswith("WITH "):
-        return f"WITH {head}, {sql.lstrip()[5:]}" if head else sql
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{head}, {sql.lstrip()[len(start):]}" if head else sql
     return f"WITH {head} {sql}" if head else sql

@@ -1,4 +1,8 @@
-"""The login-failure state machine, as a batch fold and as a stream."""
+"""The login state machine, as a batch fold and as a stream.
+
+Rows are (user_id, ts, kind, ok, known, second): a password or, after it, a code of the second factor was tried,
+rightly or not, or an administrator unlocked the account; known: whether there is such a user; second: whether
+the user has a second factor."""
 
 from __future__ import annotations
 
@@ -11,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "user_id long, ts timestamp_ntz, outcome string, failed_count int, is_locked boolean"
-STATE = "failed_count int, is_locked boolean, next_challenge timestamp_ntz"
+STATE = "failed_count int, is_locked boolean, next_challenge timestamp_ntz, passed_at timestamp_ntz"
+COLUMNS = ["user_id", "ts", "kind", "ok", "known", "second"]
+ORDER = ["ts", "kind", "ok"]
 
 
 @dataclass(frozen=True)
@@ -19,6 +25,7 @@ class Settings:
     limit: int = 15
     minutes: int = 5
     start: int = 5
+    code_minutes: int = 3
 
 
 @dataclass(frozen=True)
@@ -26,45 +33,69 @@ class Account:
     failed_count: int = 0
     is_locked: bool = False
     next_challenge: datetime | None = None
-
-
-def attempt(account: Account, at: datetime, failed: bool, settings: Settings) -> tuple[Account, str]:
-    """One try: the account after it, and what the caller is told."""
+    #: When the password was right and a code was asked for.
+    passed_at: datetime | None = None
+
+
+def attempt(account: Account, at: datetime, kind: str, ok: bool, known: bool, second: bool, settings: Settings) -> tuple[Account, str]:
+    """One row: the account after it, and what the caller is told."""
+    if not known:
+        return account, "Unauthorized"
+    if kind == "unlock":
+        return replace(account, is_locked=False), "Unlocked"
+    if kind == "code":
+        if account.passed_at is None:
+            return account, "NoBasicAuth"
+        if at - account.passed_at > timedelta(minutes=settings.code_minutes):
+            return account, "Time Over."
+        return (replace(account, failed_count=0), "Success") if ok else (account, "NoAuth")
     if account.is_locked:
         return account, "LockedAccount"
     if account.next_challenge is not None and account.next_challenge > at:
         return account, "PleaseWait"
     if account.failed_count == settings.limit - 1:
         return replace(account, failed_count=0, is_locked=True), "Locked"
-    if not failed:
-        return replace(account, failed_count=0), "Success"
-    n = account.failed_count + 1
-    if n >= settings.start:
-        return Account(n, False, at + timedelta(minutes=settings.minutes)), "UnauthorizedPleaseWait"
-    return replace(account, failed_count=n), "Unauthorized"
-
-
-def folded(rows: pd.DataFrame, user: int, account: Account, settings: Settings) -> tuple[pd.DataFrame, Account]:
+    if not ok:
+        n = account.failed_count + 1
+        if n >= settings.start:
+            return replace(account, failed_count=n, next_challenge=at + timedelta(minutes=settings.minutes)), "UnauthorizedPleaseWait"
+        return replace(account, failed_count=n), "Unauthorized"
+    if second:
+        return replace(account, passed_at=at), "CodeRequired"
+    return replace(account, failed_count=0), "Success"
+
+
+def folded(rows: pd.DataFrame, accounts: dict[int, Account], settings: Settings) -> pd.DataFrame:
+    """The outcomes of rows in order; accounts change."""
     out = []
-    for at, failed in rows.sort_values(["ts", "failed"])[["ts", "failed"]].itertuples(index=False):
-        account, outcome = attempt(account, at.to_pydatetime(), bool(failed), settings)
-        out.append((user, at, outcome, account.failed_count, account.is_locked))
-    return pd.DataFrame(out, columns=["user_id", "ts", "outcome", "failed_count", "is_locked"]), account
+    for user, at, kind, ok, known, second in zip(rows["user_id"], rows["ts"].dt.to_pydatetime(), *(rows[c] for c in COLUMNS[2:])):
+        accounts[user], outcome = attempt(accounts.get(user) or Account(), at, kind, bool(ok), bool(known), bool(second), settings)
+        out.append((user, at, outcome, accounts[user].failed_count, accounts[user].is_locked))
+    return pd.DataFrame(out, columns=["user_id", "ts", "outcome", "failed_count", "is_locked"])
 
 
 def batch(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The outcome of each attempt; a user's attempts are one ordered history and so one group."""
-    return attempts.groupBy("user_id").applyInPandas(lambda rows: folded(rows, int(rows["user_id"].iloc[0]), Account(), settings)[0], OUTPUT)
+    """The outcome of each row. A user's rows are one ordered history: they come sorted, some at a time, and one account is held."""
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        accounts: dict[int, Account] = {}
+        for rows in parts:
+            if len(rows):
+                yield folded(rows, accounts, settings)
+                last = int(rows["user_id"].iloc[-1])
+                accounts = {last: accounts[last]}
+
+    rows = attempts.select(*COLUMNS).repartition("user_id").sortWithinPartitions("user_id", *ORDER)
+    return rows.mapInPandas(fold, OUTPUT)
 
 
 def stream(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The same for a stream, with the account kept as state between micro-batches."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        account = Account(*state.get) if state.exists else Account()
-        rows = pd.concat(list(parts))
-        out, account = folded(rows, int(key[0]), account, settings)
-        state.update((account.failed_count, account.is_locked, account.next_challenge))
-        yield out
+        accounts = {key[0]: Account(*state.get) if state.exists else Account()}
+        yield folded(pd.concat(list(parts)).sort_values(ORDER), accounts, settings)
+        a = accounts[key[0]]
+        state.update((a.failed_count, a.is_locked, a.next_challenge, a.passed_at))
 
-    return attempts.groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return attempts.select(*COLUMNS).groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,9 +1,12 @@
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, text
+from terrafold.operators import hits, measure
 from terrafold.plans.state import nested_blocks
 from terrafold.sources import packages
 from terrafold.streaming import logins
@@ -21,23 +24,111 @@ def test_search_terms(spark, term, body, hit):
     assert value(spark, text.matches(F.lit(body), term)) is hit
 
 
-@pytest.mark.parametrize("z, x, y, ok", [(0, 0, 0, True), (19, 2**19 - 1, 2**19 - 1, True), (20, 0, 0, False), (2, 4, 0, False), (2, 0, 4, False)])
-def test_tiles(spark, z, x, y, ok):
-    assert value(spark, geo.valid_tile(F.lit(z), F.lit(x), F.lit(y))) is ok
+def test_tiles(spark):
+    rows = [(5, 31, 31, True), (5, 32, 0, False), (5, 0, 32, False), (3, -1, 2, False), (-1, 0, 0, False), (21, 7, 7, False), (None, 1, 1, None)]
+    found = spark.createDataFrame([r[:3] for r in rows], "z int, x long, y long").select(geo.valid_tile(F.col("z"), F.col("x"), F.col("y")).alias("ok"))
+    assert [r["ok"] for r in found.collect()] == [r[3] for r in rows]
 
 
-@pytest.mark.parametrize("name, row", [("6342.png", 6342), ("6342.jpg", None), ("abc.png", None)])
+@pytest.mark.parametrize("name, row", [("17.png", 17), ("17.webp", None), ("x17.png", None), (".png", None), ("17.png.png", None)])
 def test_tile_rows(spark, name, row):
     assert value(spark, geo.tile_row(F.lit(name))) == row
 
 
 def test_distance_and_labels(spark):
-    meters = value(spark, geo.distance(F.lit(35.681236), F.lit(139.767125), F.lit(35.0), F.lit(139.0)))
-    assert 102_000 < meters < 103_500
-    assert value(spark, geo.distance_label(F.lit(1234.5))) == "1.23 km"
-    assert value(spark, geo.distance_label(F.lit(99.96))) == "100.0 m"
-    assert value(spark, geo.distance_label(F.lit(float("nan")))) == "-"
-    assert value(spark, geo.area_label(F.lit(2_500_000.0))) == "2.50 km²"
+    degree = value(spark, geo.distance(F.lit(10.0), F.lit(20.0), F.lit(11.0), F.lit(20.0)))
+    assert abs(degree - 6371000 * math.pi / 180) < 1e-3
+    shown = {1234.5: "1.23 km", 99.96: "100.0 m", 1.45: "1.4 m", 0.35: "0.3 m", 0.25: "0.3 m", 100.5: "101 m", 999.5: "1000 m", 0.0: "0.0 m", -0.04: "-0.0 m", math.nan: "-", math.inf: "-", -math.inf: "-"}
+    for meters, label in shown.items():
+        assert value(spark, geo.distance_label(F.lit(meters))) == label, meters
+    for area, label in {2_500_000.0: "2.50 km²", 1_005_000.0: "1.00 km²", 0.49999999999999994: "0 m²", 2.5: "3 m²", -2.5: "-2 m²", math.nan: "-", math.inf: "-", -math.inf: "-"}.items():
+        assert value(spark, geo.area_label(F.lit(area))) == label, area
+    assert value(spark, geo.distance_label(F.lit(None).cast("double"))) == "-"
+
+
+def test_fixed_places_round_exact_values(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(3)
+    numbers = [rng.randrange(10**6) / rng.choice([8, 10, 20, 64, 1000, 2000]) for _ in range(400)] + [1.005, 8.345, 1e-9, 123456.785]
+    found = spark.createDataFrame([(x,) for x in numbers], "x double").select(*(text.fixed(F.col("x"), k).alias(f"p{k}") for k in (0, 1, 2, 5))).collect()
+    for x, row in zip(numbers, found):
+        for k in (0, 1, 2, 5):
+            assert row[f"p{k}"] == str(Decimal(x).quantize(Decimal(1).scaleb(-k), ROUND_HALF_UP)), (x, k)
+
+
+@pytest.mark.parametrize("function, given, expected", [
+    (text.trimmed, "\t\u3000 a b\u00a0\n", "a b"), (text.blank_to_null, "\t\n\u2028", None), (text.password_ok, "éééééééé", True), (text.password_ok, "1234567", False),
+    (text.base_name, "../a.png", "a.png"), (text.base_name, "x/a..png", None), (text.base_name, "a\\b.png", None), (text.base_name, "a/", ""),
+    (text.content_type, "a.JPEG", "application/octet-stream"), (text.content_type, "a.PDF", "application/octet-stream"), (text.content_type, "a.JPG", "image/jpeg"), (text.content_type, ".png", "application/octet-stream"),
+    (text.export_name, "a\u0085b", "a_b.json"), (text.export_name, " . ", "export.json"),
+    (text.youtube_id, "https://www.youtube-nocookie.com/embed/abcdefghijk", "abcdefghijk"), (text.youtube_id, "https://youtu.be/abcdefghijk/", None), (text.youtube_id, "https://youtube.com/watch?v=bad&v=abcdefghijk", None),
+    (text.link_kind, "https://a.example/x.pdf", "external"), (text.link_kind, "http://127.0.0.1/x.PDF", "pdf"), (text.link_kind, "x.pdf", "pdf"), (text.link_kind, "HTTP://a.example", "internal"), (text.link_kind, "x.pdf\n", "internal"),
+    (text.is_download, "/a/b.CSV", True), (text.is_download, "/a/b.csv?x", False), (text.is_localhost, "http://[::1]:8080/", True), (text.is_localhost, "http://localhost.example/", False),
+])
+def test_text_rules(spark, function, given, expected):
+    assert value(spark, function(F.lit(given))) == expected
+
+
+def test_cookies(spark):
+    found = value(spark, text.cookies(F.lit("a = 1;b=2; a=3; c; d=e=f;\tg=\u3000 h ")))
+    assert found == {"a": "1", "b": "2", "g": "h"}
+
+
+def test_cache_control(spark):
+    told = lambda x: tuple(value(spark, text.cache_control(F.lit(x))))
+    assert told(" PRIVATE, max-age=60 ") == ("private", 60, "private, max-age=60", None)
+    assert told("privately") == ("private", None, "private", None)
+    assert told("private, max-age=60, x")[3] == "Invalid max-age value" and told(f"private max-age={2**64}")[0] is None
+    assert told("max-age=60")[3] == "Unknown cache control: max-age=60"
+
+
+@pytest.mark.parametrize("html, left", [
+    ('<h1 ID="a" style="b" class=c>x</h1>', '<h1 ID="a" class=c>x</h1>'), ("<scripty>a</scripty><SCRIPT>b</SCRIPT >c", "ac"), ("<p a b=1 c='2'>t</p>", "<p>t</p>"), ("<br><b>x</b>", "x"),
+    ('<video src="v" autoplay controls="c" onclick="d">', '<video src="v" controls="c">'), ("<iframe src=x></iframe>", "Not Allow iframe Not Allow iframe "), ("1 < 2 > 1", "1 < 2 > 1"), ("<script>never closed", ""),
+])
+def test_sanitised(spark, html, left):
+    assert value(spark, text.strip_html(F.lit(html))) == left
+
+
+def test_first_rings(spark):
+    ring = lambda kind, text: value(spark, geo.first_ring(F.lit(kind), F.lit(text)))
+    assert ring("Polygon", "[[[1,2],[3,4]],[[5,6]]]") == [[1.0, 2.0], [3.0, 4.0]]
+    assert ring("MultiPolygon", "[[[[1,2]],[[3,4]]],[[[5,6]]]]") == [[1.0, 2.0]]
+    assert ring("LineString", "[[1,2]]") == [[1.0, 2.0]] and ring("Polygon", "[]") is None
+
+
+def test_circles_and_large_shapes_are_hit(spark):
+    """A circle counts within its radius and the tolerance; a shape far larger than a cell is met from its middle."""
+    clicks = spark.createDataFrame([(1, 35.0, 139.0), (2, 35.0, 139.02)], "click_id int, lat double, lng double")
+    shapes = spark.createDataFrame([(1, "circle", 10.0), (2, "circle", None), (3, "polygon", None), (4, "polyline", None)], "id int, shape_type string, radius double").withColumn("created_at", F.lit(0))
+    corners = [(3, 1, 20.0, 120.0), (3, 2, 50.0, 120.0), (3, 3, 50.0, 160.0), (3, 4, 20.0, 160.0), (4, 1, 35.0, 138.99), (4, 2, 35.0, 139.001)]
+    vertices = spark.createDataFrame([(1, 1, 35.0, 139.001), (2, 1, 35.0, 139.0), *corners], "shape_id int, seq int, lat double, lng double")
+    found = {(r["click_id"], r["shape_id"]): r["pixels"] for r in hits.hit_shapes(clicks, shapes, vertices, 14).collect()}
+    assert found == {(1, 1): 0.0, (1, 3): 0.0, (1, 4): 0.0, (2, 3): 0.0}
+
+
+def test_group_centres(spark):
+    rows = [(1, 1, 0.0, 0.0), (1, 2, 0.0, 1.0), (1, 3, 0.0, 4.0), (1, 4, 0.0, 6.0), (2, 1, 5.0, 5.0), (2, 2, 5.0, 5.0)]
+    found = measure.group_centres(spark.createDataFrame(rows, "shape_id int, seq int, lat double, lng double")).collect()
+    assert sorted((r["shape_id"], r["pair"], round(r["lng"], 9)) for r in found) == [(1, 0, 2.0), (1, 1, 5.0), (2, 0, 5.0)]
+
+
+def test_packages_are_written_in_parts(spark, tmp_path):
+    layer = F.struct(F.lit(" x\u3000").alias("layer_name"), F.lit(False).alias("is_master")).alias("layer")
+    item = F.struct(F.col("id").cast("string").alias("marker_name"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit("").alias("detail"), layer)
+    markers = spark.range(1000).select(F.lit(6).alias("layer_id"), item.alias("marker"))
+    none = spark.createDataFrame([], f"layer_id int, shape {packages.SHAPE}")
+    parts = packages.exported(markers, none, ["layer_id"], most=100)
+    assert parts.count() == 10 and max(r["n"] for r in parts.select(F.size("package.markers").alias("n")).collect()) < 200
+    packages.write_packages(parts, str(tmp_path / "out"))
+    for k, path in enumerate(tmp_path.glob("out/*/*/part-*")):
+        path.rename(tmp_path / f"{k}.json")
+    (tmp_path / "other.JSON").write_text("not read")
+    read = packages.read_packages(spark, str(tmp_path))
+    layers, back, _ = packages.import_rows(read.select("package"))
+    assert [r["layer_name"] for r in layers.collect()] == ["x"]
+    assert sorted(int(r["marker_name"]) for r in back.collect()) == list(range(1000))
 
 
 def test_pairs_and_ring(spark):
@@ -61,17 +152,32 @@ def test_import_rejects_bad_documents(spark):
 
 def test_login_rules():
     s, at = logins.Settings(limit=4, minutes=5, start=2), datetime(2024, 1, 1)
-    a, said = logins.attempt(logins.Account(), at, True, s)
+    tried = lambda a, at, ok, second=False: logins.attempt(a, at, "password", ok, True, second, s)
+    a, said = tried(logins.Account(), at, False)
     assert (a.failed_count, said) == (1, "Unauthorized")
-    a, said = logins.attempt(a, at, True, s)
+    a, said = tried(a, at, False)
     assert said == "UnauthorizedPleaseWait" and a.next_challenge == at + timedelta(minutes=5)
-    assert logins.attempt(a, at, False, s) == (a, "PleaseWait")
+    assert tried(a, at, True) == (a, "PleaseWait")
     later = at + timedelta(minutes=6)
-    a, said = logins.attempt(a, later, True, s)
+    a, said = tried(a, later, False)
     assert a.failed_count == 3
-    a, said = logins.attempt(a, later + timedelta(minutes=6), False, s)
+    a, said = tried(a, later + timedelta(minutes=6), True)
     assert said == "Locked" and a.is_locked and a.failed_count == 0
-    assert logins.attempt(a, later + timedelta(days=1), False, s)[1] == "LockedAccount"
+    assert tried(a, later + timedelta(days=1), True)[1] == "LockedAccount"
+    a, said = logins.attempt(a, later, "unlock", True, True, False, s)
+    assert said == "Unlocked" and not a.is_locked
+    assert logins.attempt(a, at, "password", True, False, False, s) == (a, "Unauthorized")
+
+
+def test_second_factor():
+    s, at = logins.Settings(), datetime(2024, 1, 1)
+    code = lambda a, minutes, ok: logins.attempt(a, at + timedelta(minutes=minutes), "code", ok, True, True, s)
+    assert code(logins.Account(), 0, True)[1] == "NoBasicAuth"
+    a, said = logins.attempt(logins.Account(failed_count=2), at, "password", True, True, True, s)
+    assert (said, a.failed_count) == ("CodeRequired", 2)
+    assert code(a, 1, False) == (a, "NoAuth") and code(a, 4, True) == (a, "Time Over.")
+    a, said = code(a, 3, True)
+    assert (said, a.failed_count) == ("Success", 0)
 
 
 def test_stream_gives_the_batch_result(spark, data, tmp_path):
@@ -87,5 +193,10 @@ def test_stream_gives_the_batch_result(spark, data, tmp_path):
 
 
 def test_nested_blocks():
-    assert nested_blocks(":::note a\nx\n:::details\ny\n:::\n:::") == '<div class="note">a\nx\n<details><summary></summary>\ny\n</details>\n</div>'
-    assert nested_blocks(":::note") == '<div class="note">\n</div>'
+    note = lambda title, body: f'<div class="box note">\n<summary>{title}</summary>\n{body}\n</div>\n'
+    assert nested_blocks(":::note  a b \nx\n:::") == note("a b", "x")
+    assert nested_blocks("t\n:::note\n:::details  d\ny\n  :::  \n:::\nz") == "t\n" + note("NOTE", '<details class="details">\n<summary>d</summary>\ny\n</details>\n') + "\nz"
+    assert nested_blocks(":::note\nnever closed") == ":::note\nnever closed"
+    assert nested_blocks(":::note\n:::other\n:::") == ":::note\n:::other\n:::"
+    assert nested_blocks(":::note\n:::other\n:::\n:::") == note("NOTE", ":::other\n:::")
+    assert nested_blocks(" :::note\nx\n:::") == " :::note\nx\n:::"
