@@ -1,22 +1,28 @@
 """Secrets by patterns and by a battery of randomness tests.
 
 The base patterns always count. Beyond them, every long token is a candidate. Its encoding is inferred
-from its characters (hexadecimal, base 32, letters and digits, base 64), and under that alphabet three
-tests ask whether it could be uniformly random: chi-squared uniformity, runs about the median, serial
-correlation. Their joint p value (Fisher) is the candidate's score. What score is enough depends on the
-length: for each candidate, as many letters of the prose beside it make a decoy, scored the same way, and
-in each band of lengths the cut is the lowest at which decoys estimate a share of at most MOST_FALSE
-false discoveries. The scores of all documents are counted by Spark into bounded histograms first.
+from its characters (hexadecimal, base 32, letters and digits, base 64), and under that alphabet four
+tests ask whether it could be uniformly random: chi-squared uniformity over characters and over classes of
+characters, runs about the median, serial correlation. Their joint p value (Fisher) is the candidate's score: the higher, the likelier random.
+
+How high is enough depends on the length and on how much is tested. Every text lends decoys: of a stretch of
+its own prose names in the characters of each encoding in DECOYS, of one of the lengths BANDS, in turn by its
+hash, scored like candidates of that encoding. A candidate's p value under natural text is the share of the decoys
+of its encoding and band of lengths that score at least as high; the Benjamini-Hochberg step-up rule over all
+candidates that touch no base span keeps the expected share of false ones at most MOST_FALSE. And what the
+battery itself refuses as random at RANDOM is never added. The scores of all documents are counted by Spark
+into bounded histograms first.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; of equal starts the
-kinds come in the order of KINDS; a candidate that overlaps a base span is not added; with too few
-candidates to tell, a band adds none.
+kinds come in the order of KINDS; a candidate that overlaps a base span is not added; with too few texts to
+lend decoys none is added.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +41,8 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 #: Lower ends of the bands of lengths.
 BANDS = (20, 28, 40, 64)
 STEP, LOWEST, MOST_FALSE = 0.25, -40.0, 0.05
+#: log10 of the joint p value under randomness that a secret must have; of random tokens 999 in 1000 do.
+RANDOM = -3.0
 #: The alphabets in their standard order.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -43,8 +51,15 @@ ALPHABETS = {
     "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: Encodings that decoys are taken in: all that can hold a letter and a digit.
+DECOYS = ("hex", "base32", "alnum", "base64")
+#: Where each alphabet passes from one class of characters to the next.
+_ENDS = {"hex": [10], "base32": [26], "lower": [], "alnum": [26, 52], "base64": [26, 52]}
+STRATA = len(BANDS) * len(DECOYS)
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 _VALUES = {k: np.array([v.find(chr(c)) for c in range(128)]) for k, v in ALPHABETS.items()}
+_OTHERS = {"hex": re.compile("[^0-9a-f]+"), "base32": re.compile("[^A-Z2-7]+"), "alnum": re.compile("[^A-Za-z0-9]+"), "base64": re.compile("[^A-Za-z0-9+/]+")}
+_ODD_WORDS = re.compile(r"^\S+|\S+$|\S*[0-9]\S*|\S{20,}")
 _CLASSES = (re.compile("[0-9]"), re.compile("[A-Za-z]"))
 
 
@@ -72,10 +87,10 @@ def _upper_normal(z: float) -> float:
     return max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
 
 
-def battery(token: str) -> float:
-    """log10 of the joint p value of the three tests under uniform randomness; 0 is as random as can be."""
+def battery(token: str, kind: str | None = None) -> float:
+    """log10 of the joint p value of the four tests under uniform randomness; 0 is as random as can be."""
     token = token.rstrip("=")
-    kind = encoding_of(token)
+    kind = kind or encoding_of(token)
     shown = token.lower() if kind == "hex" else token.replace("-", "+").replace("_", "/")
     x = _VALUES[kind][np.frombuffer(shown.encode("ascii"), np.uint8)]
     n, m = len(x), len(ALPHABETS[kind])
@@ -96,26 +111,39 @@ def battery(token: str) -> float:
     power = float((d * d).sum())
     r = float((d[1:] * d[:-1]).sum()) / power if power else 1.0
     p_serial = min(1.0, 2 * _upper_normal(abs(r + 1 / n) * math.sqrt(n)))
-    half = -(math.log(p_uniform) + math.log(p_runs) + math.log(p_serial))
-    return (-half + math.log(1 + half + half * half / 2)) / math.log(10)  # upper tail of chi-squared with six degrees
+    # Uniformity over capitals, small letters and the rest, or over letters and digits.
+    ends = _ENDS[kind]
+    shares = np.diff([0, *ends, m]) / m
+    coarse = float(((np.bincount(np.searchsorted(ends, x, "right"), minlength=len(shares)) / n - shares) ** 2 / shares).sum()) * n
+    p_class = 1.0 if not ends else math.exp(-coarse / 2) if len(ends) == 2 else math.erfc(math.sqrt(coarse / 2))
+    half = -sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_class, p_runs, p_serial))
+    return (-half + math.log(1 + half + half**2 / 2 + half**3 / 6)) / math.log(10)  # upper tail of chi-squared with eight degrees
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text) if all(c.search(m[0]) for c in _CLASSES)]
 
 
-def decoy(text: str, start: int, end: int) -> str | None:
-    """As many letters of the prose beside a candidate, before it if there are enough."""
-    n = end - start
-    for part in (text[max(0, start - 6 * n) : start], text[end : end + 6 * n]):
-        letters = re.sub("[^a-z]", "", part.lower())
+def decoys(text: str) -> Iterator[tuple[str, str]]:
+    """Names made of a text's prose in the characters of each encoding, with the encoding; none from a text too short for it."""
+    h = zlib.crc32(text.encode())
+    low = BANDS[h % len(BANDS)]
+    n = low + h // 64 % low // 2
+    at = h // 4096 % max(1, len(text) - 12 * n)
+    # Whole words without digits: what might be a secret itself lends nothing.
+    part = _ODD_WORDS.sub("", text[at : at + 12 * n])
+    words, number = part.split(), str(h % 10_000)
+    # As names are written: words joined by hyphens or by capitals, with a number.
+    seen = {"hex": part.lower(), "base32": part.upper() + number, "alnum": number + "".join(map(str.title, words)), "base64": number + "/" + "+".join(words)}
+    for kind in DECOYS:
+        letters = _OTHERS[kind].sub("", seen[kind])
         if len(letters) >= n:
-            return letters[-n:]
-    return None
+            yield letters[:n], kind
 
 
-def band(length: int) -> int:
-    return max(i for i, low in enumerate(BANDS) if length >= low)
+def stratum(length: int, kind: str) -> int:
+    """Of the band of lengths and the encoding."""
+    return max(i for i, low in enumerate(BANDS) if length >= low) * len(DECOYS) + DECOYS.index(kind)
 
 
 def _bin(score: float) -> int:
@@ -127,31 +155,42 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text"):
             text = text.as_py() or ""
-            for a, b in candidates(text):
-                counts[band(b - a), _bin(battery(text[a:b])), 0] += 1
-                if other := decoy(text, a, b):
-                    counts[band(b - a), _bin(battery(other)), 1] += 1
+            for other, kind in decoys(text):
+                counts[stratum(len(other), kind), _bin(battery(other, kind)), 1] += 1
+            if found := candidates(text):
+                base = base_spans(text)
+                for a, b in found:
+                    if all(b <= s or e <= a for s, e, _ in base):
+                        token = text[a:b].rstrip("=")
+                        counts[stratum(len(token), encoding_of(token)), _bin(battery(token)), 0] += 1
     keys = list(counts)
-    yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["band", "bin", "decoy", "n"])
+    yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["stratum", "bin", "decoy", "n"])
 
 
 def cuts_of(counts: dict[tuple[int, int, int], int], most_false: float = MOST_FALSE) -> list[int]:
-    """For each band the lowest bin of scores that is still enough; 1 if none is."""
-    out = []
-    for k in range(len(BANDS)):
-        cut, targets, decoys = 1, 0, 0
+    """For each stratum the lowest bin of scores that is still enough; 1 if none is. counts by (stratum, bin, whether decoys)."""
+    lent = Counter()
+    for (k, _, is_decoy), n in counts.items():
+        lent[k] += n * is_decoy
+    p_values: dict[tuple[int, int], float] = {}
+    for k in range(STRATA):
+        above = 0
         for x in range(0, int(LOWEST / STEP) - 1, -1):
-            targets += counts.get((k, x, 0), 0)
-            decoys += counts.get((k, x, 1), 0)
-            if targets and (decoys + 1) / targets <= most_false:
-                cut = x
-        out.append(cut)
-    return out
+            above += counts.get((k, x, 1), 0)
+            p_values[k, x] = (1 + above) / (1 + lent[k])
+    # Step up: the largest p value up to which the share expected to be false is small enough.
+    tested = sorted((p_values[k, x], n) for (k, x, is_decoy), n in counts.items() if not is_decoy)
+    total, rank, largest = sum(n for _, n in tested), 0, 0.0
+    for i, (p, n) in enumerate(tested):
+        rank += n
+        if (i + 1 == len(tested) or tested[i + 1][0] > p) and p <= most_false * rank / total:
+            largest = p
+    return [min((x for x in range(int(RANDOM / STEP), 1) if p_values[k, x] <= largest), default=1) for k in range(STRATA)]
 
 
 def fit_cuts(documents: DataFrame) -> list[int]:
-    """The cuts for all documents; what comes to the driver is at most a row for each band, bin and sort."""
-    counts = documents.select("text").mapInArrow(_histogram, "band int, bin int, decoy int, n long").groupBy("band", "bin", "decoy").agg(F.sum("n")).collect()
+    """The cuts for all documents; what comes to the driver is at most a row for each stratum, bin and sort."""
+    counts = documents.select("text").mapInArrow(_histogram, "stratum int, bin int, decoy int, n long").groupBy("stratum", "bin", "decoy").agg(F.sum("n")).collect()
     return cuts_of({(r[0], r[1], r[2]): r[3] for r in counts})
 
 
@@ -159,8 +198,10 @@ def spans_of(text: str, cuts: list[int]) -> list[tuple[int, int, str]]:
     base = base_spans(text)
     out = list(base)
     for a, b in candidates(text):
-        if all(b <= s or e <= a for s, e, _ in base) and _bin(battery(text[a:b])) >= cuts[band(b - a)]:
-            out.append((a, b, "random"))
+        if all(b <= s or e <= a for s, e, _ in base):
+            token = text[a:b].rstrip("=")
+            if _bin(battery(token)) >= cuts[stratum(len(token), encoding_of(token))]:
+                out.append((a, b, "random"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
