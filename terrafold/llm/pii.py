@@ -2,16 +2,18 @@
 
 Base spans come from four patterns with their checks and always count. Loose generators propose further,
 overlapping spans: long runs of digits and number punctuation, and anything around an ``@``. Each candidate
-gets small integer features of its format and context. Spark counts the candidates, and those that a base
-span covers, for each combination of features: a table whose size the features bound, whatever the
-corpus. Boosted trees of depth two are fitted on it to tell covered candidates from the rest, on half of
-the documents; on the other half a threshold is calibrated at which the lower confidence bound of
-precision is at least PRECISION. The trees become CASE expressions; candidates that reach the threshold
-and touch no base span are added.
+gets small integer features of its format and context; what the base patterns ask for (a plus sign, a
+checksum, parts up to 255) is not among them. Spark counts the candidates, and those that a base span covers,
+for each combination of features: a table whose size the features bound, whatever the corpus. Boosted trees
+of depth two are fitted on it to tell covered candidates from the rest, on half of the documents; on the
+other half a threshold is calibrated at which the lower confidence bound of precision is at least PRECISION.
+The trees become CASE expressions. Candidates that reach the threshold and touch no base span are added: they
+look and stand like personal data but miss what a pattern asks for.
 
 Patterns never repeat a group without limit, so a match of any length needs no deep stack: before e-mail
 addresses are matched, each dot without a label after it is replaced, one character for one, and before
-card numbers each separator that is not between two digits.
+card numbers each separator that is not between two digits. Matches are put together CHUNK at a time, and
+compared with base spans near them alone, so that a text of very many spans takes about linear time.
 
 Defined results: null and empty texts have no spans; repeated rows are searched each; offsets count code
 points; with no covered candidates nothing is added; other columns are left out.
@@ -31,8 +33,10 @@ from terrafold.llm.common import checkpointed
 BASE_KINDS, MORE_KINDS = ("email", "ip", "card", "phone"), ("number", "address")
 PRECISION, ROUNDS, RATE = 0.9, 20, 0.3
 CONTEXT = 24
+#: Matches that are put together at once, an even number; candidates that share a look-up of base spans.
+CHUNK, LOOK_UP = 64, 4096
 #: How many values each feature has, from 0 up.
-SIZES = {"source": 2, "digits": 8, "plus": 2, "dots": 4, "separators": 4, "brackets": 2, "context": 5, "before": 3}
+SIZES = {"source": 2, "digits": 8, "dots": 2, "separators": 4, "brackets": 2, "context": 5, "before": 3, "after": 3}
 MARK, OTHER, HIDDEN = "\\u0003", "\\u0002", "\\u0001"
 LOCAL = "A-Za-z0-9._%+-"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -47,14 +51,28 @@ def _parts(text: str, pattern: str) -> str:
     return f"split(regexp_replace({text}, {_raw(pattern)}, '{MARK}$0{MARK}'), '{MARK}')"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with a name for value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _matched(parts: str, fields: str, kind: str, valid: str, guard: str) -> Column:
+    """A struct of kind and fields for each valid match. In fields and valid: m the match, a.at its offset, x its place in parts p."""
+    chunks = f"sequence(0, (size(p) - 1) div {CHUNK})"
+    totals = f"transform({chunks}, c -> aggregate(slice(p, c * {CHUNK} + 1, {CHUNK}), 0L, (s, y) -> s + char_length(y)))"
+    starts = "aggregate(t, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (s, y) -> named_struct('at', s.at + y, 'out', array_append(s.out, s.at)), s -> s.out)"
+    one = f"""aggregate(slice(p, c * {CHUNK} + 1, {CHUNK}), named_struct('at', b[c], 'x', c * {CHUNK}, 'spans', cast(array() as array<{kind}>)),
+        (a, m) -> named_struct('at', a.at + char_length(m), 'x', a.x + 1, 'spans', if(a.x % 2 = 1 and ({valid}), array_append(a.spans, named_struct({fields})), a.spans)), a -> a.spans)"""
+    whole = _let(parts, "p", _let(totals, "t", _let(starts, "b", f"flatten(transform({chunks}, c -> {one}))")))
+    return F.expr(f"if({guard}, {whole}, cast(array() as array<{kind}>))")
+
+
+SPAN = "struct<kind:string,start:bigint,end:bigint>"
+
+
 def _spans(parts: str, kind: str, valid: str, guard: str) -> Column:
     """Valid matches with code-point offsets. valid: of the match m."""
-    valid = valid.replace("$m", "m")
-    return F.expr(f"""if({guard}, aggregate({parts},
-        named_struct('at', 0L, 'odd', false, 'spans', cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)),
-        (a, m) -> named_struct('at', a.at + char_length(m), 'odd', not a.odd, 'spans',
-            if(a.odd and ({valid}), array_append(a.spans, named_struct('kind', '{kind}', 'start', a.at, 'end', a.at + char_length(m))), a.spans)),
-        a -> a.spans), cast(array() as array<struct<kind:string,start:bigint,end:bigint>>))""")
+    return _matched(parts, f"'kind', '{kind}', 'start', a.at, 'end', a.at + char_length(m)", SPAN, valid.replace("$m", "m"), guard)
 
 
 def base_spans(text: str = "_text") -> Column:
@@ -73,29 +91,35 @@ def base_spans(text: str = "_text") -> Column:
 
 def _candidates(text: str, pattern: str, kind: str, source: int, guard: str) -> Column:
     count = lambda what: f"length(regexp_replace(m, '[^{what}]', ''))"
-    digits, before = count("0-9"), "lower(a.before)"
+    # The parts before and after a match are never missing.
+    digits, before, after = count("0-9"), f"lower(right(p[a.x - 1], {CONTEXT}))", "p[a.x + 1]"
     features = {
         "source": str(source),
         "digits": f"case when {digits} < 9 then 0 when {digits} = 9 then 1 when {digits} < 12 then 2 when {digits} = 12 then 3 when {digits} < 16 then 4 when {digits} = 16 then 5 when {digits} < 20 then 6 else 7 end",
-        "plus": "if(startswith(m, '+'), 1, 0)",
-        "dots": f"case when {count('.')} = 0 then 0 when {count('.')} < 3 then 1 when {count('.')} = 3 then 2 else 3 end",
+        "dots": f"if({count('.')} = 0, 0, 1)",
         "separators": "if(m rlike ' ', 1, 0) + if(m rlike '-', 2, 0)",
         "brackets": "if(m rlike '[()]', 1, 0)",
         "context": f"case when {before} rlike 'tel|phone|call|mobile|fax|contact|mail' then 1 when {before} rlike 'card|visa|iban|account|payment' then 2 when {before} rlike 'ip|addr|host|server' then 3 when {before} rlike 'order|invoice|ref|date|isbn|version|page|#' then 4 else 0 end",
-        "before": "case when a.before = '' then 0 when a.before rlike '[ \\n\\t]$' then 1 else 2 end",
+        "before": f"case when {before} = '' then 0 when {before} rlike '[ \n\t]$' then 1 else 2 end",
+        "after": f"case when {after} = '' then 0 when {after} rlike '^[.,;)\n]' then 1 else 2 end",
     }
     fields = ", ".join(f"'{k}', cast({v} as int)" for k, v in features.items())
     kind_of = f"struct<kind:string,start:bigint,end:bigint,{','.join(f'{k}:int' for k in features)}>"
-    # The characters around a candidate must not continue it.
-    return F.expr(f"""if({guard}, aggregate({_parts(text, pattern)},
-        named_struct('at', 0L, 'odd', false, 'before', '', 'spans', cast(array() as array<{kind_of}>)),
-        (a, m) -> named_struct('at', a.at + char_length(m), 'odd', not a.odd, 'before', right(m, {CONTEXT}), 'spans',
-            if(a.odd, array_append(a.spans, named_struct('kind', '{kind}', 'start', a.at, 'end', a.at + char_length(m), {fields})), a.spans)),
-        a -> a.spans), cast(array() as array<{kind_of}>))""")
+    return _matched(_parts(text, pattern), f"'kind', '{kind}', 'start', a.at, 'end', a.at + char_length(m), {fields}", kind_of, "true", guard)
 
 
-def candidates(text: str = "_text") -> Column:
-    return F.concat(
+def _with_covered(spans: str, base: str) -> str:
+    """spans, in order and apart from each other, as structs of c and whether it overlaps a base span."""
+    near = lambda among, low, high: f"filter({among}, s -> s.start < {high} and s.end > {low})"
+    each = "transform(k, c -> named_struct('c', c, 'covered', exists(n, s -> s.start < c.end and s.end > c.start)))"
+    inner = _let(f"slice(g, i * {CHUNK} + 1, {CHUNK})", "k", _let(near("w", "k[0].start", "element_at(k, -1).end"), "n", each))
+    outer = _let(f"slice({spans}, j * {LOOK_UP} + 1, {LOOK_UP})", "g", _let(near(base, "g[0].start", "element_at(g, -1).end"), "w", f"flatten(transform(sequence(0, (size(g) - 1) div {CHUNK}), i -> {inner}))"))
+    return f"if(size({spans}) > 0, flatten(transform(sequence(0, (size({spans}) - 1) div {LOOK_UP}), j -> {outer})), array())"
+
+
+def candidates(text: str = "_text") -> tuple[Column, Column]:
+    """Numbers and addresses."""
+    return (
         _candidates(text, r"(?<![0-9A-Za-z+(])[+(]?[0-9][0-9 ().-]{7,}[0-9](?![0-9A-Za-z])", "number", 0, f"{text} rlike {_raw('[0-9][0-9 ().-]{7}')}"),
         _candidates(text, r"[^\s@<>,;]{1,64}@[^\s@<>,;]{1,255}", "address", 1, f"contains({text}, '@')"),
     )
@@ -165,19 +189,18 @@ def _score(start: float, trees: Sequence[Tree], c: str) -> str:
     return " + ".join([f"{start!r}D", *(f"if({c}.{n} <= {cut}, {leaf(a)}, {leaf(b)})" for n, cut, a, b in trees)])
 
 
-def _overlaps(c: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-
-
 def find_pii(documents: DataFrame) -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end) for each document."""
     clean = F.translate(F.coalesce("text", F.lit("")), "\x01\x03", "\x02\x02")
-    rows = documents.select("doc_id", clean.alias("_text")).select("doc_id", base_spans().alias("base"), candidates().alias("candidates"))
-    rows = checkpointed(rows)  # spans only, no texts
-    c = F.col("c")
-    each = rows.select("base", F.explode("candidates").alias("c"), (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 2).alias("half"))
+    numbers, addresses = candidates()
+    rows = documents.select("doc_id", clean.alias("_text")).select("doc_id", base_spans().alias("base"), numbers.alias("_numbers"), addresses.alias("_addresses"))
+    rows = rows.select("doc_id", "base", *(F.expr(_with_covered(x, "base")).alias(x) for x in ("_numbers", "_addresses")))
+    rows = checkpointed(rows.select("doc_id", "base", F.concat("_numbers", "_addresses").alias("candidates")))  # spans only, no texts
+    half = (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 2).alias("half")
+    told = F.transform("candidates", lambda x: F.struct(*(x["c"][f].alias(f) for f in SIZES), x["covered"].alias("covered")))
+    each = rows.select(half, F.explode(told).alias("x")).select("half", "x.*")
     # At most a row for each combination of features.
-    counted = each.groupBy(*(c[f].alias(f) for f in SIZES)).agg(*(F.count_if(F.col("half") == h).alias(f"n{h}") for h in (0, 1)), *(F.count_if((F.col("half") == h) & _overlaps(c, F.col("base"))).alias(f"c{h}") for h in (0, 1))).collect()
+    counted = each.groupBy(*SIZES).agg(*(F.count_if(F.col("half") == h).alias(f"n{h}") for h in (0, 1)), *(F.count_if((F.col("half") == h) & F.col("covered")).alias(f"c{h}") for h in (0, 1))).collect()
     added = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
     if counted:
         cells = {f: np.array([r[f] for r in counted]) for f in SIZES}
@@ -186,10 +209,8 @@ def find_pii(documents: DataFrame) -> DataFrame:
         z = start + sum(applied(t, cells) for t in trees)
         cut = threshold(z, n1, c1)
         if cut is not None:
-            fresh = F.filter("candidates", lambda c: ~_overlaps(c, F.col("base")))
-            likely = F.expr(f"filter(_fresh, c -> {_score(start, trees, 'c')} >= {cut - 1e-9!r}D)")
-            rows = rows.withColumn("_fresh", fresh)
-            added = F.transform(likely, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+            likely = F.expr(f"filter(candidates, x -> not x.covered and {_score(start, trees, 'x.c')} >= {cut - 1e-9!r}D)")
+            added = F.transform(likely, lambda x: F.struct(x["c"]["kind"].alias("kind"), x["c"]["start"].alias("start"), x["c"]["end"].alias("end")))
     return rows.select("doc_id", "base", added.alias("added"))
 
 

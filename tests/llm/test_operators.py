@@ -101,6 +101,39 @@ def test_pii(spark, documents, nothing, rows):
     assert pii.find_pii_digests(nothing).count() == 0
 
 
+def added_spans(spans):
+    return {tuple(x.split(":")) for x in spans.split(",") if x.split(":")[0] in pii.MORE_KINDS}
+
+
+def test_pii_adds_what_looks_and_stands_alike(spark):
+    """Numbers that lack the plus sign or the checksum that a base pattern asks for, where most such numbers have it: planted ones are added, numbers elsewhere are not."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    phone = lambda plus: f"{plus}{rng.randrange(1, 9)} {digits(3)} {digits(3)} {digits(4)}"
+
+    def card(valid):
+        while True:
+            number = f"4{digits(15)}"
+            if luhn(number) == valid:
+                return " ".join(number[i : i + 4] for i in range(0, 16, 4))
+
+    docs, planted = [], {}
+    for i in range(1500):
+        kind, odd = i % 3, i % 90 < 3
+        before, number = [("Please call ", phone("" if odd else "+")), ("Charged to card ", card(not odd)), ("See order ", phone(""))][kind]
+        docs.append((i, f"Dear all. {before}{number} in time."))
+        if odd and kind < 2:
+            planted[i] = ("number", str(10 + len(before)), str(10 + len(before) + len(number)))
+    found = {r["doc_id"]: added_spans(r["spans"]) for r in pii.find_pii_digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hits = sum(planted[i] in found[i] for i in planted)
+    assert hits >= 0.9 * len(planted) and sum(map(len, found.values())) - hits <= 0.1 * hits
+
+
+def test_pii_of_a_text_with_very_many_spans(spark):
+    text = " ".join(f"a{i}@b.example {i}" for i in range(100_000))
+    assert 100_000 == pii.find_pii_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_email"]
+
+
 def test_pii_trees_separate_cells():
     cells = {f: np.zeros(4, int) for f in pii.SIZES} | {"digits": np.array([0, 1, 5, 7]), "context": np.array([0, 1, 1, 0])}
     n, covered = np.array([50.0, 50, 50, 50]), np.array([0.0, 0, 50, 0])
