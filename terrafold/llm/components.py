@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import checkpointed
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every link joins a node to its root: a node has one link down, and what that leads to has none."""
+    several = edges.groupBy("a").count().where("count > 1").select("a")
+    further = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return several.union(further).isEmpty()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links with (a, b), comparable ids: (node, root), root the smallest id reachable; nodes without links are left out.
 
     Each round joins a node's links with its smallest neighbour, which AQE may split for a hot node, and
-    takes minima that Spark combines before the shuffle. The number of rounds grows as the logarithm of
-    the longest path squared at worst.
+    takes minima that Spark combines before the shuffle. Rounds go on until only stars are left; their number
+    grows as the logarithm of the longest path squared at worst.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
@@ -31,10 +31,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.col("b").alias("x"), F.col("low")).where("x <> low").select(F.col("x").alias("a"), F.col("low").alias("b"))
         edges = checkpointed(small.union(low.select("a", F.col("low").alias("b"))).distinct())
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

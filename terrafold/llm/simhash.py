@@ -8,6 +8,11 @@ what it reaches out of the tree, so a shard yields a spanning forest of its link
 only deals with distinct fingerprints, so copies cost nothing. A shard with more than MOST_IN_SHARD
 members is dealt anew on its remaining bits, again without losing a link, until it is small enough.
 
+A tree is grown and searched where its shard lies and not broadcast: each fingerprint would have to meet the
+trees of all shards, and at a distance of 4 of 64 bits a tree of unlike fingerprints rules out next to
+nothing, so broadcast trees would compare all with all, block by block. Pairs and leaves of few fingerprints
+are compared at once.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 share their component; a null doc_id keeps its row but names no component unless all ids there are null.
 """
@@ -197,7 +202,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least.select("fp"))).select(F.col("node").alias("fp"), "root")
     classes = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = classes.select("fp", "root").join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    # Minima are written before the join, so that Spark can split a root that very many fingerprints share.
+    classes = written(classes)
+    ids = written(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = classes.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
