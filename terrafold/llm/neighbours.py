@@ -6,6 +6,8 @@ deals all vectors to shards of about SHARD_ROWS; each shard grows the rest of it
 searches its own shard, leaf by leaf in order of projected distance, and checks true distances on the
 way. It stops once what is left is so far in projection that, by the chi-square test at CONFIDENCE, it
 cannot hide a nearer vector. The other shards that this test does not rule out are searched the same way.
+The sample bounds the number of shards; one that holds more than SHARD_ROWS is dealt to parts by hash, each
+with a tree of its own, and its queries search all parts, so no task ever holds more at any size.
 
 Of equal vectors with one id only k rows can be among a query's k nearest, and of what is left, with the
 query's own id left out, only the 2 k smallest ids; so only these are indexed: exact, also with repeated
@@ -110,7 +112,7 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, shadows: np.ndarray
             continue
         d = ((vectors[rows] - query) ** 2).sum(1)
         best_d, best_r = np.append(best_d, d), np.append(best_r, rows)
-        order = np.lexsort((ids[best_r], best_d))[:k]
+        order = np.lexsort((ids[best_r], np.sqrt(best_d)))[:k]
         best_d, best_r = best_d[order], best_r[order]
     return best_d, best_r
 
@@ -150,6 +152,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
 
     kind = rows.schema["embedding"].dataType.simpleString()
     placed = checkpointed(indexed.mapInArrow(place, f"shard int, vec_id long, embedding {kind}"))
+    parts = F.broadcast(checkpointed(placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"))))  # a row for each shard
+    placed = placed.join(parts, "shard").select("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")).cast("int").alias("part"), "vec_id", "embedding")
+    to_parts = lambda asked: asked.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "embedding", "known")
     asked = rows.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     first = checkpointed(asked.mapInArrow(place, f"shard int, vec_id long, embedding {kind}")).withColumn("known", F.lit(float("inf")))
 
@@ -168,8 +173,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
         return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "square": pa.array([x[2] for x in out], pa.float64())})
 
     answers = "query_id long, vec_id long, square double"
-    near = checkpointed(placed.groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(answer, answers))
-    found = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("square").alias("far"))
+    near = checkpointed(placed.groupBy("shard", "part").cogroup(to_parts(first).groupBy("shard", "part")).applyInArrow(answer, answers))
+    # At most k answers of each part of one shard.
+    found = near.groupBy("query_id").agg(F.count("*").alias("n"), F.get(F.sort_array(F.collect_list("square")), F.lit(k - 1)).alias("far"))
     second = first.drop("known").join(found.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("shard", "vec_id", "embedding", F.when(F.col("n") >= k, F.col("far")).otherwise(float("inf")).alias("known"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +198,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard).astype(np.int32)), *(batch.column(c).take(at) for c in ("vec_id", "embedding", "known"))], names=["shard", "vec_id", "embedding", "known"])
 
     further = second.mapInArrow(others, f"shard int, vec_id long, embedding {kind}, known double")
-    far = placed.groupBy("shard").cogroup(further.groupBy("shard")).applyInArrow(answer, answers)
-    ranked = near.union(far).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("square", "vec_id")))
+    far = placed.groupBy("shard", "part").cogroup(to_parts(further).groupBy("shard", "part")).applyInArrow(answer, answers)
+    ranked = near.union(far).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.sqrt("square"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.sqrt("square").alias("score"))
