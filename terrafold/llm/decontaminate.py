@@ -15,7 +15,7 @@ of items; further blocks repeat both passes.
 Defined results: null and empty texts match nothing, nor do items of fewer than N words, unless the
 document holds the whole item as its words; repeated documents and repeated items each give their
 rows; of several places in a document where an item aligns the best is returned, the first of equals;
-null item ids are kept as null; other columns are left out.
+null item ids are kept as null; other columns are left out. What shares no n-gram with an item is not found.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrafold.llm.common import row_key
 
@@ -165,6 +166,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST)
     """A row for each document and item that leaked into it: doc_id, key, item_id, score, first_word, end_word, n_seeds."""
     spark: SparkSession = documents.sparkSession
     kind, item_kind = (x.dataType.simpleString() for x in (documents.schema["doc_id"], benchmark.schema["item_id"]))
+    arrow_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     rows = documents.select("doc_id", row_key("doc_id", "text").alias("key"), "text").where("text is not null")
     schema = f"doc_id {kind}, key long, item_id {item_kind}, score double, first_word int, end_word int, n_seeds int"
     found = spark.createDataFrame([], schema)
@@ -195,7 +197,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST)
                         at.append(row)
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array([ids[x[0]] for x in out], pa.int64() if item_kind == "bigint" else None), pa.array([x[1] for x in out], pa.float64()), *(pa.array([x[i] for x in out], pa.int32()) for i in (2, 3, 4))],
+                    [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array([ids[x[0]] for x in out], arrow_kind), pa.array([x[1] for x in out], pa.float64()), *(pa.array([x[i] for x in out], pa.int32()) for i in (2, 3, 4))],
                     names=["doc_id", "key", "item_id", "score", "first_word", "end_word", "n_seeds"],
                 )
 
