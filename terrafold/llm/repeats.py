@@ -12,7 +12,10 @@ sort goes by digits of decreasing significance and drops what is alone or settle
   anchor, then the block's whole content, which settles blocks that recur as a whole;
 * the content of each window of the blocks whose core occurs in different blocks.
 
-Digits are compared by hashes: a group has equal hashes of 64 bits, and equal contents within it have
+A plain radix sort moves a row for each byte of the corpus, some ten times its size, at its first pass; so
+the first digit is taken from the middle of the window, not from its start, and groups are hashed together
+rather than put in order: what is exact is which windows are equal, not where they would stand in a sorted
+list. Digits are compared by hashes: a group has equal hashes of 64 bits, and equal contents within it have
 another 64 bits in common.
 
 Defined results: null and empty texts, and those shorter than LENGTH, keep all their bytes; identical
@@ -137,7 +140,8 @@ def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _listed(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The row of each struct in a column of lists, and the structs' fields."""
     flat = column.flatten()
-    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 
 
 def _slices(count: np.ndarray) -> Iterator[slice]:
@@ -203,14 +207,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("key").take(where), pa.array(start), pa.array(np.repeat(block["alone"][part], count)), *(pa.array(Hashes(raw, k).of(place, place + LENGTH).view(np.int64)) for k in (0, 1))], names=["doc_id", "key", "start", "alone", "one", "two"])
 
 
-def _merged(spans: list, reach: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of covered bytes."""
-    pairs = np.array([(s["start"], s["start"] + s["windows"] - 1 + reach) for s in spans], np.int64).reshape(-1, 2)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    reached = np.maximum.accumulate(pairs[:, 1])
-    new = np.append(True, pairs[1:, 0] > reached[:-1])
-    first = np.flatnonzero(new)
-    return pairs[first, 0], reached[np.append(first[1:], len(pairs)) - 1]
+    order = np.argsort(start, kind="stable")
+    start, reached = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.append(True, start[1:] > reached[:-1]))
+    return start[first], reached[np.append(first[1:], len(start)) - 1]
 
 
 def _contents(rows: DataFrame, digit: str, run: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -255,12 +257,15 @@ def drop_repeats(documents: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = bytes_of(batch.column("text"))
             out: list[tuple] = []
-            for row, spans in enumerate(batch.column("spans").to_pylist()):
-                text = data[at[row] : at[row + 1]]
-                if not spans:
+            owner, spans = _listed(batch.column("spans"))
+            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            for row in range(batch.num_rows):
+                text, own = data[at[row] : at[row + 1]], slice(cut[row], cut[row + 1])
+                if own.start == own.stop:
                     out.append((len(text), 0, 0, text.tobytes()))
                     continue
-                a, b = _merged(spans, LENGTH)
+                start = spans["start"][own].astype(np.int64)
+                a, b = _merged(start, start + spans["windows"][own] - 1 + LENGTH)
                 kept = b"".join(text[x:y].tobytes() for x, y in zip(np.append(0, b), np.append(a, len(text))))
                 out.append((len(text), int((b - a).sum()), len(a), kept))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
