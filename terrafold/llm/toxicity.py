@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on hashed character n-grams scaled by naive Bayes log-count ratios.
 
-A document is the set of hashed 3- to 8-byte grams of its lower-cased text. The ratios come from counts
+A document is the set of hashed grams of 3 to 8 code points of its lower-cased text. The ratios come from counts
 over all labelled training rows, added up by Spark. The weights are then fitted by logistic regression
 in one task on at most ``max_fit_rows`` of these rows (those with the smallest hash, at most
 ``max_fit_chars`` characters long), so that the fit has a bound while counting and scoring do not. Only
@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.llm.common import bytes_of
-
 BITS = 20
 SIZE = 1 << BITS
 #: Features whose counts travel in one row.
@@ -31,14 +29,12 @@ BLOCK = 1 << 12
 GRAMS = (3, 4, 5, 6, 7, 8)
 #: Standard errors by which a log-count ratio must differ from 0.
 LEAST_ERRORS = 4.0
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
-def features(data: np.ndarray) -> np.ndarray:
-    """Ascending feature numbers of a text's bytes."""
-    x = _FOLD[data].astype(np.uint32)
+def features(text: str) -> np.ndarray:
+    """Ascending feature numbers of a text."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     code, found = x, []
     for n in range(2, max(GRAMS) + 1):
         if len(x) < n:
@@ -54,9 +50,8 @@ def features(data: np.ndarray) -> np.ndarray:
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    data, at = bytes_of(batch.column("text"))
-    for a, b in zip(at[:-1], at[1:]):
-        yield features(data[a:b])
+    for text in batch.column("text"):
+        yield features(text.as_py() or "")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +150,13 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return keyed(documents).join(known.hint("merge"), "doc_id")  # labels have no bound
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The columns of documents with a score from 0 to 1."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], column: str = "score") -> DataFrame:
+    """documents with a column of scores from 0 to 1, whose name, in any case, must be free."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # SIZE floats, 4 MB
-    names = documents.columns
-    new = "score"
-    while new in names:
-        new += "_"
+    names, new = documents.columns, column
+    if column.lower() in {x.lower() for x in names}:
+        raise ValueError(f"column exists: {column}")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
