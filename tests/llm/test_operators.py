@@ -68,6 +68,35 @@ def test_toxicity(spark, documents, nothing):
     assert {r["predicted"] for r in toxicity.classify(documents, labels.limit(0)).collect()} <= {0, 1}
 
 
+def plain_features(text):
+    """Hashed grams, one by one."""
+    points, found = [ord(c) for c in text.lower()], set()
+    for n in range(3, 9):
+        for i in range(len(points) - n + 1):
+            code = points[i]
+            for k in range(2, n + 1):
+                code = (code * 0x01000193 + points[i + k - 1] * 0x85EBCA6B + k) % 2**32
+            found.add((code ^ (code >> 15)) * 0x9E3779B1 % 2**32 >> 12)
+    return found
+
+
+def plain_toxicity(text, model):
+    z = sum(float(np.float32(model[0][f])) for f in plain_features(text or "")) + model[1]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_score_by_brute_force(spark, documents, rows):
+    rng = np.random.default_rng(4)
+    model = (rng.standard_normal(toxicity.SIZE) * 0.02, -0.5)
+    found = collected(toxicity.score(documents.select("doc_id", "text"), model), "doc_id", "text", "score")
+    expected = sorted(((r[0], r[1], plain_toxicity(r[1], model)) for r in rows), key=repr)
+    assert [x[:2] for x in found] == [x[:2] for x in expected]
+    np.testing.assert_allclose([x[2] for x in found], [x[2] for x in expected], rtol=1e-5)
+    assert {f for f in toxicity.features("É日本語 abcdé😀 ef")} == plain_features("É日本語 abcdé😀 ef")
+    with pytest.raises(ValueError):
+        toxicity.score(documents.withColumnRenamed("score", "Score"), model)
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
@@ -257,6 +286,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_in_parts_of_full_shards(spark, monkeypatch):
+    """More shards than the sample can tell apart: full ones are dealt to parts, and nothing is lost."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 40)
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 64)
+    rng = np.random.default_rng(5)
+    points = np.float32(rng.standard_normal((10, 16))[np.arange(1500) % 10] + 0.4 * rng.standard_normal((1500, 16)))
+    df = spark.createDataFrame([(i, list(map(float, p))) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    flat = points.astype(float)
+    hit = 0
+    for q, got in found.items():
+        assert len(got) == 10
+        d = ((flat - flat[q]) ** 2).sum(1)
+        hit += len(got & set(np.argsort(d, kind="stable")[1:11].tolist()))
+    assert len(found) == 15 and hit >= 0.9 * 150
+
+
 def test_neighbours_of_repeated_ids(spark):
     """A query whose id is repeated with one vector, as its smallest id or between others, finds the others at distance 0."""
     ids = [0] * 15 + [1] + [5] * 15 + list(range(7, 20))
@@ -287,6 +335,45 @@ def test_decontamination(spark, documents, nothing):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def plain_alignment(item, text):
+    """The best local alignment by the whole table."""
+    best, above = 0, [0] * (len(text) + 1)
+    for w in item:
+        row = [0]
+        for j, x in enumerate(text):
+            row.append(max(0, above[j] + (2 if w == x else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_decontamination_by_brute_force(spark):
+    """All pairs of documents and items that share an n-gram by plain alignment, item ids of another type."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    items = [[rng.choice(words) for _ in range(rng.choice([3, 8, 25, 40, 120]))] for _ in range(14)]
+    rows = []
+    for i in range(60):
+        item, text = rng.choice(items), [rng.choice(words) for _ in range(30)]
+        a, b = sorted(rng.sample(range(len(item) + 1), 2))
+        part = (item if i % 3 else item[a:b])[:]
+        for k in range(len(part)):
+            if rng.random() < (0, 0.1, 0.25)[i % 3 if i % 2 else 0]:
+                part[k : k + 1] = rng.choice([[], [rng.choice(words)], [part[k], rng.choice(words)]]) if part[k : k + 1] else []
+        rows.append((i, " ".join([*text[:15], *part, *text[15:]])))
+    expected = {}
+    for i, text in rows:
+        for k, item in enumerate(items):
+            # What shares no n-gram is never aligned, by definition.
+            if not any(f" {' '.join(item[j : j + 3])} " in f" {text} " for j in range(len(item) - 2)):
+                continue
+            best = plain_alignment(item, text.split())
+            if best >= min(len(item), 100):
+                expected[i, k] = best / (2 * len(item))
+    benchmark = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id int, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id int, text string"), benchmark).collect()}
+    assert found == expected and len(found) > 20
+
+
 def test_decontamination_blocks_agree(spark, monkeypatch):
     benchmark = spark.createDataFrame([(i, passage(1000 + i, 30)) for i in range(7)], "item_id long, text string")
     docs = spark.createDataFrame([(i, passage(i) + " " + passage(1000 + i, 30)) for i in range(7)], "doc_id long, text string")
@@ -388,7 +475,6 @@ def test_components_of_paths(spark):
 
 def test_language_model(spark, documents, nothing, rows, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(lm, "FIT_STEPS", 20)
     training = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     fold = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -396,31 +482,153 @@ def test_language_model(spark, documents, nothing, rows, monkeypatch):
     counts = Counter(w for r, t in zip(rows, texts) if not held(r[0]) for w in t)
     n, v = sum(counts.values()), len(counts)
     expected = sorted(((r[0], held(r[0]), len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 6)) for r, t in zip(rows, texts)), key=repr)
-    found = lm.score(documents, training, queries.vocabulary(), public_tokenizers.PATTERN).collect()
+    found = lm.score(documents, training, queries.vocabulary()).collect()
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found), key=repr) == expected
     assert all(r["score"] < 0 for r in found)
-    assert lm.score(nothing, training, queries.vocabulary(), public_tokenizers.PATTERN).count() == 0
+    assert lm.score(nothing, training, queries.vocabulary()).count() == 0
 
 
-def test_model_is_causal_and_scores_each_id_once():
-    p = lm.start_parameters(np.random.default_rng(0).integers(0, 50, 50_257))
-    codes = p["code"][np.random.default_rng(1).integers(0, 50_257, 60)]
-    q = lm.folded(p)
-    rows = lambda c: [lm.log_probabilities(q, w, t)[r] for w, t, r, _ in [lm.windows_of(c, np.array([len(c)]))]][0]
-    whole = rows(codes)
-    assert len(whole) == 60
-    np.testing.assert_allclose(rows(codes[:41]), whole[:41], rtol=1e-4)
+def small_model(words=(b"red", b"green", b"unbelievable", b"antidisestablishment", b"")):
+    ranks = lm.read_ranks(queries.vocabulary())
+    speller = lm.Speller(ranks)
+    spelled = [speller.word(w) for w in words]
+    counts = np.zeros(lm.SIZE, np.int64)
+    lm.count_words(counts, np.concatenate([np.array(x, np.int32) for x in spelled]), np.array([len(x) for x in spelled]), np.arange(1, len(words) + 1), speller.end)
+    return lm.start_parameters(counts.astype(np.float32), speller.end), speller
+
+
+def plain_score(p, speller, shares, words):
+    """log10 probability of a text, id by id: each word's first id by attention over the first ids before it."""
+    q, end = lm.smoothed(p), speller.end
+    spelled = [speller.word(w) for w in words]
+    heads = [x[0] for x in spelled]
+    row = lambda a, b: int(lm._row(np.array([a], np.int32), np.array([b], np.int64))[0])
+    total = 0.0
+    for i, ids in enumerate(spelled):
+        low = i // lm.STRIDE * lm.STRIDE - lm.CONTEXT  # where the window begins
+        seen = [end + 1 if j <= 0 else heads[j - 1] for j in range(low, i + 1)]
+        x = np.array([p["embed"][s].astype(float) + p["position"][k] for k, s in enumerate(seen)])
+        weights = np.exp([min(60.0, (x[-1] @ p["q"]) @ (y @ p["k"]) / lm.WIDTH**0.5) for y in x])
+        h = np.tanh(x[-1] + (weights / weights.sum()) @ (x @ p["v"]) @ p["o"])
+        bent = q["class"] * np.exp(h @ p["u"])
+        place = (ids[0] + 1) % (end + 1)
+        chance = bent[place % lm.CLASSES] / bent.sum() * q["in_class"][place]
+        for k in range(1, len(ids) + 1):
+            if k == len(ids) and words[i] == b"":
+                break
+            further = ids[k - 2] if k > 1 else end + 1
+            bits = np.exp(q["log_bits"][row(further, ids[k - 1])].astype(float))
+            chance *= bits[1] if k == len(ids) else bits[0]
+            if k < len(ids):
+                code = int(lm._codes(np.array([ids[k]]), end)[0])
+                d1, d2, d3 = code // lm.RADIX**2, code // lm.RADIX % lm.RADIX, code % lm.RADIX
+                for r, d, prior in ((row(ids[k - 1], 0), d1, q["share1"][d1]), (row(ids[k - 1], d1 + 64), d2, q["share2"][code // lm.RADIX]), (row(ids[k - 1], code // lm.RADIX + 4096), d3, q["share3"][code])):
+                    chance *= (p["digits"][r, d] + prior) / (p["digits"][r].sum() + lm.PRIOR)
+        total += math.log10(lm.WORD_WEIGHT * shares.get(words[i], 0.0) + (1 - lm.WORD_WEIGHT) * chance)
+    return total
+
+
+def test_scores_equal_a_plain_attention():
+    p, speller = small_model()
+    rng = random.Random(3)
+    vocabulary = [b"red", b"green", b"unbelievable", b"unseen", b"antidisestablishment", "日本".encode(), b""]
+    shares = {b"red": 0.3, b"green": 0.2, b"": 0.1}
+    texts = [[rng.choice(vocabulary[:-1]) for _ in range(n)] + [b""] for n in (0, 1, 7, 16, 40)]
+    place = {w: i for i, w in enumerate(vocabulary)}
+    spelled = [speller.word(w) for w in vocabulary]
+    size = np.array([len(x) for x in spelled])
+    found = lm.model_scores(lm.smoothed(p), np.concatenate([np.array(x, np.int32) for x in spelled]), size, np.array([shares.get(w, 0.0) for w in vocabulary]), np.array([place[w] for t in texts for w in t]), np.array([len(t) for t in texts]), speller.end)
+    np.testing.assert_allclose(found, [plain_score(p, speller, shares, t) for t in texts], rtol=1e-4)
+
+
+def test_looked_up_states_are_the_fitted_ones():
+    p, speller = small_model()
+    rng = np.random.default_rng(1)
+    windows, _ = lm.windows_of(rng.integers(0, 50_000, 70).astype(np.int32), np.array([3, 50, 17]), speller.end + 1)
+    np.testing.assert_allclose(lm.states(lm.smoothed(p), windows), lm._hidden(p, windows)[0], rtol=1e-3, atol=1e-4)
+
+
+def test_windows_hold_each_word_once_and_no_later_one():
+    heads, counts = np.arange(100, 170, dtype=np.int32), np.array([1, 16, 0, 17, 36])[[0, 1, 3, 4]]
+    windows, place = lm.windows_of(heads, counts, 7)
+    real = place[place >= 0]
+    assert real.tolist() == list(range(70))
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    for w, at in zip(windows, place):
+        for k, i in enumerate(at):
+            if i >= 0:
+                seen = w[: lm.CONTEXT + k + 1]
+                expected = [7 if j < first[i] else heads[j] for j in range(i - lm.CONTEXT - k - 1, i)]
+                assert seen.tolist() == expected
+
+
+def test_gradients_are_those_of_the_loss():
+    p, speller = small_model()
+    p = {k: x.astype(np.float64) if k in lm.FITTED else x for k, x in p.items()}
+    rng = np.random.default_rng(2)
+    heads = rng.integers(0, 300, 40).astype(np.int32)
+    windows, place = lm.windows_of(heads, np.array([25, 15]), speller.end + 1)
+    kind = lm._places(heads, speller.end) % lm.CLASSES
+    q = lm.smoothed(p)
+
+    def loss(p):
+        h = lm._hidden(p, windows)[0][place >= 0]
+        z = np.exp(h @ p["u"]) * q["class"]
+        return -np.log((z / z.sum(1, keepdims=True))[np.arange(len(z)), kind[place[place >= 0]]]).mean()
+
+    whole, rows, g = lm._step(q, windows, place, kind)
+    for name in ("q", "k", "v", "o", "u", "position"):
+        i = tuple(rng.integers(0, n) for n in p[name].shape)
+        moved = {s: p | {name: p[name].copy()} for s in (1, -1)}
+        for s in moved:
+            moved[s][name][i] += s * 1e-4
+        assert abs((loss(moved[1]) - loss(moved[-1])) / 2e-4 - whole[name][i]) < 1e-4, name
+    moved = {s: p | {"embed": p["embed"].copy()} for s in (1, -1)}
+    for s in moved:
+        moved[s]["embed"][rows[0], 3] += s * 1e-4
+    assert abs((loss(moved[1]) - loss(moved[-1])) / 2e-4 - g[0, 3]) < 1e-4
+
+
+def test_pieces_are_whole_words_and_a_share_of_all(spark):
+    import pyarrow as pa
 
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([0, 1, 500, 3000, 40, 7000])]
+    found = list(lm._pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    known = {w.encode() for t in texts for w in t.split()} | {b""}
+    words = [w for piece in found for w in piece]
+    assert set(words) <= known and len(words) == len(set(words) - {b""}) + words.count(b"")
+    assert abs(len(words) / sum(len(t.split()) for t in texts) - 1 / lm.SHARE) < 0.05
 
-def test_probabilities_add_up_to_one():
-    p = lm.folded(lm.start_parameters(np.random.default_rng(0).integers(0, 50, 50_257)))
-    window = np.random.default_rng(3).integers(0, 50_000, (1, lm.LENGTH))
-    place, total = 5, 0.0
-    for part in np.array_split(np.arange(lm.RADIX**3), 260):
-        targets = np.zeros((len(part), lm.STRIDE), np.int64)
-        targets[:, place] = part
-        total += np.exp(lm.log_probabilities(p, np.repeat(window, len(part), 0), targets)[:, place].astype(float)).sum()
-    assert abs(total - 1) < 1e-3
+
+def test_language_model_counts_all_training_texts(spark):
+    """More texts than a sample would hold, and a long one: words and ids that stand only there count."""
+    ranks = lm.read_ranks(queries.vocabulary())
+    speller = lm.Speller(ranks)
+    texts = [f"common words of text {i}" for i in range(900)] + ["giraffes " * 6000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    lexicon = lm.spelled_lexicon(rows.mapInArrow(lm._count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), ranks, queries.vocabulary())
+    words = Counter(w for t in texts for w in [*lm.words_of(t.encode()), b""])
+    known = {r["word"].encode(): (r["n"], np.frombuffer(bytes(r["ids"]), np.int32).tolist()) for r in lexicon.where("part is null").collect()}
+    assert known == {w: (n, list(speller.word(w))) for w, n in words.items()}
+    counts = lm._tables(lm.counts_of(lexicon).astype(np.int64))
+    firsts, inner = Counter(), Counter()
+    for w, n in words.items():
+        firsts[speller.word(w)[0]] += n
+        for i in speller.word(w)[1:]:
+            inner[i] += n
+    assert all(counts["codes"][1][(i + 1) % (speller.end + 1)] == n for i, n in firsts.items()) and counts["codes"][1].sum() == sum(firsts.values())
+    assert counts["codes"][0].sum() == sum(inner.values()) == counts["digits"].sum() / 3
+    assert counts["bits"][:, 0].sum() == sum(inner.values()) and counts["bits"][:, 1].sum() == sum(words.values()) - words[b""]
+
+
+def test_language_model_beats_the_unigram(spark):
+    """Two kinds of texts, each with its own words: which kind it is tells what comes next."""
+    rng = random.Random(8)
+    kinds = [[f"{a}{b}" for b in "abcdefghijklmnop"] for a in ("kor", "mel")]
+    text = lambda k: " ".join(rng.choices(kinds[k], k=150))
+    docs = spark.createDataFrame([(i, text(i % 2), i >= 40) for i in range(3000)], "doc_id long, text string, train boolean").repartition(2)
+    held = lm.score(docs, F.col("train"), queries.vocabulary()).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
+    assert held[0] > held[1] + 0.05 * 150
 
 
 # 10 --------------------------------------------------------------------------------------------
@@ -514,35 +722,5 @@ def test_toxicity_counts_add_up():
     found = {(f, a, b) for out in toxicity._add(iter(parts)) for f, a, b in zip(*(out.column(k).to_pylist() for k in range(3)))}
     expected = [Counter(), Counter()]
     for text, label in zip(texts, labels):
-        expected[label].update(toxicity.features(np.frombuffer((text or "").encode(), np.uint8)).tolist())
+        expected[label].update(toxicity.features(text or "").tolist())
     assert found == {(f, expected[0][f], expected[1][f]) for f in expected[0] | expected[1]}
-
-
-def test_language_model_reads_all_training_texts(spark, monkeypatch):
-    """More texts than a sample would hold, and a long one: ids that stand only there count and are fitted."""
-    monkeypatch.setattr(lm, "FIT_STEPS", 5)
-    ranks = lm.read_ranks(queries.vocabulary())
-    key = (queries.vocabulary(), public_tokenizers.PATTERN)
-    encoder = lm.encoder_of(key, ranks, public_tokenizers.PATTERN)
-    texts = [f"common words of text {i}" for i in range(900)] + ["giraffe " * 6000]
-    expected = Counter(i for t in texts for w in lm.words_of(t.encode()) for i in lm.word_ids(encoder, w))
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    lexicon = rows.select("text").mapInArrow(lm._count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found, tokens, kinds = lm.id_frequencies(lexicon, ranks, public_tokenizers.PATTERN, key)
-    words = Counter(w for t in texts for w in lm.words_of(t.encode()))
-    assert (tokens, kinds) == (sum(words.values()) + 901, len(words) + 1)
-    assert {int(i): int(found[i]) for i in np.flatnonzero(found)} == expected | {len(found) - 1: 901}
-    start, p = lm.start_parameters(found), lm.train(rows, found, ranks, public_tokenizers.PATTERN, key)
-    at = p["code"][list(expected)]
-    assert (p["embed"][at] != start["embed"][at]).any(axis=1).all()
-    assert all(np.isfinite(x).all() and x.shape == start[k].shape for k, x in p.items())
-
-
-def test_language_model_scores_better_for_texts_anywhere(spark):
-    """A turn of phrase that only texts beyond any small sample hold scores better than its words the other way round."""
-    rng = random.Random(8)
-    texts = [" ".join(rng.choices(["red", "green", "blue", "old", "new", "big"], k=30)) for _ in range(600)]
-    texts += ["left right " * 2500 for _ in range(3)]
-    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(-1, "left right " * 10, False), (-2, "left left right right " * 5, False)], "doc_id long, text string, train boolean").repartition(2)
-    found = {r["doc_id"]: r["score"] for r in lm.score(docs, F.col("train"), queries.vocabulary(), public_tokenizers.PATTERN).where("held_out").collect()}
-    assert found[-1] > found[-2] + 1
