@@ -473,8 +473,10 @@ def test_components_of_paths(spark):
 # 9 ---------------------------------------------------------------------------------------------
 
 
-def test_language_model(spark, documents, nothing, rows, monkeypatch):
+@pytest.mark.parametrize("frequent", [0, 50, 200_000])
+def test_language_model(spark, documents, nothing, rows, monkeypatch, frequent):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     training = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     fold = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -608,7 +610,7 @@ def test_language_model_counts_all_training_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     lexicon = lm.spelled_lexicon(rows.mapInArrow(lm._count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), ranks, queries.vocabulary())
     words = Counter(w for t in texts for w in [*lm.words_of(t.encode()), b""])
-    known = {r["word"].encode(): (r["n"], np.frombuffer(bytes(r["ids"]), np.int32).tolist()) for r in lexicon.where("part is null").collect()}
+    known = {r["word"].encode(): (r["n"], np.frombuffer(bytes(r["ids"]), lm.id_type(speller.end)).tolist()) for r in lexicon.where("part is null").collect()}
     assert known == {w: (n, list(speller.word(w))) for w, n in words.items()}
     counts = lm._tables(lm.counts_of(lexicon).astype(np.int64))
     firsts, inner = Counter(), Counter()

@@ -1,9 +1,15 @@
 """Stages of the pipeline on small awkward tables."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from terrafold.llm import toxicity
+from terrafold.llm.common import table
 from tests.llm.conftest import passage
+from tests.llm.test_operators import brute_secrets, plain_alignment, plain_toxicity, reference_encoding  # noqa: F401
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,3 +47,70 @@ def test_near_copies_by_jaccard(spark, data):
     expected = {2 * k for k in range(150)} | {2 * k + 1 for k in range(150) if jaccard(2 * k, 2 * k + 1) < 0.8} | {1000}
     assert 20 < sum(0.8 <= jaccard(2 * k, 2 * k + 1) < 0.95 for k in range(150))
     assert found == expected
+
+
+def brute_force(spark, rows, items, model):
+    """Every stage by plain Python: scores gram by gram, all pairs of texts, all pairs of texts and items."""
+    kept = [r for r in rows if plain_toxicity(r[1], model) < 0.5]
+    sets = []
+    for _, text in kept:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()})
+    root = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    first = {}
+    for r, k in sorted(zip(kept, root), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        first.setdefault(k, r)
+    out = []
+    for i, text in first.values():
+        words = re.findall(r"\w+", (text or "").lower())
+        joined = f" {' '.join(words)} "
+        if any(any(f" {' '.join(item[k : k + 3])} " in joined for k in range(len(item) - 2)) and plain_alignment(item, words) >= min(len(item), 100) for item in items):
+            continue
+        clean, at = "", 0
+        for kind, a, b in brute_secrets(text or ""):
+            if a >= at:
+                clean += (text or "")[at:a] + f"[{kind}]"
+            at = max(at, b)
+        out.append((i, clean + (text or "")[at:]))
+    return out
+
+
+def test_run_by_brute_force(spark, tmp_path, reference_encoding):
+    rng = random.Random(31)
+    words = [f"{a}{b}" for a in ("ka", "mo", "ti", "ru", "sen", "dor") for b in ("l", "n", "ra", "po", "is", "um", "ek")]
+    text = lambda n: " ".join(rng.choice(words) + (f"{rng.randrange(40)}" if rng.random() < 0.3 else "") for _ in range(n))
+    items = [[f"q{k}w{j}" for j in range(30)] for k in range(4)]
+    rows = [(i, text(60) + (" vileword vileword" if i % 5 == 0 else "")) for i in range(400)]
+    for i in range(400, 440):  # copies, whole or with one word changed, some under smaller ids
+        source = rows[rng.randrange(1, 400)][1].split()
+        if i % 2:
+            source[rng.randrange(len(source))] = f"edit{i}"
+        rows.append((i if i % 4 else -i, " ".join(source)))
+    for i in range(440, 470):
+        part = items[i % 4][:]
+        part[rng.randrange(30)] = "changed"
+        rows.append((i, f"{text(30)} {' '.join(part[: 30 if i % 3 else 9])} {text(30)}"))
+    rows += [(470 + i, f"{text(40)} Password: {'abcdefgh12345678'[: 6 + i]} AKIA{'ABCDEFGH23456789'} {text(10)}") for i in range(8)]
+    rows += [(None, text(50)), (None, text(50)), (None, rows[7][1]), (500, None), (501, ""), (502, " \n"), (503, rows[9][1]), (503, text(60)), (504, text(4000))]
+    rng.shuffle(rows)
+    rows_of(spark, rows).withColumn("N_Tokens", F.lit("another column")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int("vileword" in (t or "")), 0) for i, t in rows if i is not None and i % 3], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = toxicity.train(table(spark, str(tmp_path), "documents").select(*corpus_pipeline.COLUMNS), table(spark, str(tmp_path), "labels"))
+    expected = brute_force(spark, rows, items, model)
+    found = [(r["doc_id"], r["ids"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    ids = [(i, reference_encoding.encode_ordinary(t)) for i, t in expected]
+    assert sorted(found, key=repr) == sorted([(i, x, len(x)) for i, x in ids], key=repr)
+    assert 250 < len(found) < 400 and any("[assign]" in t for _, t in expected)
+
+
+def test_run_of_empty_tables(spark, tmp_path):
+    rows_of(spark, [(1, "x")]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
