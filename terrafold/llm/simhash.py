@@ -36,6 +36,8 @@ MOST_IN_SHARD = 20_000
 LEAF = 48
 #: Bands of minima for candidates of similarity 0.8, and which of a band's pairs are candidates.
 BANDS, ROWS, ALL_PAIRS, NEXT = 20, 5, 12, 3
+#: Slots in which shingles are counted to tell rare ones.
+SLOTS = 2**18
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -232,20 +234,21 @@ def _set_of(hashes: np.ndarray) -> int:
 
 
 def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that agree in a band: all of a small group; of a large one each with the next few, in an order of the band's own. Rows come sorted by band and value."""
+    """Pairs that agree in a band: all of a small group; of a large one, which is named, each with the next few, in an order of the band's own. Rows come sorted by band and value."""
     rest = np.zeros((3, 0), np.int64)
 
     def pairs(rows: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for own in np.split(rows, cut, axis=1):
             if (n := own.shape[1]) > 1:
                 order = np.argsort(own[2].view(np.uint64) * _FACTORS[int(own[0, 0])], kind="stable")
                 nodes = own[2][order]
                 for step in range(1, n if n <= ALL_PAIRS else NEXT + 1):
                     a.append(nodes[:-step]), b.append(nodes[step:])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                    large.append(np.full(n - step, int(own[1, 0]) if n > ALL_PAIRS else 0))
+        a, b, large = np.concatenate(a), np.concatenate(b), np.concatenate(large)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(large, mask=large == 0)], names=["a", "b", "large"])
 
     for batch in batches:
         rows = np.concatenate([rest, np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("band", "value", "node")])], axis=1)
@@ -258,12 +261,55 @@ def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each of SLOTS slots."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
+        counts += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+
+def _links_left(sets: DataFrame, least: float) -> DataFrame:
+    """sets (node, root, hashes): pairs (a, b) of different roots, among them all that are least alike.
+
+    Each set's shingles are put in one order, rare slots first, and two sets that are so much alike share one of their
+    first (1 - least) * size + 1. An order is all that this needs, so the counts by slot, SLOTS numbers at any scale, may be coarse."""
+    counts = np.zeros(SLOTS, np.int64)
+    for r in sets.select("hashes").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["slot"]] = r["n"]
+    ranks = np.minimum(counts, 2**31 - 1).astype(np.int32)
+    shared = sets.sparkSession.sparkContext.broadcast(ranks)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, x in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "hashes"))):
+                hashes = np.frombuffer(x, np.uint64)
+                order = np.lexsort((hashes, shared.value[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                n = len(hashes)
+                tokens = hashes[order[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64)
+                same = lambda value: pa.array(np.full(len(tokens), value, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), same(node), same(root), same(n)], names=["token", "node", "root", "n"])
+
+    firsts = written(sets.mapInArrow(first, "token long, node long, root long, n long"))
+    by_root = firsts.groupBy("token", "root").count()
+    main = by_root.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
+    rows = written(firsts.join(main, "token"))
+    x, y = rows.where("root <> main").alias("x"), rows.alias("y")
+    sized = (F.col("x.n") >= least * F.col("y.n") - 1e-9) & (F.col("y.n") >= least * F.col("x.n") - 1e-9)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & sized)
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def survivors(documents: DataFrame, key: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, key) of one document of each component of links: the smallest id, nulls last, of equals the smallest key. key: a column that tells rows with one id apart.
 
     A link is a Jaccard similarity of at least so much between the sets of shingles, computed on all candidates: texts that
-    agree in a band of minima, which of two that are 0.8 alike 9996 in 10,000 do. Texts without words are one set. A radius
-    of 64 bits that is wide enough for 0.8 holds about 16, where blocks and BK-trees rule out nothing."""
+    agree in a band of minima, which of two that are 0.8 alike 9996 in 10,000 do. A large group that agrees is linked member
+    by member in an order; where that leaves more than one component in it, its members' other links are found by their rare
+    shingles. Texts without words are one set. A radius of 64 bits that is wide enough for 0.8 holds about 16, where blocks
+    and BK-trees rule out nothing."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +327,8 @@ def survivors(documents: DataFrame, key: str, shingle: int = 5, least: float = 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")
     classes = rows.groupBy("node").agg(first, F.min("bands").alias("bands"))
     dealt = classes.where("node <> 0").select("node", F.posexplode("bands").alias("band", "value")).repartition("band", "value").sortWithinPartitions("band", "value", "node")
-    pairs = written(dealt.mapInArrow(_band_pairs, "a long, b long").distinct())
+    met = written(dealt.mapInArrow(_band_pairs, "a long, b long, large long"))
+    pairs = written(met.select("a", "b").distinct())
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = classes.join(asked, "node", "left_semi").select("first.doc_id", f"first.{key}")
 
@@ -304,7 +351,14 @@ def survivors(documents: DataFrame, key: str, shingle: int = 5, least: float = 0
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda node, name: held.select(F.col("node").alias(node), F.col("hashes").alias(name))
-    linked = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-    roots = components(linked).select("node", "root")
+    confirmed = lambda rows: written(rows.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    linked = confirmed(pairs)
+    roots = components(linked)
+    members = met.where("large is not null").select("large", F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    torn = members.groupBy("large").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    still = written(members.join(torn, "large", "left_semi").select("node", "root").distinct())
+    if not still.isEmpty():
+        roots = components(linked.union(confirmed(_links_left(held.join(still, "node"), least))))
     kept = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return kept.select("first.doc_id", f"first.{key}")

@@ -49,6 +49,28 @@ def test_near_copies_by_jaccard(spark, data):
     assert found == expected
 
 
+def test_links_at_the_edge_of_large_groups(spark, data):
+    """Texts that are near one member of a large group alone, and texts that share most of their words without being near, against all pairs."""
+    rng = random.Random(41)
+    edited = lambda words, at, mark: [f"{mark}{i}" if i in at else w for i, w in enumerate(words)]
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    members = [edited(base, {3 * k + 2}, f"m{k}x") for k in range(60)]
+    texts = members[:]
+    for k in range(40):  # near member k alone, at several similarities about 0.8
+        texts.append(edited(members[k], set(rng.sample(range(5, 195), 3 + k % 3)), f"e{k}x"))
+        texts.append(edited(texts[-1], set(rng.sample(range(5, 195), 4)), f"f{k}x"))
+    texts += [base[:140] + [f"t{k}x{i}" for i in range(60)] for k in range(80)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    found = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows_of(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), data).collect()}
+    assert found == set(root) and 82 < len(found) < 160
+
+
 def brute_force(spark, rows, items, model):
     """Every stage by plain Python: scores gram by gram, all pairs of texts, all pairs of texts and items."""
     kept = [r for r in rows if plain_toxicity(r[1], model) < 0.5]
