@@ -289,16 +289,20 @@ def _links_left(sets: DataFrame, least: float) -> DataFrame:
                 order = np.lexsort((hashes, shared.value[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]))
                 n = len(hashes)
                 tokens = hashes[order[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64)
-                same = lambda value: pa.array(np.full(len(tokens), value, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), same(node), same(root), same(n)], names=["token", "node", "root", "n"])
+                odd = np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
+                same = [pa.array(np.full(len(tokens), value, np.int64)) for value in (node, root, n, *odd)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *same], names=["token", "node", "root", "n", "o0", "o1", "o2", "o3"])
 
-    firsts = written(sets.mapInArrow(first, "token long, node long, root long, n long"))
+    firsts = written(sets.mapInArrow(first, "token long, node long, root long, n long, o0 long, o1 long, o2 long, o3 long"))
     by_root = firsts.groupBy("token", "root").count()
     main = by_root.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
     rows = written(firsts.join(main, "token"))
     x, y = rows.where("root <> main").alias("x"), rows.alias("y")
     sized = (F.col("x.n") >= least * F.col("y.n") - 1e-9) & (F.col("y.n") >= least * F.col("x.n") - 1e-9)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & sized)
+    # Of 256 parts of all shingles, those of which one set holds an odd and the other an even number hold one at least that only one set has.
+    apart = sum((F.bit_count(F.col(f"x.o{k}").bitwiseXOR(F.col(f"y.o{k}"))) for k in range(4)), F.lit(0))
+    near = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least)) + 1e-6
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & sized & near)
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
