@@ -623,6 +623,29 @@ def test_language_model_counts_all_training_texts(spark):
     assert counts["bits"][:, 0].sum() == sum(inner.values()) and counts["bits"][:, 1].sum() == sum(words.values()) - words[b""]
 
 
+def test_texts_keep_their_blocks_however_they_are_read(spark, monkeypatch):
+    """Documents from an aggregate, whose readings Spark may deal differently, with repeated rows and many small blocks."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"q{rng.randrange(4000)}" for _ in range(rng.randrange(80))), "x" * rng.randrange(3000)) for i in range(400)] + [(9, "all the same " * 9, "y")] * 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string, wide string").repartition(7, "wide").withColumn("copy", F.monotonically_increasing_id())
+    docs = docs.groupBy("copy").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "wide")))
+    found = lm.score(docs, F.length("wide") % 5 != 0, queries.vocabulary()).collect()
+    held = [len(w) % 5 == 0 for _, _, w in rows]
+    counts = Counter(w for (_, t, _), h in zip(rows, held) if not h for w in [*t.split(), None])
+    n, v = sum(counts.values()), len(counts)
+    expected = sorted((i, len(t.split()) + 1, sum(counts[w] > 0 for w in [*t.split(), None]), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 6)) for i, t, _ in rows)
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found) == expected
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100)
+    rows = spark.range(300).selectExpr("if(id = 7, repeat('z', 500), 'ten bytes ') as text").repartition(3)
+    sizes = [r.n for r in lm.in_blocks(rows).groupBy("block").agg(F.sum(F.length("text")).alias("n")).collect()]
+    assert sum(sizes) == 299 * 10 + 500 and sorted(sizes)[-1] == 500 and sorted(sizes)[-2] <= 100 and sizes.count(100) >= 24
+
+
 def test_language_model_beats_the_unigram(spark):
     """Two kinds of texts, each with its own words: which kind it is tells what comes next."""
     rng = random.Random(8)
