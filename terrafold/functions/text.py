@@ -91,6 +91,17 @@ def content_type(x: Column) -> Column:
     return F.coalesce(F.element_at(kinds, extension(x)), F.lit("application/octet-stream"))
 
 
+#: The content types of the files that a page is made of, exact in case.
+STATIC_TYPES = {"css": "text/css", "js": "application/javascript", "mjs": "application/javascript", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "svg": "image/svg+xml", "html": "text/html"}
+
+
+def static_type(x: Column) -> Column:
+    """By what follows the last dot of the last path part, or by all of it where there is no dot; null where base_name() has none."""
+    name = base_name(x)
+    kinds = F.create_map(*(F.lit(v) for kv in STATIC_TYPES.items() for v in kv))
+    return F.when(name.isNotNull(), F.coalesce(F.element_at(kinds, F.element_at(F.split(name, r"\."), -1)), F.lit("application/octet-stream")))
+
+
 def mime_allowed(x: Column) -> Column:
     return x.isin(*MIME_TYPES)
 
@@ -123,7 +134,7 @@ def html_escape(x: Column) -> Column:
 
 
 def colour(x: Column, fallback: str = "#d94841") -> Column:
-    low = ascii_lower(F.trim(x))
+    low = ascii_lower(trimmed(x))
     long = F.regexp_replace(low, "^#([0-9a-f])([0-9a-f])([0-9a-f])$", "#$1$1$2$2$3$3")
     return F.when(long.rlike("^#[0-9a-f]{6}$"), long).otherwise(F.lit(fallback))
 
@@ -157,11 +168,15 @@ def link_kind(url: Column) -> Column:
     return F.when(is_pdf(url) & (~external | is_localhost(url)), "pdf").when(external, "external").otherwise("internal")
 
 
+#: The titles of links to a PDF, to download one, and to another site.
+PDF_TITLE, DOWNLOAD_TITLE, EXTERNAL_TITLE = "PDFリンク", "PDFダウンロードリンク", "外部リンク"
+
+
 def link_opening(kind: Column, url: Column, installed: Column) -> Column:
     """The start of a link's element: external links and PDFs open a new tab; an installed app downloads PDFs instead."""
     tab = lambda title: F.lit(f'<a target="_blank" rel="noopener noreferrer" title="{title}" ')
-    saved = F.concat(F.lit('<a href="#" title="PDFダウンロードリンク" onclick="downloadFile(\''), url, F.lit("')\""))
-    return F.when((kind == "pdf") & installed, saved).when(kind == "pdf", tab("PDFリンク")).when(kind == "external", tab("外部リンク")).otherwise("<a ")
+    saved = F.concat(F.lit(f'<a href="#" title="{DOWNLOAD_TITLE}" onclick="downloadFile(\''), url, F.lit("')\""))
+    return F.when((kind == "pdf") & installed, saved).when(kind == "pdf", tab(PDF_TITLE)).when(kind == "external", tab(EXTERNAL_TITLE)).otherwise("<a ")
 
 
 def absolute_url(protocol: Column, hostname: Column, port: Column, path: Column) -> Column:
@@ -173,38 +188,6 @@ def thumb_link(x: Column) -> Column:
     return F.concat(x, F.when(F.contains(x, F.lit("?")), "&thumb=true").otherwise("?thumb=true"))
 
 
-def media_tokens(x: Column) -> Column:
-    """Markdown ?[text](link) as a video element, @[youtube](link) as an embedding."""
-    x = F.regexp_replace(x, r"\?\[([^\]]*)\]\(([^)]*)\)", '<video src="$2" title="$1"></video>')
-    return F.regexp_replace(x, r"@\[youtube\]\(([^)]*)\)", '<app-youtube src="$1"></app-youtube>')
-
-
-def youtube_frames(x: Column) -> Column:
-    return F.regexp_replace(x, r'<app-youtube src="([^"]*)"></app-youtube>', '<iframe src="$1"></iframe>')
-
-
-#: The elements that may stay, with the attributes that may stay on each.
-ELEMENTS = {
-    "h1": ("id", "class"), "h2": ("id", "class"), "h3": ("id",), "h4": ("id",), "h5": ("id",), "h6": ("id",), "pre": ("class",), "a": ("target", "rel", "href", "title", "onclick"),
-    "img": ("src", "alt", "onclick"), "video": ("src", "controls", "preload", "poster"), "p": (), "div": ("class",), "span": (), "li": (), "strong": (), "ul": (), "ol": (),
-    "blockquote": (), "code": (), "table": (), "tbody": (), "th": (), "td": (), "tr": (), "details": ("class",), "summary": (), "app-youtube": ("video-id", "data-src"),
-}
-
-
-def strip_html(x: Column) -> Column:
-    """Scripts go with their bodies and other elements that are not on the list without theirs; a frame's tags become a
-    notice; of the elements on the list only the attributes that are listed for each stay, values in double quotes."""
-    x = F.regexp_replace(x, r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", "")
-    x = F.regexp_replace(x, r"(?i)</?iframe\b[^>]*>", "Not Allow iframe ")
-    x = F.regexp_replace(x, rf"(?i)</?(?!(?:{'|'.join(ELEMENTS)})[\s/>])[a-z][^>]*>", "")
-    # What is not listed goes first, attribute by attribute, each where the last one ended.
-    for names in sorted({v for v in ELEMENTS.values()}):
-        tags = "|".join(sorted((k for k, v in ELEMENTS.items() if v == names), key=len, reverse=True))
-        kept = rf"(?:{'|'.join(names)})\s*=" if names else "(?!)"
-        x = F.regexp_replace(x, rf"""(?i)(<(?:{tags})(?=[\s/])|\G(?!^))((?:\s+{kept}\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))*)\s+(?!{kept})[^\s=>"'/]+(?:\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s"'>]+))?""", "$1$2")
-    return x
-
-
 def embed_text(filename: Column, link: Column) -> Column:
     return F.when(is_mp4(filename), F.format_string("?[%s](%s)", filename, link)).when(is_pdf(filename), F.format_string("[%s](%s)", filename, link)).otherwise(F.format_string("![%s](%s)", filename, link))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
 from terrafold.functions.text import colour
 from terrafold.plans.registry import query
-from terrafold.sources import packages
+from terrafold.sources import packages, store
 from terrafold.sources.tables import layers, markers, shapes, table, vertices
 
 NAMED = "SELECT m.*, l.layer_name, l.is_master FROM markers m JOIN layers l ON l.id = m.layer_id"
@@ -17,24 +22,42 @@ NAMED = "SELECT m.*, l.layer_name, l.is_master FROM markers m JOIN layers l ON l
 def _marker_rows(spark: SparkSession, d: str) -> DataFrame:
     names = layers(spark, d).select(F.col("id").alias("layer_id"), "layer_name", "is_master")
     layer = F.struct("layer_name", "is_master").alias("layer")
-    return markers(spark, d).join(names, "layer_id").select("layer_id", F.struct("marker_name", "latitude", "longitude", "detail", layer).alias("marker"))
+    return markers(spark, d).join(names, "layer_id").select("layer_id", F.struct(F.lit(None).cast("timestamp_ntz").alias("at"), F.col("id").alias("id")).alias("place"), F.struct("marker_name", "latitude", "longitude", "detail", layer).alias("marker"))
 
 
 def _shape_rows(spark: SparkSession, d: str) -> DataFrame:
+    """In the order in which they were made."""
     names = layers(spark, d).select(F.col("id").alias("layer_id"), "layer_name", "is_master")
-    return shapes(spark, d).join(names, "layer_id").select("layer_id", F.struct("shape_type", "name", F.concat(F.lit('{"id":'), "id", F.lit("}")).alias("geojson"), F.struct("layer_name", "is_master").alias("layer")).alias("shape"))
+    made = F.struct(F.col("created_at").alias("at"), F.col("id").alias("id")).alias("place")
+    return shapes(spark, d).join(names, "layer_id").select("layer_id", made, F.struct("shape_type", "name", F.concat(F.lit('{"id":'), "id", F.lit("}")).alias("geojson"), F.struct("layer_name", "is_master").alias("layer")).alias("shape"))
 
 
 def _exported(spark: SparkSession, d: str) -> DataFrame:
     return packages.exported(_marker_rows(spark, d), _shape_rows(spark, d), ["layer_id"])
 
 
-@query("SELECT coalesce(m.layer_id, s.layer_id) AS layer_id, 2 AS version, coalesce(m.n, 0) AS markers, coalesce(s.n, 0) AS shapes FROM (SELECT layer_id, count(*) AS n FROM markers GROUP BY 1) m FULL JOIN (SELECT layer_id, count(*) AS n FROM shapes GROUP BY 1) s ON m.layer_id = s.layer_id")
+def _written(spark: SparkSession, d: str) -> str:
+    """A new folder with one document a layer."""
+    path = f"{store.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    packages.write_documents(_marker_rows(spark, d), _shape_rows(spark, d), "layer_id", path)
+    return path
+
+
+@query(f"SELECT layer_id, layer_name, is_master, marker_name, latitude, longitude, detail, NULL AS shape_type, NULL AS name, NULL AS id FROM ({NAMED}) UNION ALL SELECT s.layer_id, l.layer_name, l.is_master, NULL, NULL, NULL, NULL, s.shape_type, s.name, s.id FROM shapes s JOIN layers l ON l.id = s.layer_id")
 def export_package_json(spark: SparkSession, d: str) -> DataFrame:
-    """Written as JSON text and read back: engines spell JSON differently, so counts are compared."""
-    text = _exported(spark, d).select("layer_id", packages.as_json(F.col("package"), pretty=True).alias("text"))
-    back = text.select("layer_id", packages.parsed(F.col("text")).alias("p"))
-    return back.groupBy("layer_id").agg(F.max("p.version").alias("version"), F.sum(F.size("p.markers")).alias("markers"), F.sum(F.size("p.shapes")).alias("shapes"))
+    """One document a layer, written as a file and read back item by item."""
+    rows = packages.read_items(spark, _written(spark, d))
+    layer = F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("int").alias("layer_id")
+    named = F.coalesce("marker.layer", "shape.layer")
+    return rows.select(layer, named["layer_name"].alias("layer_name"), named["is_master"].alias("is_master"), "marker.marker_name", "marker.latitude", "marker.longitude", "marker.detail", "shape.shape_type", "shape.name", F.get_json_object("shape.geojson", "$.id").cast("bigint").alias("id"))
+
+
+@query("SELECT coalesce(m.layer_id, s.layer_id) AS layer_id, 2 AS version, coalesce(m.n, 0) AS markers, coalesce(s.n, 0) AS shapes, coalesce(m.low, -1) AS first_marker FROM (SELECT layer_id, count(*) AS n, arg_min(latitude, id) AS low FROM markers GROUP BY 1) m FULL JOIN (SELECT layer_id, count(*) AS n FROM shapes GROUP BY 1) s ON m.layer_id = s.layer_id")
+def export_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same files read as whole JSON documents: exactly one a layer, its items in order."""
+    read = packages.read_packages(spark, _written(spark, d))
+    layer = F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("int").alias("layer_id")
+    return read.select(layer, "package.version", F.size("package.markers").cast("bigint").alias("markers"), F.size("package.shapes").cast("bigint").alias("shapes"), F.coalesce(F.get("package.markers", F.lit(0))["latitude"], F.lit(-1.0)).alias("first_marker"))
 
 
 @query("SELECT row_number() OVER (ORDER BY layer_name) AS id, layer_name, false AS is_master FROM (SELECT DISTINCT l.layer_name FROM layers l JOIN markers m ON m.layer_id = l.id)")
@@ -44,16 +67,21 @@ def import_layers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT r.id AS layer_id, n.marker_name, n.latitude, n.longitude, n.detail FROM ({NAMED}) n JOIN (SELECT row_number() OVER (ORDER BY layer_name) AS id, layer_name FROM layers) r ON r.layer_name = n.layer_name")
 def import_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Every layer has markers or shapes, so each name is numbered."""
-    return packages.import_rows(_exported(spark, d))[1].select("layer_id", "marker_name", "latitude", "longitude", "detail")
+    """Files are imported as one version of a store, then a bad file is refused: readers still see the first version. Every layer has markers or shapes, so each name is numbered."""
+    where = f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    packages.import_into(where, packages.import_rows(packages.read_packages(spark, _written(spark, d)).select("package")))
+    bad = _marker_rows(spark, d).select(F.struct(F.lit(2).alias("version"), F.array(F.col("marker").withField("layer", F.struct(F.lit(" ").alias("layer_name"), F.lit(False).alias("is_master")))).alias("markers"), F.array().cast(f"array<{packages.SHAPE}>").alias("shapes")).alias("package"))
+    with contextlib.suppress(PySparkException, Py4JJavaError):
+        packages.import_into(where, packages.import_rows(bad))
+    return store.read(spark, where, "markers").select("layer_id", "marker_name", "latitude", "longitude", "detail")
 
 
 @query("SELECT r.id AS layer_id, s.shape_type, s.name, CAST(s.id AS BIGINT) AS id FROM shapes s JOIN layers l ON l.id = s.layer_id JOIN (SELECT row_number() OVER (ORDER BY layer_name) AS id, layer_name FROM layers) r ON r.layer_name = l.layer_name")
 def import_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Shapes exported as JSON text and imported again, the id taken from their GeoJSON."""
-    text = _exported(spark, d).select(packages.as_json(F.col("package")).alias("text"))
-    rows = packages.import_rows(text.select(packages.parsed(F.col("text")).alias("package")))[2]
-    return rows.select("layer_id", "shape_type", "name", F.get_json_object("geojson", "$.id").cast("bigint").alias("id"))
+    """Documents written, read item by item and imported into a store, the id taken from their GeoJSON."""
+    where = f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    packages.import_into(where, packages.import_items(packages.read_items(spark, _written(spark, d))))
+    return store.read(spark, where, "shapes").select("layer_id", "shape_type", "name", F.get_json_object("geojson", "$.id").cast("bigint").alias("id"))
 
 
 @query("SELECT c_custkey AS id, 1 AS version, 1 AS markers, 0 AS shapes FROM customer")
@@ -112,7 +140,7 @@ def share_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the listed layers that the user owns, nested into maps as text and read back; foreign layers vanish."""
     wanted = spark.createDataFrame([(1,), (6,), (7,)], "layer_id int")
     own = markers(spark, d).where("user_id = 1").join(wanted, "layer_id", "left_semi")
-    dealt = packages.in_parts(own, ["user_id"], "id")
+    dealt = packages.in_parts(own.dropDuplicates(["user_id", "id"]), ["user_id"])
     text = dealt.groupBy("user_id", "part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), F.struct("marker_name", "layer_id"))))).alias("markers"))
     back = text.select("user_id", F.explode(F.from_json("markers", "map<string,struct<marker_name:string,layer_id:int>>")))
     return back.groupBy("user_id").agg(F.count("*").alias("markers"), F.countDistinct("value.layer_id").alias("layers"))

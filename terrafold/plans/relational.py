@@ -225,7 +225,7 @@ def share_flags(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT key, value.marker_name AS marker_name FROM (SELECT id AS key, {'marker_name': marker_name} AS value FROM markers WHERE user_id = 4 AND layer_id = 9)")
 def keyed_map(spark: SparkSession, d: str) -> DataFrame:
     """A layer's rows as maps by id, in parts of a bounded size, then their entries."""
-    rows = in_parts(markers(spark, d).where("user_id = 4 and layer_id = 9"), ["layer_id"], "id")
+    rows = in_parts(markers(spark, d).where("user_id = 4 and layer_id = 9").dropDuplicates(["id"]), ["layer_id"])
     return rows.groupBy("layer_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("marker_name")))).alias("m")).select(F.explode("m")).select("key", "value.marker_name")
 
 

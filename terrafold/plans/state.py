@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrafold.functions.text import html_escape
+from terrafold.operators import blocks
 from terrafold.plans.registry import query
 from terrafold.sources.tables import attempts, positions, table
 from terrafold.streaming import latest, logins
@@ -55,42 +53,39 @@ def undo_top(spark: SparkSession, d: str) -> DataFrame:
     return deleted.join(restored, "event_id", "left_anti").groupBy("user_id").agg(F.max("event_id").alias("restored"))
 
 
-BLOCKS = ("details", "note", "warning")
-
-
-def nested_blocks(text: str) -> str:
-    """:::kind title / ::: blocks, which may nest, as elements. Any :::word opens a level, a bare ::: closes one; a block that no line closes stays text. Without a title a block is named by its kind in capitals."""
-    lines, out, i = re.split(r"\r?\n", text), [], 0
-    while i < len(lines):
-        kind = next((k for k in BLOCKS if lines[i].startswith(f":::{k}")), None)
-        end, level = None, 0
-        if kind:
-            for j in range(i, len(lines)):
-                line = lines[j].strip()
-                level += 1 if re.match(r":::\w", line, re.A) else -1 if line == ":::" else 0
-                if line == ":::" and level == 0:
-                    end = j
-                    break
-        if end is None:
-            out.append(lines[i])
-            i += 1
-            continue
-        title = re.match(rf":::{kind}\s+(.+)", lines[i])
-        head, tail = ('<details class="details">', "</details>") if kind == "details" else (f'<div class="box {kind}">', "</div>")
-        inner = nested_blocks("\n".join(lines[i + 1 : end]))
-        out.append(f"{head}\n<summary>{title[1].strip() if title else kind.upper()}</summary>\n{inner}\n{tail}\n")
-        i = end + 1
-    return "\n".join(out)
-
-
+#: Lines of documents with marks put in by their number, so that blocks nest, overlap and stay open.
+_MARKS = {0: ":::details ", 2: ":::note", 3: ":::", 5: ":::", 6: ":::warning  ", 8: " :::note ", 9: ":::", 10: " ::: ", 11: ":::other", 12: ":::"}
+_PERIOD = 14
 ESCAPED = "replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
-
-
-@query(f"SELECT doc_id, md5('<details class=\"details\">' || chr(10) || '<summary>Text</summary>' || chr(10) || '<div class=\"box note\">' || chr(10) || '<summary>NOTE</summary>' || chr(10) || replace({ESCAPED}, chr(13) || chr(10), chr(10)) || chr(10) || '</div>' || chr(10) || chr(10) || '</details>' || chr(10)) AS html_md5 FROM documents WHERE NOT contains(coalesce(text, ''), ':::')")
+_CHOSEN = " ".join(f"WHEN {k} THEN '{v}'" + (" || substr(line, 1, 9)" if v.strip()[3:] and v.endswith(" ") else "") for k, v in _MARKS.items())
+#: A closer is the first later line that brings the level back to what it was before the opener.
+BLOCKS = rf"""WITH raw AS (SELECT doc_id, string_split(replace({ESCAPED}, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
+    plain AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS at FROM raw),
+    numbered AS (SELECT doc_id, 3 * at + j AS at, CASE j WHEN 1 THEN line WHEN 2 THEN CASE (doc_id + at) % {_PERIOD} {_CHOSEN} ELSE line END ELSE CASE (doc_id * 5 + at * 3) % {_PERIOD} {_CHOSEN} ELSE '' END END AS line FROM plain, (SELECT unnest([1, 2, 3]) AS j)),
+    steps AS (SELECT *, CASE WHEN regexp_matches(trim(line), '^:::[A-Za-z0-9_]') THEN 1 WHEN trim(line) = ':::' THEN -1 ELSE 0 END AS step FROM numbered),
+    levels AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY at) AS level FROM steps),
+    opening AS (SELECT a.doc_id, a.at, a.line, min(b.at) AS closed FROM levels a JOIN levels b ON a.doc_id = b.doc_id AND b.at > a.at AND b.step = -1 AND b.level = a.level - 1
+      WHERE a.step = 1 AND regexp_matches(a.line, '^:::(details|note|warning)') GROUP BY ALL),
+    shown AS (SELECT n.doc_id, n.at, CASE WHEN o.at IS NOT NULL THEN CASE WHEN starts_with(n.line, ':::details') THEN '<details class="details">' ELSE '<div class="box ' || regexp_extract(n.line, '^:::(note|warning)', 1) || '">' END || chr(10) || '<summary>'
+        || CASE WHEN regexp_matches(n.line, '^:::(details|note|warning)\s+.') THEN trim(regexp_extract(n.line, '^:::(?:details|note|warning)\s+(.+)', 1), {{white}}) ELSE upper(regexp_extract(n.line, '^:::(details|note|warning)', 1)) END || '</summary>' || CASE WHEN o.closed = n.at + 1 THEN chr(10) ELSE '' END
+      WHEN c.at IS NOT NULL THEN CASE WHEN starts_with(c.line, ':::details') THEN '</details>' ELSE '</div>' END || chr(10) ELSE n.line END AS line
+      FROM numbered n LEFT JOIN opening o ON o.doc_id = n.doc_id AND o.at = n.at LEFT JOIN opening c ON c.doc_id = n.doc_id AND c.closed = n.at)
+    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY at)) AS html_md5 FROM shown GROUP BY doc_id"""
+
+
+@query(BLOCKS.replace("{white}", "' ' || chr(9) || chr(12) || chr(160) || chr(8195)"))
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Nesting has no bound, so a pandas function walks the lines. Texts with block marks of their own are left to the tests."""
-    render = F.pandas_udf(lambda x: x.map(nested_blocks), T.StringType())
-    body = html_escape(F.coalesce("text", F.lit("")))
-    wrapped = F.concat(F.lit(":::details Text\n:::note\n"), body, F.lit("\n:::\n:::"))
-    rows = table(spark, d, "documents").where(~F.contains(F.coalesce("text", F.lit("")), F.lit(":::")))
-    return rows.select("doc_id", F.md5(render(wrapped)).alias("html_md5"))
+    """Whole documents, with marks put between and in place of their lines."""
+    lines = blocks.lines_of(html_escape(F.coalesce("text", F.lit(""))))
+
+    def chosen(line: Column, number: Column, otherwise: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, mark in _MARKS.items():
+            titled = bool(mark.strip()[3:]) and mark.endswith(" ")
+            out = F.when(number % _PERIOD == k, F.concat(F.lit(mark), F.substring(line, 1, 9)) if titled else F.lit(mark)).otherwise(out)
+        return F.coalesce(out, otherwise)
+
+    key = F.col("doc_id")
+    more = F.flatten(F.transform(lines, lambda x, k: F.array(x, chosen(x, key + k + 1, x), chosen(x, key * 5 + (k + 1) * 3, F.lit("")))))
+    rows = table(spark, d, "documents").select("doc_id", F.array_join(more, "\n").alias("text"))
+    return blocks.with_blocks(rows, "text", "html").select("doc_id", F.md5("html").alias("html_md5"))

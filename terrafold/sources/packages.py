@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import trimmed
+from terrafold.sources.store import commit, names_in, renamed, staged
 
 LAYER = "struct<layer_name:string,is_master:boolean>"
 MARKER = f"struct<marker_name:string,latitude:double,longitude:double,detail:string,layer:{LAYER}>"
@@ -33,26 +36,65 @@ def parsed(text: Column) -> Column:
 PART_ROWS = 10_000
 
 
-def in_parts(rows: DataFrame, keys: list[str], item: str, most: int = PART_ROWS) -> DataFrame:
-    """rows with a part number, so that a part of a key holds about so many; equal items share a part."""
+def in_parts(rows: DataFrame, keys: list[str], most: int = PART_ROWS) -> DataFrame:
+    """rows with a part number, so that a part of a key holds about so many, however many rows are equal."""
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("_parts"))
-    return rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int")).drop("_parts")
+    return rows.withColumn("_place", F.monotonically_increasing_id()).join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("_place"), F.col("_parts")).cast("int")).drop("_parts", "_place")
 
 
 def exported(markers: DataFrame, shapes: DataFrame, keys: list[str], most: int = PART_ROWS) -> DataFrame:
     """(*keys, part, package): markers with (*keys, marker), shapes with (*keys, shape), structs of the package.
 
     A large package comes in numbered parts, each a whole document; importing all parts imports the package."""
-    m = in_parts(markers, keys, "marker", most).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("marker")).alias("markers"))
-    s = in_parts(shapes, keys, "shape", most).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("shape")).alias("shapes"))
+    m = in_parts(markers, keys, most).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("marker")).alias("markers"))
+    s = in_parts(shapes, keys, most).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("shape")).alias("shapes"))
     both = m.join(s, [*keys, "part"], "full")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     return both.select(*keys, "part", F.struct(F.lit(2).alias("version"), none("markers", m.schema["markers"].dataType).alias("markers"), none("shapes", s.schema["shapes"].dataType).alias("shapes")).alias("package"))
 
 
-def write_packages(packages: DataFrame, path: str) -> None:
-    """packages with (layer_id, part, package): one JSON document a line, a folder for each layer and part."""
-    packages.select("layer_id", "part", F.to_json("package").alias("value")).write.partitionBy("layer_id", "part").text(path)
+#: The sections of a document in order, with the lines that stand before them.
+_START, _MARKERS, _MIDDLE, _SHAPES, _END = range(5)
+_LINES = {_START: '{"version":2,"markers":[', _MIDDLE: '],"shapes":[', _END: "]}"}
+
+
+def document_lines(markers: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
+    """(key, section, line): the lines of one JSON document for each key, in order within it.
+
+    markers with (key, place, marker), shapes with (key, place, shape): place orders them. A marker or shape is one line,
+    and all but the first of a section begin with a comma, so a document of any size is never one row."""
+    items = markers.select(key, F.lit(_MARKERS).alias("section"), "place", F.to_json("marker").alias("line")).union(shapes.select(key, F.lit(_SHAPES), "place", F.to_json("shape")))
+    nowhere = F.lit(None).cast(items.schema["place"].dataType).alias("place")
+    frame = items.select(key).distinct().select(key, F.inline(F.array(*(F.struct(F.lit(k).alias("section"), F.lit(v).alias("line")) for k, v in _LINES.items())))).select(key, "section", nowhere, "line")
+    before = F.lag("section").over(Window.partitionBy(key).orderBy("section", "place", "line"))
+    return items.union(frame).select(key, "section", F.when(F.col("section") == before, F.concat(F.lit(","), "line")).otherwise(F.col("line")).alias("line"))
+
+
+def write_documents(markers: DataFrame, shapes: DataFrame, key: str, path: str) -> list[str]:
+    """Writes one JSON document for each key, path/<key>.json, and returns the names.
+
+    A document is written line by line by one task, which sorts on disk what is large: it takes time, not memory. It gets
+    its name when all documents are complete."""
+    spark = markers.sparkSession
+    folder = f"{path}/_lines-{uuid.uuid4().hex}"
+    document_lines(markers, shapes, key).select(F.col(key).alias("_key"), F.col("line").alias("value")).write.partitionBy("_key").option("maxRecordsPerFile", 0).text(folder)
+    names = []
+    for own in names_in(spark, folder):
+        if own.startswith("_key="):
+            (part,) = (n for n in names_in(spark, f"{folder}/{own}") if n.startswith("part-"))
+            names.append(f"{own.removeprefix('_key=')}.json")
+            renamed(spark, f"{folder}/{own}/{part}", f"{path}/{names[-1]}")
+    return names
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """(path, marker, shape): the markers and shapes of documents that write_documents() wrote, line by line, so no document is ever one row."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("path", F.col("_metadata.file_path")).where(F.endswith("path", F.lit(".json")))
+    # The frame's lines are no items, in whichever order Spark filters and parses.
+    items = lines.select("path", F.when(~F.col("value").isin(*_LINES.values()), F.regexp_replace("value", "^,", "")).alias("value")).where("value is not null")
+    strict = {"mode": "FAILFAST"}
+    is_shape = F.get_json_object("value", "$.shape_type").isNotNull()
+    return items.select("path", F.from_json(F.when(~is_shape, F.col("value")), MARKER, strict).alias("marker"), F.from_json(F.when(is_shape, F.col("value")), SHAPE, strict).alias("shape"))
 
 
 def as_json(package: Column, pretty: bool = False) -> Column:
@@ -62,24 +104,40 @@ def as_json(package: Column, pretty: bool = False) -> Column:
 def import_rows(packages: DataFrame, first_layer: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """packages with (package): new layers, markers and shapes, checked as a whole before any is used.
 
-    Each distinct trimmed layer name makes one new layer, never a master; ids follow the order of names.
-    A blank layer name or an unknown shape type fails the job."""
-    m = packages.select(F.explode("package.markers").alias("x")).select("x.*", trimmed(F.col("x.layer.layer_name")).alias("layer_name"))
-    s = packages.select(F.explode("package.shapes").alias("x")).select("x.*", trimmed(F.col("x.layer.layer_name")).alias("layer_name"))
+    Each distinct trimmed layer name makes one new layer, never a master; ids follow the order of names. A blank layer
+    name or an unknown shape type fails at once. The rows are read and checked once, and kept in the shared folder."""
+    m, s = (F.explode(f"package.{c}").alias("x") for c in ("markers", "shapes"))
+    items = packages.select(m).select(F.col("x").cast(MARKER).alias("m"), F.lit(None).cast(SHAPE).alias("s")).union(packages.select(s).select(F.lit(None).cast(MARKER), F.col("x").cast(SHAPE)))
+    return _imported(items, first_layer)
+
+
+def import_items(items: DataFrame, first_layer: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for rows (marker, shape) of read_items()."""
+    return _imported(items.select(F.col("marker").alias("m"), F.col("shape").alias("s")), first_layer)
+
+
+def _imported(items: DataFrame, first_layer: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = items.withColumn("layer_name", trimmed(F.coalesce("m.layer.layer_name", "s.layer.layer_name")))
     fails = lambda ok, why: F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit(why)).cast("boolean"))
-    named = fails(F.col("layer_name") != "", "a layer has no name")
-    m = m.where(named.isNull())
-    s = s.where(named.isNull() & fails(F.col("shape_type").isin(*SHAPE_KINDS), "unknown shape type").isNull())
-    names = m.select("layer_name").union(s.select("layer_name")).distinct()
-    numbered = ranked(names, "layer_name", "id", first_layer)
+    ok = fails(F.col("layer_name") != "", "a layer has no name").isNull() & fails(F.col("m").isNotNull() | F.col("s.shape_type").isin(*SHAPE_KINDS), "unknown shape type").isNull()
+    rows = staged(rows.where(ok))
+    numbered = ranked(rows.select("layer_name").distinct(), "layer_name", "id", first_layer)
     layers = numbered.withColumn("is_master", F.lit(False))
     ids = numbered.withColumnRenamed("id", "layer_id")
-    return layers, m.drop("layer").join(ids, "layer_name"), s.drop("layer").join(ids, "layer_name")
+    own = lambda c: rows.where(F.col(c).isNotNull()).select(f"{c}.*", "layer_name").drop("layer").join(ids, "layer_name")
+    return layers, own("m"), own("s")
+
+
+def import_into(store: str, imported: tuple[DataFrame, DataFrame, DataFrame]) -> int:
+    """What import_rows() or import_items() gave as one new version of a store's tables layers, markers and shapes, or nothing of it; the number of the version."""
+    layers, markers, shapes = imported
+    return commit({"layers": layers, "markers": markers, "shapes": shapes}, store)
 
 
 def ranked(names: DataFrame, column: str, as_column: str, first: int = 0) -> DataFrame:
-    """names numbered in order: places within ranges, after the counts of the ranges before them."""
-    parts = names.repartitionByRange(F.col(column)).sortWithinPartitions(column).select(column, F.spark_partition_id().alias("_p"))
+    """names numbered in order: places within ranges, after the counts of the ranges before them. Ranges are written once, so all who read them see the same."""
+    ranges = names.repartitionByRange(F.col(column)).select(column, F.spark_partition_id().alias("_p"))
+    parts = staged(ranges)
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(column).alias("_low"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_low")) - F.col("_n")).alias("_before"))
     inside = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(column)))

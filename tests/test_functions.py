@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geo, text
 from terrafold.operators import hits, measure
-from terrafold.plans.state import nested_blocks
 from terrafold.sources import packages
 from terrafold.streaming import logins
 
@@ -83,14 +82,6 @@ def test_cache_control(spark):
     assert told("max-age=60")[3] == "Unknown cache control: max-age=60"
 
 
-@pytest.mark.parametrize("html, left", [
-    ('<h1 ID="a" style="b" class=c>x</h1>', '<h1 ID="a" class=c>x</h1>'), ("<scripty>a</scripty><SCRIPT>b</SCRIPT >c", "ac"), ("<p a b=1 c='2'>t</p>", "<p>t</p>"), ("<br><b>x</b>", "x"),
-    ('<video src="v" autoplay controls="c" onclick="d">', '<video src="v" controls="c">'), ("<iframe src=x></iframe>", "Not Allow iframe Not Allow iframe "), ("1 < 2 > 1", "1 < 2 > 1"), ("<script>never closed", ""),
-])
-def test_sanitised(spark, html, left):
-    assert value(spark, text.strip_html(F.lit(html))) == left
-
-
 def test_first_rings(spark):
     ring = lambda kind, text: value(spark, geo.first_ring(F.lit(kind), F.lit(text)))
     assert ring("Polygon", "[[[1,2],[3,4]],[[5,6]]]") == [[1.0, 2.0], [3.0, 4.0]]
@@ -114,23 +105,6 @@ def test_group_centres(spark):
     assert sorted((r["shape_id"], r["pair"], round(r["lng"], 9)) for r in found) == [(1, 0, 2.0), (1, 1, 5.0), (2, 0, 5.0)]
 
 
-def test_packages_are_written_in_parts(spark, tmp_path):
-    layer = F.struct(F.lit(" x\u3000").alias("layer_name"), F.lit(False).alias("is_master")).alias("layer")
-    item = F.struct(F.col("id").cast("string").alias("marker_name"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit("").alias("detail"), layer)
-    markers = spark.range(1000).select(F.lit(6).alias("layer_id"), item.alias("marker"))
-    none = spark.createDataFrame([], f"layer_id int, shape {packages.SHAPE}")
-    parts = packages.exported(markers, none, ["layer_id"], most=100)
-    assert parts.count() == 10 and max(r["n"] for r in parts.select(F.size("package.markers").alias("n")).collect()) < 200
-    packages.write_packages(parts, str(tmp_path / "out"))
-    for k, path in enumerate(tmp_path.glob("out/*/*/part-*")):
-        path.rename(tmp_path / f"{k}.json")
-    (tmp_path / "other.JSON").write_text("not read")
-    read = packages.read_packages(spark, str(tmp_path))
-    layers, back, _ = packages.import_rows(read.select("package"))
-    assert [r["layer_name"] for r in layers.collect()] == ["x"]
-    assert sorted(int(r["marker_name"]) for r in back.collect()) == list(range(1000))
-
-
 def test_pairs_and_ring(spark):
     assert tuple(value(spark, geo.parsed_pair(F.lit("( 35.5, 139.25 )")))) == (35.5, 139.25)
     assert value(spark, geo.parsed_pair(F.lit("35.5, 139, 1"))) is None
@@ -190,13 +164,3 @@ def test_stream_gives_the_batch_result(spark, data, tmp_path):
     run.awaitTermination(120)
     key = lambda df: sorted(map(tuple, df.select("user_id", "ts", "outcome", "failed_count", "is_locked").collect()))
     assert key(spark.table("logins")) == key(logins.batch(rows))
-
-
-def test_nested_blocks():
-    note = lambda title, body: f'<div class="box note">\n<summary>{title}</summary>\n{body}\n</div>\n'
-    assert nested_blocks(":::note  a b \nx\n:::") == note("a b", "x")
-    assert nested_blocks("t\n:::note\n:::details  d\ny\n  :::  \n:::\nz") == "t\n" + note("NOTE", '<details class="details">\n<summary>d</summary>\ny\n</details>\n') + "\nz"
-    assert nested_blocks(":::note\nnever closed") == ":::note\nnever closed"
-    assert nested_blocks(":::note\n:::other\n:::") == ":::note\n:::other\n:::"
-    assert nested_blocks(":::note\n:::other\n:::\n:::") == note("NOTE", ":::other\n:::")
-    assert nested_blocks(" :::note\nx\n:::") == " :::note\nx\n:::"
