@@ -157,7 +157,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
         if texts and n + size > BLOCK_WORDS:
             yield ids, texts
             ids, texts, n = [], [], 0
-        ids, texts, n = [*ids, item_id], [*texts, text or ""], n + size
+        ids.append(item_id)
+        texts.append(text or "")
+        n += size
     if texts:
         yield ids, texts
 

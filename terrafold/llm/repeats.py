@@ -244,7 +244,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     windows = written(last.mapInArrow(_window_rows, f"{ids}, start int, alone boolean, one long, two long"))
     again = written(windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"))
     single = windows.where("alone").join(again, ["one", "two"]).select("doc_id", "key", "start", F.lit(1).alias("windows"))
-    return whole_runs.union(whole_blocks).union(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    # Identical rows have equal spans, so a set, whose parts merge before the shuffle, holds no more than one text's.
+    return whole_runs.union(whole_blocks).union(single).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
 
 def drop_repeats(documents: DataFrame) -> DataFrame:

@@ -196,6 +196,20 @@ def test_repeats(spark, documents, nothing, rows, chunk, monkeypatch):
     assert repeats.drop_repeats_digests(nothing).count() == 0
 
 
+def test_spans_of_identical_rows_meet_as_one_set(spark):
+    """Copies of one row, with one id, add nothing to what their group holds."""
+    text = "\n".join(passage(k, 100) for k in range(4)) + passage(0, 100)
+    sizes = []
+    for copies in (2, 60, 300):
+        rows = spark.createDataFrame([(1, text)] * copies + [(2, passage(77, 90)), (3, text[:900])], "doc_id long, text string").repartition(3)
+        keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+        spans = {r["doc_id"]: len(r["spans"]) for r in repeats.repeated_spans(keyed).collect()}
+        sizes.append(spans[1])
+        found = repeats.drop_repeats(rows).collect()
+        assert len(found) == copies + 2 and {(r["doc_id"], r["n_bytes"] - r["n_removed"]) for r in found} == {(1, 0), (2, len(passage(77, 90))), (3, 0)}
+    assert sizes[0] == sizes[1] == sizes[2]
+
+
 def test_repeats_with_edits(spark):
     """Passages with edits, cuts and other surroundings: every digit has something to settle."""
     rng = np.random.default_rng(7)
