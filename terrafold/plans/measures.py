@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geo
 from terrafold.functions.text import fixed
-from terrafold.operators import hits, measure
+from terrafold.operators import clusters, hits, measure
 from terrafold.plans.registry import query
 from terrafold.sources.tables import markers, scaled, shapes, table, vertices
 
@@ -142,6 +142,29 @@ def marker_grid_counts(spark: SparkSession, d: str) -> DataFrame:
     return markers(spark, d).groupBy(F.floor(x / 80).alias("cell_x"), F.floor(y / 80).alias("cell_y")).agg(F.count("*").alias("n"))
 
 
+_UNIT = "CAST(floor({} * (256.0 * 4194304 / (2 * CAST(3.141592653589793 AS DOUBLE) * 6378137))) AS BIGINT) + 536870912"
+
+
+def _clusters_sql() -> str:
+    """Zoom after zoom, each with joins of cells: the cells, the choice of each, the clusters."""
+    finest, coarsest = clusters.FINEST, clusters.COARSEST
+    parts = [f"m{finest + 1} AS MATERIALIZED (SELECT 1::BIGINT AS n, {_UNIT.format(X.format('longitude'))} AS sx, {_UNIT.format('-' + Y.format('latitude'))} AS sy, id AS low FROM markers )"]
+    for z in range(finest, coarsest - 1, -1):
+        side, radius = 56 * 2 ** (22 - z), 80 * 2 ** (22 - z)
+        sums = "CAST(sum(n) AS BIGINT) AS n, CAST(sum(sx) AS BIGINT) AS sx, CAST(sum(sy) AS BIGINT) AS sy, min(low) AS low"
+        parts.append(f"c{z} AS MATERIALIZED (SELECT sx // n // {side} AS cx, sy // n // {side} AS cy, {sums} FROM m{z + 1} GROUP BY 1, 2)")
+        parts.append(f"b{z} AS MATERIALIZED (SELECT a.low, arg_max(b.low, {{'n': b.n, 'low': -b.low}}) AS choice FROM c{z} a JOIN c{z} b ON abs(a.cx - b.cx) <= 2 AND abs(a.cy - b.cy) <= 2 AND (a.sx // a.n - b.sx // b.n) * (a.sx // a.n - b.sx // b.n) + (a.sy // a.n - b.sy // b.n) * (a.sy // a.n - b.sy // b.n) <= {radius * radius} GROUP BY a.low)")
+        parts.append(f"m{z} AS MATERIALIZED (SELECT {sums.replace('min(low)', 'min(c.low)')} FROM c{z} c JOIN b{z} own ON own.low = c.low JOIN b{z} of ON of.low = own.choice GROUP BY CASE WHEN of.choice = of.low THEN of.low ELSE c.low END)")
+    out = " UNION ALL ".join(f"SELECT {z} AS zoom, sx // n // {2 ** (22 - z)} AS x, sy // n // {2 ** (22 - z)} AS y, n, low FROM m{z}" for z in range(finest, coarsest - 1, -1))
+    return f"WITH {', '.join(parts)} {out}"
+
+
+@query(_clusters_sql())
+def marker_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """All zooms of the map, by distance and not by order of arrival."""
+    return clusters.clusters(markers(spark, d).select("id", "latitude", "longitude"))
+
+
 def clicks(spark: SparkSession, d: str) -> DataFrame:
     """All over the country, near its shapes."""
     key = F.col("s_suppkey")

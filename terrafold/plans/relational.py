@@ -9,18 +9,23 @@ from terrafold.plans.registry import query
 from terrafold.sources.packages import in_parts
 from terrafold.sources.tables import images, layers, markers, shapes, shares, table, text_markers, users, vertices
 
-TILE_SERVERS = [(1, "standard", "Standard", True, None, 18), (2, "photo", "Photographs", False, 9, None)]
-TILE_COLUMNS = "id int, layer_name string, label string, include_foreign_tiles boolean, min_zoom int, max_zoom int"
-TILE_SQL = "tiles(id, layer_name, label, include_foreign_tiles, min_zoom, max_zoom) AS (VALUES (1, 'standard', 'Standard', true, NULL, 18), (2, 'photo', 'Photographs', false, 9, NULL))"
-SETTINGS = [("login_limit", "10"), ("login_minutes", "x")]
+def tile_servers(spark: SparkSession, d: str) -> DataFrame:
+    """Tile servers made of regions; every second one has no smallest zoom, every third no largest."""
+    k = F.col("r_regionkey")
+    return table(spark, d, "region").select(k.alias("id"), F.lower("r_name").alias("layer_name"), F.initcap("r_name").alias("label"), (k % 2 == 0).alias("include_foreign_tiles"), F.when(k % 2 == 1, k + 3).alias("min_zoom"), F.when(k % 3 > 0, k + 15).alias("max_zoom"))
 
 
-def tile_servers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TILE_SERVERS, TILE_COLUMNS)
+#: The settings of a new installation, by their stored keys; the administrator's secrets are not data here.
+SEED_SETTINGS = [("login_attempts_limit", "15"), ("next_challenge_minutes", "5"), ("challenge_limit_start", "5")]
+DEFAULTS = {k: int(v) for k, v in SEED_SETTINGS}
 
 
-#: The settings that a new installation starts with; the administrator's secrets are not data here.
-SEED_SETTINGS = [("login_attempts_limit", "15"), ("next_challenge_minutes", "5"), ("challenge_limit_start", "5")]
+def settings_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of installations, made of suppliers: key and value as text, later rows with larger ids."""
+    k = F.col("s_suppkey")
+    key = F.element_at(F.array(*map(F.lit, [*DEFAULTS, "theme"])), (k % 4 + 1).cast("int"))
+    value = F.when(k % 7 == 0, "S_NAME").when(k % 7 == 1, F.concat(F.lit("+"), (k % 50).cast("string"))).when(k % 7 == 2, F.concat(F.lit(" "), k.cast("string"))).when(k % 7 == 3, "9223372036854775808").when(k % 7 == 4, F.concat(k.cast("string"), F.lit(".0"))).otherwise((k - 40).cast("string"))
+    return table(spark, d, "supplier").select(k.alias("id"), F.col("s_nationkey").alias("installation"), key.alias("setting_key"), value.alias("setting_value"))
 
 
 def seeded(existing: DataFrame, seed: DataFrame) -> DataFrame:
@@ -29,18 +34,19 @@ def seeded(existing: DataFrame, seed: DataFrame) -> DataFrame:
     return existing.unionByName(seed.join(F.broadcast(n)).where("_n = 0").drop("_n"))
 
 
-@query(f"WITH {TILE_SQL} SELECT id, layer_name, label, include_foreign_tiles, coalesce(min_zoom, 5) AS min_zoom, coalesce(max_zoom, 18) AS max_zoom FROM tiles")
+@query("SELECT r_regionkey AS id, lower(r_name) AS layer_name, upper(substr(r_name, 1, 1)) || lower(regexp_replace(substr(r_name, 2), ' .*', '')) AS label, r_regionkey % 2 = 0 AS include_foreign_tiles, CASE WHEN r_regionkey % 2 = 1 THEN r_regionkey + 3 ELSE 5 END AS min_zoom, CASE WHEN r_regionkey % 3 > 0 THEN r_regionkey + 15 ELSE 18 END AS max_zoom FROM region")
 def tile_server_list(spark: SparkSession, d: str) -> DataFrame:
-    empty = spark.createDataFrame([], TILE_COLUMNS)
-    return seeded(empty, tile_servers(spark)).select("id", "layer_name", "label", "include_foreign_tiles", F.coalesce("min_zoom", F.lit(5)).alias("min_zoom"), F.coalesce("max_zoom", F.lit(18)).alias("max_zoom"))
+    rows = tile_servers(spark, d)
+    return rows.select("id", "layer_name", F.substring_index("label", " ", 1).alias("label"), "include_foreign_tiles", F.coalesce("min_zoom", F.lit(5)).alias("min_zoom"), F.coalesce("max_zoom", F.lit(18)).alias("max_zoom"))
 
 
-@query("SELECT * FROM (VALUES ('setting', 'challenge_limit_start', '5'), ('setting', 'login_attempts_limit', '15'), ('setting', 'next_challenge_minutes', '5'), ('user', 'admin', 'superuser')) v(kind, name, value)")
+@query("SELECT 'setting' AS kind, setting_key AS name, setting_value AS value FROM (VALUES ('challenge_limit_start', '5'), ('login_attempts_limit', '15'), ('next_challenge_minutes', '5')) v(setting_key, setting_value) UNION ALL SELECT 'user', username, 'superuser' FROM users WHERE is_superuser")
 def first_seed(spark: SparkSession, d: str) -> DataFrame:
-    """What an empty installation gets beside tile servers: an administrator and three settings."""
-    settings = seeded(spark.createDataFrame([], "name string, value string"), spark.createDataFrame(SEED_SETTINGS, "name string, value string"))
-    accounts = seeded(spark.createDataFrame([], "name string, value string"), spark.createDataFrame([("admin", "superuser")], "name string, value string"))
-    return settings.select(F.lit("setting").alias("kind"), "name", "value").union(accounts.select(F.lit("user"), "name", "value"))
+    """An installation that has administrators but no settings of the kinds known gets the settings alone."""
+    known = settings_rows(spark, d).where(F.col("setting_key").isin(*DEFAULTS) & (F.col("installation") < 0)).select("setting_key", "setting_value")
+    settings = seeded(known, spark.createDataFrame(SEED_SETTINGS, "setting_key string, setting_value string"))
+    accounts = seeded(users(spark, d).where("is_superuser").select("username", F.lit("superuser").alias("role")), spark.createDataFrame([("admin", "superuser")], "username string, role string"))
+    return settings.select(F.lit("setting").alias("kind"), F.col("setting_key").alias("name"), F.col("setting_value").alias("value")).union(accounts.select(F.lit("user"), "username", "role"))
 
 
 @query("SELECT user_id, username FROM users")
@@ -63,12 +69,22 @@ def users_list(spark: SparkSession, d: str) -> DataFrame:
     return users(spark, d).select("user_id", "username", "is_superuser").orderBy(F.desc("user_id"))
 
 
-@query("SELECT 10 AS login_limit, 5 AS login_minutes, 5 AS login_start")
+def settings_of(rows: DataFrame) -> DataFrame:
+    """rows with (installation, id, setting_key, setting_value): one row for each installation, its settings as columns.
+
+    Of several rows with a key the last decides; one that is no whole number of 64 bits, spelled with digits and at most a sign, takes the default."""
+    number = F.when(F.col("setting_value").rlike(r"^[+-]?[0-9]+\z"), F.col("setting_value").try_cast("bigint"))
+    last = lambda k: F.max_by(F.when(F.col("setting_key") == k, F.struct(number.alias("n"))), F.when(F.col("setting_key") == k, F.col("id")))["n"]
+    return rows.groupBy("installation").agg(*(F.coalesce(last(k), F.lit(v)).alias(k) for k, v in DEFAULTS.items()))
+
+
+SETTINGS = "(SELECT s_nationkey AS installation, s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'login_attempts_limit' WHEN 1 THEN 'next_challenge_minutes' WHEN 2 THEN 'challenge_limit_start' ELSE 'theme' END AS k, CASE s_suppkey % 7 WHEN 1 THEN s_suppkey % 50 WHEN 5 THEN s_suppkey - 40 WHEN 6 THEN s_suppkey - 40 END AS n FROM supplier)"
+
+
+@query("SELECT installation, " + ", ".join(f"coalesce((SELECT b.n FROM {SETTINGS} b WHERE b.installation = a.installation AND b.k = '{k}' ORDER BY b.id DESC LIMIT 1), {v}) AS {k}" for k, v in (("login_attempts_limit", 15), ("next_challenge_minutes", 5), ("challenge_limit_start", 5))) + f" FROM (SELECT DISTINCT installation FROM {SETTINGS}) a")
 def settings_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Key-value settings as columns; what is missing or no number takes its default."""
-    rows = spark.createDataFrame(SETTINGS, "setting_key string, setting_value string")
-    wide = rows.groupBy().pivot("setting_key", ["login_limit", "login_minutes", "login_start"]).agg(F.first("setting_value"))
-    return wide.select(*(F.coalesce(F.col(k).try_cast("int"), F.lit(v)).alias(k) for k, v in (("login_limit", 15), ("login_minutes", 5), ("login_start", 5))))
+    """Key-value settings as columns."""
+    return settings_of(settings_rows(spark, d))
 
 
 @query("SELECT * FROM shares WHERE id = 7")

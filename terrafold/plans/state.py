@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from terrafold.functions.text import html_escape
 from terrafold.operators import blocks
 from terrafold.plans.registry import query
-from terrafold.sources.tables import attempts, positions, table
-from terrafold.streaming import latest, logins
+from terrafold.sources.tables import attempts, positions, shares, table
+from terrafold.streaming import latest, logins, windows
 
 
 LOGINS = """WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, kind, ok) AS k FROM attempts ),
@@ -34,10 +34,31 @@ def latest_position(spark: SparkSession, d: str) -> DataFrame:
     return latest.latest(positions(spark, d), "user_id", "ts", "value")
 
 
-@query("SELECT user_id, ts FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type = 'click') WHERE before IS NULL OR ts > before + INTERVAL 12 HOURS")
+@query(f"SELECT user_id, ts + INTERVAL 3 MINUTES AS ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM ({LOGINS}) WHERE outcome IN ('CodeRequired', 'Success')) WHERE outcome = 'CodeRequired' AND (after IS NULL OR after > ts + INTERVAL 3 MINUTES)")
+def login_codes_expired(spark: SparkSession, d: str) -> DataFrame:
+    """Codes that were asked for and not given in time."""
+    return logins.expired_codes(logins.batch(attempts(spark, d))).select("user_id", "ts")
+
+
+@query("SELECT user_id, id, expiration AS ts FROM (SELECT *, lead(create_at) OVER (PARTITION BY user_id ORDER BY create_at, id) AS after FROM shares ) WHERE expiration < TIMESTAMP '1998-01-01' AND NOT coalesce(after <= expiration, false)")
+def shares_run_out(spark: SparkSession, d: str) -> DataFrame:
+    return windows.run_out(shares(spark, d), F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+#: Purchases open a window of label clicks and signups one of map clicks; a millisecond stands for 36 seconds, for users of the table seldom click.
+_OPENS = {"purchase": windows.LABEL_MS, "signup": windows.MAP_MS}
+
+
+def click_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and openers of each user."""
+    event = F.col("event_type")
+    wait = F.coalesce(*(F.when(event == k, F.make_dt_interval(secs=F.lit(36.0 * ms))) for k, ms in _OPENS.items()))
+    return table(spark, d, "events").where(event.isin("click", *_OPENS)).select(F.col("user_id").cast("string").alias("key"), "ts", wait.alias("wait"))
+
+
+@query("SELECT CAST(c.user_id AS VARCHAR) AS key, c.ts FROM (SELECT user_id, ts FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, to_seconds(36 * CASE event_type WHEN 'purchase' THEN 300 ELSE 700 END) AS wait FROM events WHERE event_type IN ('purchase', 'signup')) o ON c.user_id = o.user_id AND c.ts >= o.ts WHERE o.ts IS NULL OR c.ts >= o.ts + o.wait")
 def click_debounce(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_type = 'click'").select("user_id", "ts")
-    return latest.debounced(rows, "user_id", "ts", F.expr("interval 12 hours"))
+    return windows.kept_clicks(click_rows(spark, d))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

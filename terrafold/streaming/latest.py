@@ -1,8 +1,8 @@
-"""Latest-value state, debouncing and one-time deletes."""
+"""Latest-value state and one-time deletes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,5 @@ def latest(rows: DataFrame, key: str, time: str, *values: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(time, *values), time).alias("_x")).select(key, "_x.*")
 
 
-def debounced(rows: DataFrame, key: str, time: str, gap: Column) -> DataFrame:
-    """Rows that come more than gap after the row before them."""
-    before = F.lag(time).over(Window.partitionBy(key).orderBy(time))
-    return rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(time) > F.col("_before") + gap)).drop("_before")
-
-
 def once(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.dropDuplicates(list(keys))

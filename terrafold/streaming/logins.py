@@ -11,8 +11,9 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "user_id long, ts timestamp_ntz, outcome string, failed_count int, is_locked boolean"
 STATE = "failed_count int, is_locked boolean, next_challenge timestamp_ntz, passed_at timestamp_ntz"
@@ -68,7 +69,7 @@ def attempt(account: Account, at: datetime, kind: str, ok: bool, known: bool, se
 def folded(rows: pd.DataFrame, accounts: dict[int, Account], settings: Settings) -> pd.DataFrame:
     """The outcomes of rows in order; accounts change."""
     out = []
-    for user, at, kind, ok, known, second in zip(rows["user_id"], rows["ts"].dt.to_pydatetime(), *(rows[c] for c in COLUMNS[2:])):
+    for user, at, kind, ok, known, second in zip(rows["user_id"], rows["ts"].tolist(), *(rows[c] for c in COLUMNS[2:])):
         accounts[user], outcome = attempt(accounts.get(user) or Account(), at, kind, bool(ok), bool(known), bool(second), settings)
         out.append((user, at, outcome, accounts[user].failed_count, accounts[user].is_locked))
     return pd.DataFrame(out, columns=["user_id", "ts", "outcome", "failed_count", "is_locked"])
@@ -89,13 +90,69 @@ def batch(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.mapInPandas(fold, OUTPUT)
 
 
-def stream(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The same for a stream, with the account kept as state between micro-batches."""
+def expired_codes(outcomes: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Of batch(): a row for each code asked for that was not given within its minutes, at the time when they were over; another one asked for in time takes its place."""
+    code = F.col("outcome") == "CodeRequired"
+    told = outcomes.where(code | (F.col("outcome") == "Success")).withColumn("after", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts")))
+    over = F.col("ts") + F.make_dt_interval(mins=F.lit(settings.code_minutes))
+    return told.where(code & (F.col("after").isNull() | (F.col("after") > over))).select("user_id", over.alias("ts"), F.lit("CodeExpired").alias("outcome"))
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accounts = {key[0]: Account(*state.get) if state.exists else Account()}
-        yield folded(pd.concat(list(parts)).sort_values(ORDER), accounts, settings)
+
+class _Logins(StatefulProcessor):
+    """The account of a user as state, and an event-time timer for the code that was asked for last."""
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.account = handle.getValueState("account", STATE)
+        self.asked = handle.getValueState("asked", "over_ms long")
+
+    def _forget_timer(self) -> None:
+        if self.asked.exists():
+            self.handle.deleteTimer(self.asked.get()[0])
+            self.asked.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        accounts = {key[0]: Account(*self.account.get()) if self.account.exists() else Account()}
+        told = folded(pd.concat(list(rows))[COLUMNS].sort_values(ORDER), accounts, self.settings)
         a = accounts[key[0]]
-        state.update((a.failed_count, a.is_locked, a.next_challenge, a.passed_at))
+        self.account.update((a.failed_count, a.is_locked, a.next_challenge, a.passed_at))
+        minutes, late = timedelta(minutes=self.settings.code_minutes), []
+        # A code's time may be over before the next row of the same batch.
+        for at, outcome in zip(told["ts"].tolist(), told["outcome"]):
+            if outcome in ("CodeRequired", "Success"):
+                if self.asked.exists() and self.asked.get()[0] < _ms(at):
+                    late.append((key[0], _at(self.asked.get()[0]), "CodeExpired", a.failed_count, a.is_locked))
+                self._forget_timer()
+            if outcome == "CodeRequired":
+                self.handle.registerTimer(_ms(at + minutes))
+                self.asked.update((_ms(at + minutes),))
+        yield pd.concat([told, pd.DataFrame(late, columns=told.columns)]) if late else told
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        a, over = Account(*self.account.get()), expiredTimerInfo.getExpiryTimeInMs()
+        self.asked.clear()
+        yield pd.DataFrame([(key[0], _at(over), "CodeExpired", a.failed_count, a.is_locked)], columns=["user_id", "ts", "outcome", "failed_count", "is_locked"])
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(at: datetime) -> int:
+    """Whole milliseconds, as timers count; a part of one counts as a whole."""
+    return -((datetime(1970, 1, 1) - at) // timedelta(milliseconds=1))
+
+
+def _at(ms: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+
+
+def stream(attempts: DataFrame, settings: Settings = Settings(), late: str = "0 seconds") -> DataFrame:
+    """The outcomes of batch() for a stream, and those of expired_codes() when the watermark passes their time.
 
-    return attempts.select(*COLUMNS).groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    The account is kept as state; the session's time zone is UTC, and it uses a state store that keeps several states for a key, such as RocksDB."""
+    # Watermarks are on moments, so the clock's time is taken as that of the session's zone.
+    rows = attempts.select(*COLUMNS, F.col("ts").cast("timestamp").alias("_moment")).withWatermark("_moment", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Logins(settings), OUTPUT, "Append", "EventTime")

@@ -152,15 +152,3 @@ def test_second_factor():
     assert code(a, 1, False) == (a, "NoAuth") and code(a, 4, True) == (a, "Time Over.")
     a, said = code(a, 3, True)
     assert (said, a.failed_count) == ("Success", 0)
-
-
-def test_stream_gives_the_batch_result(spark, data, tmp_path):
-    from terrafold.sources.tables import attempts
-
-    rows = attempts(spark, data)
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    run = logins.stream(stream).writeStream.format("memory").queryName("logins").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    key = lambda df: sorted(map(tuple, df.select("user_id", "ts", "outcome", "failed_count", "is_locked").collect()))
-    assert key(spark.table("logins")) == key(logins.batch(rows))
