@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,27 +55,45 @@ class Items:
         grams: dict[tuple[int, ...], int] = {}
         self.grams = [[grams.setdefault(tuple(w[i : i + self.n(w)].tolist()), len(grams)) for i in range(len(w) - self.n(w) + 1)] if len(w) else [] for w in self.words]
         self.gram = grams
-        self.firsts = {g[0] for g in grams}
-        self.lengths = sorted({len(g) for g in grams}, reverse=True)
+        if (len(self.number) + 1) ** N >= 1 << 63:
+            raise ValueError("an item has more than two million different words")
+        #: By length, the n-grams as sorted numbers to the base of the vocabulary, and which gram each is.
+        self.codes = {}
+        for n in {len(g) for g in grams}:
+            own = np.array([(*g, i) for g, i in grams.items() if len(g) == n], np.int64)
+            code = self._coded(own[:, :n].T)
+            order = np.argsort(code)
+            self.codes[n] = code[order], own[order, n]
         self.bags = [Counter(w.tolist()) for w in self.words]
 
     @staticmethod
     def n(words: np.ndarray) -> int:
         return min(N, len(words))
 
-    def read(self, text: str) -> list[int]:
-        get = self.number.get
-        return [get(w, 0) for w in words_of(text)]
-
-    def hits(self, numbers: list[int]) -> Iterator[tuple[int, int]]:
-        """(place, gram) of the items' grams in a text."""
-        get, firsts = self.gram.get, self.firsts
-        known = np.flatnonzero(np.array(numbers, np.int64))
-        for i in known.tolist():
-            if numbers[i] in firsts:
-                for n in self.lengths:
-                    if (g := get(tuple(numbers[i : i + n]))) is not None:
-                        yield i, g
+    def _coded(self, words: np.ndarray) -> np.ndarray:
+        """N numbers of words as one."""
+        code = words[0]
+        for w in words[1:]:
+            code = code * (len(self.number) + 1) + w
+        return code
+
+    def read(self, text: str) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+
+    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and grams of the items' grams in a text."""
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (codes, grams) in self.codes.items():
+            if (m := len(numbers) - n + 1) > 0:
+                parts = [numbers[k : m + k] for k in range(n)]
+                at = np.flatnonzero(np.logical_and.reduce([p > 0 for p in parts]))
+                code = self._coded(np.stack([p[at] for p in parts]))
+                i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                same = codes[i] == code
+                places.append(at[same])
+                found.append(grams[i[same]])
+        return np.concatenate(places), np.concatenate(found)
 
 
 def seeds_of(items: Items, counts: dict[int, int], common: int = COMMON_ROWS) -> dict[int, list[tuple[int, int]]]:
@@ -118,13 +137,12 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def leaks(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str, least: float = LEAST) -> list[tuple[int, float, int, int, int]]:
     """(item, share of its full score, first word, end, seeds) of the items that leaked into a text."""
-    numbers = items.read(text)
+    array = items.read(text)
     met = defaultdict(list)
-    for place, gram in items.hits(numbers):
+    for place, gram in zip(*(x.tolist() for x in items.hits(array))):
         for item, own in seeds.get(gram, ()):
             met[item].append(place - own)
     out = []
-    array = np.array(numbers, np.int64)
     for item, offsets in met.items():
         words = items.words[item]
         reach = len(words) // 2 + 2
@@ -138,7 +156,7 @@ def leaks(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str, leas
                 end += 1
             low, high = max(0, offsets[at] - reach), min(len(array), offsets[end] + len(words) + reach)
             # No alignment scores more than all words that both hold.
-            if MATCH * (items.bags[item] & Counter(numbers[low:high])).total() >= enough:
+            if MATCH * (items.bags[item] & Counter(array[low:high].tolist())).total() >= enough:
                 score, a, b = align(words, array[low:high])
                 share = score / (MATCH * len(words))
                 if score >= enough and (best is None or share > best[0]):
@@ -181,7 +199,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST)
             for batch in batches:
                 counts[-1] += batch.num_rows
                 for text in batch.column("text"):
-                    counts[list({g for _, g in items.hits(items.read(text.as_py()))})] += 1
+                    counts[np.unique(items.hits(items.read(text.as_py()))[1])] += 1
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["gram", "n"])
 
