@@ -81,17 +81,17 @@ ESCAPED = "replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&am
 _CHOSEN = " ".join(f"WHEN {k} THEN '{v}'" + (" || substr(line, 1, 9)" if v.strip()[3:] and v.endswith(" ") else "") for k, v in _MARKS.items())
 #: A closer is the first later line that brings the level back to what it was before the opener.
 BLOCKS = rf"""WITH raw AS (SELECT doc_id, string_split(replace({ESCAPED}, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
-    plain AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS at FROM raw),
-    numbered AS (SELECT doc_id, 3 * at + j AS at, CASE j WHEN 1 THEN line WHEN 2 THEN CASE (doc_id + at) % {_PERIOD} {_CHOSEN} ELSE line END ELSE CASE (doc_id * 5 + at * 3) % {_PERIOD} {_CHOSEN} ELSE '' END END AS line FROM plain, (SELECT unnest([1, 2, 3]) AS j)),
+    plain AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM raw),
+    numbered AS (SELECT doc_id, 3 * pos + j AS pos, CASE j WHEN 1 THEN line WHEN 2 THEN CASE (doc_id + pos) % {_PERIOD} {_CHOSEN} ELSE line END ELSE CASE (doc_id * 5 + pos * 3) % {_PERIOD} {_CHOSEN} ELSE '' END END AS line FROM plain, (SELECT unnest([1, 2, 3]) AS j)),
     steps AS (SELECT *, CASE WHEN regexp_matches(trim(line), '^:::[A-Za-z0-9_]') THEN 1 WHEN trim(line) = ':::' THEN -1 ELSE 0 END AS step FROM numbered),
-    levels AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY at) AS level FROM steps),
-    opening AS (SELECT a.doc_id, a.at, a.line, min(b.at) AS closed FROM levels a JOIN levels b ON a.doc_id = b.doc_id AND b.at > a.at AND b.step = -1 AND b.level = a.level - 1
+    levels AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY pos) AS level FROM steps),
+    opening AS (SELECT a.doc_id, a.pos, a.line, min(b.pos) AS closed FROM levels a JOIN levels b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.step = -1 AND b.level = a.level - 1
       WHERE a.step = 1 AND regexp_matches(a.line, '^:::(details|note|warning)') GROUP BY ALL),
-    shown AS (SELECT n.doc_id, n.at, CASE WHEN o.at IS NOT NULL THEN CASE WHEN starts_with(n.line, ':::details') THEN '<details class="details">' ELSE '<div class="box ' || regexp_extract(n.line, '^:::(note|warning)', 1) || '">' END || chr(10) || '<summary>'
-        || CASE WHEN regexp_matches(n.line, '^:::(details|note|warning)\s+.') THEN trim(regexp_extract(n.line, '^:::(?:details|note|warning)\s+(.+)', 1), {{white}}) ELSE upper(regexp_extract(n.line, '^:::(details|note|warning)', 1)) END || '</summary>' || CASE WHEN o.closed = n.at + 1 THEN chr(10) ELSE '' END
-      WHEN c.at IS NOT NULL THEN CASE WHEN starts_with(c.line, ':::details') THEN '</details>' ELSE '</div>' END || chr(10) ELSE n.line END AS line
-      FROM numbered n LEFT JOIN opening o ON o.doc_id = n.doc_id AND o.at = n.at LEFT JOIN opening c ON c.doc_id = n.doc_id AND c.closed = n.at)
-    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY at)) AS html_md5 FROM shown GROUP BY doc_id"""
+    shown AS (SELECT n.doc_id, n.pos, CASE WHEN o.pos IS NOT NULL THEN CASE WHEN starts_with(n.line, ':::details') THEN '<details class="details">' ELSE '<div class="box ' || regexp_extract(n.line, '^:::(note|warning)', 1) || '">' END || chr(10) || '<summary>'
+        || CASE WHEN regexp_matches(n.line, '^:::(details|note|warning)\s+.') THEN trim(regexp_extract(n.line, '^:::(?:details|note|warning)\s+(.+)', 1), {{white}}) ELSE upper(regexp_extract(n.line, '^:::(details|note|warning)', 1)) END || '</summary>' || CASE WHEN o.closed = n.pos + 1 THEN chr(10) ELSE '' END
+      WHEN c.pos IS NOT NULL THEN CASE WHEN starts_with(c.line, ':::details') THEN '</details>' ELSE '</div>' END || chr(10) ELSE n.line END AS line
+      FROM numbered n LEFT JOIN opening o ON o.doc_id = n.doc_id AND o.pos = n.pos LEFT JOIN opening c ON c.doc_id = n.doc_id AND c.closed = n.pos)
+    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS html_md5 FROM shown GROUP BY doc_id"""
 
 
 @query(BLOCKS.replace("{white}", "' ' || chr(9) || chr(12) || chr(160) || chr(8195)"))
