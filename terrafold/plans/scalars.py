@@ -173,7 +173,7 @@ TOKENS = {
     "@[youtube](not a link) @[youtube](?[a](/b)": '@[youtube](not a link) @[youtube](<video controls src="/b" poster="/b?thumb=true" preload="none">a</video>',
     "@[youtube](https://youtu.be/short) ?[c] (d)": "@[youtube](https://youtu.be/short) ?[c] (d)",
     "??[a] b](/c)?[](/d)": '?<video controls src="/c" poster="/c?thumb=true" preload="none">a] b</video><video controls src="/d" poster="/d?thumb=true" preload="none"></video>',
-    '?[<script>x</script>y](javascript:z" onplay="w)': '<video controls src poster="javascript:z">y</video>',
+    '?[<script>x</script>y](javascript:z" onplay="w)': '<video controls src poster="javascript:z" preload="none">y</video>',
     "@[youtube](https://evil.example/watch?v=abcdefghij_)": "@[youtube](https://evil.example/watch?v=abcdefghij_)",
 }
 
