@@ -179,12 +179,12 @@ def spread_vertices(spark: SparkSession, d: str) -> DataFrame:
 
 CLICKS = "clicks AS (SELECT s_suppkey AS click_id, CAST(35 AS DOUBLE) + CAST(s_suppkey * 7919 % 997 AS DOUBLE) / 10000 + CAST(s_suppkey * 37 % 100 AS DOUBLE) / 5 AS lat, CAST(139 AS DOUBLE) + CAST(s_suppkey * 104729 % 991 AS DOUBLE) / 10000 + CAST(s_suppkey * 53 % 100 AS DOUBLE) / 5 AS lng FROM supplier)"
 SPREAD = "spread AS MATERIALIZED (SELECT shape_id, seq, lat + CAST(shape_id % 100 AS DOUBLE) / 5 AS lat, lng + CAST(shape_id // 100 % 100 AS DOUBLE) / 5 AS lng FROM vertices )"
-#: Shapes are a tenth of a degree wide and a degree is 2912 pixels of zoom 12, so vertices further away than this belong to shapes out of reach.
+#: Shapes are a tenth of a degree wide and a fifth apart, so a click meets none but those of its own place and the places around it.
 HITS = f"""{SPREAD}, {EDGES.replace("FROM vertices", "FROM spread")}, {CLICKS}, lines AS (SELECT e.shape_id, e.lat, e.lng, s.shape_type = 'polyline' AS open, {PX.format(X.format('lng'))} AS ax, {PX.format('-' + Y.format('lat'))} AS ay, {PX.format(X.format('lng1'))} AS bx, {PX.format('-' + Y.format('lat1'))} AS by_
       FROM edges e JOIN shapes s ON s.id = e.shape_id WHERE s.shape_type <> 'circle' AND NOT (s.shape_type = 'polyline' AND e.seq = e.n AND e.n > 1)),
     points AS (SELECT click_id, lat, lng, {PX.format(X.format('lng'))} AS px, {PX.format('-' + Y.format('lat'))} AS py FROM clicks),
     t AS (SELECT *, CASE WHEN (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) ELSE 0 END AS t,
-      (ay > py) <> (by_ > py) AND px < (bx - ax) * (py - ay) / nullif(by_ - ay, 0) + ax AS crosses FROM points p JOIN lines l ON abs(p.lat - l.lat) < 0.15 AND abs(p.lng - l.lng) < 0.15),
+      (ay > py) <> (by_ > py) AND px < (bx - ax) * (py - ay) / nullif(by_ - ay, 0) + ax AS crosses FROM points p JOIN lines l ON abs(p.click_id * 37 % 100 - l.shape_id % 100) <= 1 AND abs(p.click_id * 53 % 100 - l.shape_id // 100 % 100) <= 1),
     found AS (SELECT click_id, shape_id, NOT open AND count(*) FILTER (WHERE crosses) % 2 = 1 AS inside, min(sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by_ - ay)), 2))) AS away FROM t GROUP BY click_id, shape_id, open),
     circles AS MATERIALIZED (SELECT s.id AS shape_id, {PX.format(X.format('v.lng'))} AS cx, {PX.format('-' + Y.format('v.lat'))} AS cy FROM shapes s JOIN spread v ON v.shape_id = s.id AND v.seq = 1 WHERE s.id % 4 = 3 AND s.id % 5 > 0),
     round AS (SELECT click_id, shape_id FROM points, circles WHERE sqrt(pow(px - cx, 2) + pow(py - cy, 2)) <= 5 + shape_id % 30 + 18),
