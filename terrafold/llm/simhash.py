@@ -302,7 +302,9 @@ def _links_left(sets: DataFrame, least: float) -> DataFrame:
     # Of 256 parts of all shingles, those of which one set holds an odd and the other an even number hold one at least that only one set has.
     apart = sum((F.bit_count(F.col(f"x.o{k}").bitwiseXOR(F.col(f"y.o{k}"))) for k in range(4)), F.lit(0))
     near = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least)) + 1e-6
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & sized & near)
+    # Each pair once: with the token's main root from the other side, among the others in one order.
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & sized & near)
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
