@@ -75,14 +75,14 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def distance_label(m: Column) -> Column:
-    """What is not finite is a dash."""
-    return F.when(~finite(m), "-").when(m >= 1000, F.concat(fixed(m / 1000, 2), F.lit(" km"))).when(m >= 100, F.concat(rounded(m), F.lit(" m"))).otherwise(F.concat(fixed(m, 1), F.lit(" m")))
+def distance_label(m: Column, even: bool = False) -> Column:
+    """What is not finite is a dash. even: of two equally near texts the even one, as printf's."""
+    return F.when(~finite(m), "-").when(m >= 1000, F.concat(fixed(m / 1000, 2, even), F.lit(" km"))).when(m >= 100, F.concat(rounded(m, even), F.lit(" m"))).otherwise(F.concat(fixed(m, 1, even), F.lit(" m")))
 
 
-def area_label(a: Column) -> Column:
-    """What is not finite is a dash."""
-    return F.when(~finite(a), "-").when(a >= 1e6, F.concat(fixed(a / 1e6, 2), F.lit(" km²"))).otherwise(F.concat(rounded(a), F.lit(" m²")))
+def area_label(a: Column, even: bool = False) -> Column:
+    """What is not finite is a dash. even: of two equally near texts the even one, as printf's."""
+    return F.when(~finite(a), "-").when(a >= 1e6, F.concat(fixed(a / 1e6, 2, even), F.lit(" km²"))).otherwise(F.concat(rounded(a, even), F.lit(" m²")))
 
 
 def usable_radius(x: Column) -> Column:

@@ -222,8 +222,8 @@ def with_port(x: Column, port: int = 80) -> Column:
     return F.when(F.contains(x, F.lit(":")), x).otherwise(F.concat(x, F.lit(f":{port}")))
 
 
-def fixed(x: Column, places: int) -> Column:
-    """The finite number x, below 10 ** (18 - places), with so many places, rounded by its exact value; of two equally near texts the one further from 0.
+def fixed(x: Column, places: int, even: bool = False) -> Column:
+    """The finite number x, below 10 ** (18 - places), with so many places, rounded by its exact value; of two equally near texts the one further from 0, as a browser's, or, as printf's, the even one.
 
     The product of x and the power of ten is taken as two doubles whose sum is exact."""
     a, power = F.abs(x), float(10**places)
@@ -232,21 +232,25 @@ def fixed(x: Column, places: int) -> Column:
     high = split - (split - a)
     error = (high * power - product) + (a - high) * power
     whole = F.floor(product)
-    scaled = (whole + F.when((product - whole) + error >= 0.5, 1).otherwise(0)).cast("bigint")
+    over = (product - whole) - 0.5
+    tie_up = whole % 2 == 1 if even else F.lit(True)
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & tie_up)))
+    scaled = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
     digits = F.lpad(scaled.cast("string"), F.greatest(F.length(scaled.cast("string")), F.lit(places + 1)), F.lit("0"))
     n = F.length(digits)
     text = digits if places == 0 else F.concat(F.substr(digits, F.lit(1), n - places), F.lit("."), F.substr(digits, n - places + 1, F.lit(places)))
     return F.concat(F.when(x < 0, "-").otherwise(""), text)
 
 
-def rounded(x: Column) -> Column:
-    """The nearest whole number as text; of two equally near the larger."""
+def rounded(x: Column, even: bool = False) -> Column:
+    """The nearest whole number as text; of two equally near the larger, or the even one."""
     whole = F.floor(x)
-    return (whole + F.when(x - whole >= 0.5, 1).otherwise(0)).cast("bigint").cast("string")
+    up = (x - whole > 0.5) | ((x - whole == 0.5) & (whole % 2 != 0)) if even else x - whole >= 0.5
+    return (whole + F.when(up, 1).otherwise(0)).cast("bigint").cast("string")
 
 
-def file_size(x: Column) -> Column:
-    return F.when(x < 1024 * 1024, F.concat(fixed(x / 1024, 1), F.lit(" KB"))).otherwise(F.concat(fixed(x / (1024 * 1024), 1), F.lit(" MB")))
+def file_size(x: Column, even: bool = False) -> Column:
+    return F.when(x < 1024 * 1024, F.concat(fixed(x / 1024, 1, even), F.lit(" KB"))).otherwise(F.concat(fixed(x / (1024 * 1024), 1, even), F.lit(" MB")))
 
 
 def percent(loaded: Column, total: Column) -> Column:

@@ -56,6 +56,21 @@ def test_fixed_places_round_exact_values(spark):
             assert row[f"p{k}"] == str(Decimal(x).quantize(Decimal(1).scaleb(-k), ROUND_HALF_UP)), (x, k)
 
 
+def test_ties_to_even_as_printf(spark):
+    """Labels and sizes of numbers that lie between two texts, as SQL's printf shows them and as a browser does."""
+    even = lambda f, x: value(spark, f(F.lit(float(x)), even=True))
+    for k in range(-40, 2000):
+        assert k % 100 or even(text.rounded, k + 0.5) == f"{k + 0.5:.0f}".replace("-0", "0")
+    found = spark.range(4000).select(*(text.fixed(F.col("id") / 16, places, True).alias(f"p{places}") for places in (0, 1, 2, 3))).collect()
+    assert [list(r) for r in found] == [[f"{k / 16:.{places}f}" for places in (0, 1, 2, 3)] for k in range(4000)]
+    assert (even(geo.distance_label, 1125), even(geo.distance_label, 1375), value(spark, geo.distance_label(F.lit(1125.0)))) == ("1.12 km", "1.38 km", "1.13 km")
+    assert (even(geo.area_label, 1625000), value(spark, geo.area_label(F.lit(1625000.0)))) == ("1.62 km²", "1.63 km²")
+    assert (even(text.file_size, 769280), value(spark, text.file_size(F.lit(769280.0)))) == ("751.2 KB", "751.3 KB")
+    # Half a step in the product, but the number itself is a little less or more.
+    for x in (0.0005, 0.0015, 0.15, 0.45, 2.675):
+        assert value(spark, text.fixed(F.lit(x), 3, True)) == f"{x:.3f}" and value(spark, text.fixed(F.lit(x), 1, True)) == f"{x:.1f}"
+
+
 @pytest.mark.parametrize("function, given, expected", [
     (text.trimmed, "\t\u3000 a b\u00a0\n", "a b"), (text.blank_to_null, "\t\n\u2028", None), (text.password_ok, "éééééééé", True), (text.password_ok, "1234567", False),
     (text.base_name, "../a.png", "a.png"), (text.base_name, "x/a..png", None), (text.base_name, "a\\b.png", None), (text.base_name, "a/", ""),
