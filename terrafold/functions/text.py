@@ -23,16 +23,20 @@ def like_pattern(term: str) -> str:
     """The regular expression of a search term: its first character is literal, later % and _ are wildcards, a later
     backslash makes what follows literal and, at the end, asks for a literal % at the end of the text."""
     quoted = lambda c: "\\x{%x}" % ord(c)
-    pattern, out, i = f"%\\{term}%", [], 0
+    pattern, parts, i = f"%\\{term}%", [""], 0
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             i += 1
-            out.append(quoted(pattern[i]))
+            parts[-1] += quoted(pattern[i])
+        elif c == "%":
+            parts.append("")
         else:
-            out.append({"%": ".*", "_": "."}.get(c) or quoted(c))
+            parts[-1] += "." if c == "_" else quoted(c)
         i += 1
-    return "(?is)^" + "".join(out) + "$"
+    # Each part at its first place after the part before, which is given up no more, so a text is read once; only the last may have to stand at the end.
+    *inner, last = parts[1:]
+    return r"(?is)\A" + "".join(f"(?>.*?{p})" for p in inner if p) + (rf".*{last}\z" if last else "")
 
 
 def matches(x: Column, term: str) -> Column:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -23,6 +24,33 @@ def test_search_terms(spark, term, body, hit):
     assert value(spark, text.matches(F.lit(body), term)) is hit
 
 
+def test_search_reads_a_text_once(spark):
+    """Against plain matching of wildcards, and on a text with very many beginnings of a term that never ends."""
+
+    def like(p, s):
+        """p: tokens, '%', '_' or (literal,)."""
+        at = {0}
+        for t in p:
+            at = set(range(min(at), len(s) + 1)) if t == "%" and at else {i + 1 for i in at if i < len(s) and (t == "_" or s[i].lower() == t[0].lower())}
+        return len(s) in at
+
+    rng = random.Random(9)
+    bodies = ["".join(rng.choice("aAb%_\n") for _ in range(rng.randrange(9))) for _ in range(300)]
+    for term in ("a%b", "_a", "%%a", "a_%b", "a%b%a", "b%a\\", "a\\%b", "ab%%_a"):
+        tokens, i = ["%", (term[0],)], 1
+        while i < len(term):
+            literal = term[i] == "\\"
+            tokens.append(((term + "%")[i + 1],) if literal else term[i] if term[i] in "%_" else (term[i],))
+            i += 1 + literal
+        if i == len(term):
+            tokens.append("%")
+        found = [r.hit for r in spark.createDataFrame(list(enumerate(bodies)), "k int, x string").select("k", text.matches(F.col("x"), term).alias("hit")).orderBy("k").collect()]
+        assert found == [like(tokens, s) for s in bodies], term
+    start = time.time()
+    assert value(spark, text.matches(F.repeat(F.lit("ab"), 500_000), "a%a%z")) is False
+    assert time.time() - start < 20
+
+
 def test_tiles(spark):
     rows = [(5, 31, 31, True), (5, 32, 0, False), (5, 0, 32, False), (3, -1, 2, False), (-1, 0, 0, False), (21, 7, 7, False), (None, 1, 1, None)]
     found = spark.createDataFrame([r[:3] for r in rows], "z int, x long, y long").select(geo.valid_tile(F.col("z"), F.col("x"), F.col("y")).alias("ok"))
