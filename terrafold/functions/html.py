@@ -8,6 +8,8 @@ joined again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ _ATTRIBUTE = rf"""(?s)[^{_S}=]++(?:[{_S}]*+=[{_S}]*+(?:"[^"]*+"|'[^']*+'|[^{_S}]
 _OPENED, _CLOSED = "﷐", "﷑"
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _trim(x: Column) -> Column:
     return F.regexp_replace(x, rf"^[{_S}]++|[{_S}]++$", "")
 
@@ -42,26 +49,28 @@ def _character(entity: Column) -> Column:
     hexadecimal = F.nullif(F.regexp_extract(entity, "^&#[xX]0*+([0-9a-fA-F]{1,8})", 1), F.lit(""))
     decimal = F.nullif(F.regexp_extract(entity, "^&#0*+([0-9]{1,9})", 1), F.lit(""))
     code = F.coalesce(F.conv(hexadecimal, 16, 10), decimal).cast("long") % 65536
-    safe = F.when(code.isNull() | (code < 32), 32).when(code.between(0xD800, 0xDFFF), 0xFFFD).otherwise(code)
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 4, "0")), "UTF-16BE")
+    safe = lambda c: F.when(c.isNull() | (c < 32), 32).when(c.between(0xD800, 0xDFFF), 0xFFFD).otherwise(c)
+    return F.decode(F.unhex(F.lpad(F.hex(_let(code, safe)), 4, "0")), "UTF-16BE")
 
 
 def plain_value(value: Column) -> Column:
     """An attribute's value with its entities resolved, control characters as spaces, trimmed."""
-    quoted = F.regexp_replace(value, "(?i)&quot;", '"')
-    parts = F.transform(F.regexp_extract_all(quoted, F.lit("&#[a-zA-Z0-9]*+;?|[^&]++|&"), F.lit(0)), lambda p: F.when(F.startswith(p, F.lit("&#")), _character(p)).otherwise(p))
-    resolved = F.when(F.contains(quoted, F.lit("&#")), F.array_join(parts, "")).otherwise(quoted)
+    parts = lambda quoted: F.transform(F.regexp_extract_all(quoted, F.lit("&#[a-zA-Z0-9]*+;?|[^&]++|&"), F.lit(0)), lambda p: F.when(F.startswith(p, F.lit("&#")), _character(p)).otherwise(p))
+    resolved = _let(F.regexp_replace(value, "(?i)&quot;", '"'), lambda quoted: F.when(F.contains(quoted, F.lit("&#")), F.array_join(parts(quoted), "")).otherwise(quoted))
     named = F.regexp_replace(F.regexp_replace(resolved, "(?i)&colon;?", ":"), "(?i)&newline;?", " ")
     return _trim(F.regexp_replace(named, r"[\x00-\x1f]", " "))
 
 
 def safe_value(name: Column, value: Column) -> Column:
     """An attribute's value as it may stay: a link only if it starts as a link may, quotes and brackets as entities."""
-    plain = plain_value(value)
-    link_ok = F.lit(False)
-    for start in LINK_STARTS:
-        link_ok = link_ok | F.startswith(plain, F.lit(start))
-    kept = F.when(name.isin("href", "src") & ~link_ok, "").otherwise(plain)
+
+    def allowed(plain: Column) -> Column:
+        link_ok = F.lit(False)
+        for start in LINK_STARTS:
+            link_ok = link_ok | F.startswith(plain, F.lit(start))
+        return F.when(name.isin("href", "src") & ~link_ok, "").otherwise(plain)
+
+    kept = _let(plain_value(value), allowed)
     for a, b in (('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
         kept = F.replace(kept, F.lit(a), F.lit(b))
     return kept
@@ -72,8 +81,8 @@ def _attribute(text: Column, allowed: Column) -> Column:
     name = ascii_lower(F.regexp_replace(F.regexp_extract(text, "^[^=]*+", 0), r"[^a-zA-Z0-9\\_:.-]", ""))
     value = _trim(F.regexp_extract(text, "(?s)^[^=]*+=(.*)$", 1))
     bare = F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
-    safe = safe_value(name, _trim(bare))
-    return F.when(F.array_contains(allowed, name), F.when(safe == "", name).otherwise(F.concat(name, F.lit('="'), safe, F.lit('"')))).otherwise("")
+    told = lambda name: _let(safe_value(name, _trim(bare)), lambda safe: F.when(safe == "", name).otherwise(F.concat(name, F.lit('="'), safe, F.lit('"'))))
+    return _let(name, lambda name: F.when(F.array_contains(allowed, name), told(name)).otherwise(""))
 
 
 def _escaped(text: Column) -> Column:
@@ -82,19 +91,24 @@ def _escaped(text: Column) -> Column:
 
 def _token(token: Column) -> Column:
     """A token as it may stay."""
-    inside = F.substr(token, F.lit(2), F.length(token) - 2)
-    head = F.regexp_extract(inside, rf"^[^{_S}]*+", 0)
-    name = F.regexp_replace(F.regexp_replace(ascii_lower(head), "^/", ""), "/$", "")
-    closing = F.startswith(inside, F.lit("/"))
-    rest = _trim(F.substr(inside, F.length(head) + 1, F.length(inside)))
-    ends = F.endswith(F.when(rest == "", head).otherwise(rest), F.lit("/"))
-    given = F.when(F.endswith(rest, F.lit("/")), _trim(F.substr(rest, F.lit(1), F.length(rest) - 1))).otherwise(rest)
     stays = F.create_map(*(x for k, v in ELEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
-    allowed = F.element_at(stays, name)
-    attributes = F.array_join(F.filter(F.transform(F.regexp_extract_all(given, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _attribute(a, allowed)), lambda a: a != ""), " ")
-    opened = F.concat(F.lit("<"), name, F.when(attributes == "", "").otherwise(F.concat(F.lit(" "), attributes)), F.when(ends, " /").otherwise(""), F.lit(">"))
-    kept = F.when(name == "iframe", NO_FRAME).when(name == "script", F.when(closing, _CLOSED).otherwise(_OPENED)).when(allowed.isNull(), "").when(closing, F.concat(F.lit("</"), name, F.lit(">"))).otherwise(opened)
-    return F.when(token.rlike(rf"(?s)^{_TAG}\z") & (F.length(token) > 1), kept).otherwise(_escaped(token))
+
+    def opened(name: Column, allowed: Column, head: Column, rest: Column) -> Column:
+        ends = F.endswith(F.when(rest == "", head).otherwise(rest), F.lit("/"))
+        given = F.when(F.endswith(rest, F.lit("/")), _trim(F.substr(rest, F.lit(1), F.length(rest) - 1))).otherwise(rest)
+        attributes = F.array_join(F.filter(F.transform(F.regexp_extract_all(given, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _attribute(a, allowed)), lambda a: a != ""), " ")
+        spaced = _let(attributes, lambda a: F.when(a == "", "").otherwise(F.concat(F.lit(" "), a)))
+        return F.concat(F.lit("<"), name, spaced, F.when(ends, " /").otherwise(""), F.lit(">"))
+
+    def kept(inside: Column, head: Column, name: Column) -> Column:
+        closing = F.startswith(inside, F.lit("/"))
+        rest = _trim(F.substr(inside, F.length(head) + 1, F.length(inside)))
+        listed = lambda allowed: F.when(allowed.isNull(), "").when(closing, F.concat(F.lit("</"), name, F.lit(">"))).otherwise(_let(rest, lambda rest: opened(name, allowed, head, rest)))
+        return F.when(name == "iframe", NO_FRAME).when(name == "script", F.when(closing, _CLOSED).otherwise(_OPENED)).otherwise(_let(F.element_at(stays, name), listed))
+
+    name = lambda head: F.regexp_replace(F.regexp_replace(ascii_lower(head), "^/", ""), "/$", "")
+    tag = _let(F.substr(token, F.lit(2), F.length(token) - 2), lambda inside: _let(F.regexp_extract(inside, rf"^[^{_S}]*+", 0), lambda head: _let(name(head), lambda name: kept(inside, head, name))))
+    return F.when(token.rlike(rf"(?s)^{_TAG}\z") & (F.length(token) > 1), tag).otherwise(_escaped(token))
 
 
 def strip_html(x: Column) -> Column:
