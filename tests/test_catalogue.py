@@ -41,3 +41,9 @@ def test_matches_sql(spark, duck, data, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs_without_sql(spark, data, name):
     assert catalogue.queries()[name](spark, data).count() > 0
+
+
+def test_layers_of_shapes_are_distinct_before_the_join(spark, data):
+    """No task of the join holds the shapes of a layer."""
+    plan = catalogue.queries()["layer_semi"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [layer_id" in plan or "Aggregate [id" in plan or "Aggregate [c_nationkey" in plan, plan
