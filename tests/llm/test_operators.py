@@ -616,6 +616,16 @@ def test_pieces_are_whole_words_and_a_share_of_all(spark):
     assert abs(len(words) / sum(len(t.split()) for t in texts) - 1 / lm.SHARE) < 0.05
 
 
+def test_pieces_are_all_of_the_texts():
+    """The attention reads every word of every text, and one end for each."""
+    import pyarrow as pa
+
+    texts = ["", "é" * 3000, *(" ".join(f"W{i}x{j}" for j in range(n)) for i, n in enumerate([1, 500, 3000, 7000]))]
+    found = Counter(w for piece in lm._pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts[:3])], names=["text"]), pa.RecordBatch.from_arrays([pa.array(texts[3:])], names=["text"])])) for w in piece)
+    whole = Counter(w for t in texts for w in [*lm.words_of(t.encode()), b""])
+    assert found == whole
+
+
 def test_language_model_counts_all_training_texts(spark):
     """More texts than a sample would hold, and a long one: words and ids that stand only there count."""
     ranks = lm.read_ranks(queries.vocabulary())
