@@ -34,11 +34,15 @@ from terrafold.llm.components import components
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
 MOST_IN_SHARD = 20_000
 LEAF = 48
-#: Bands of minima for candidates of similarity 0.8, and which of a band's pairs are candidates.
-BANDS, ROWS, ALL_PAIRS, NEXT = 20, 5, 12, 3
-#: Slots in which shingles are counted to tell rare ones.
-SLOTS = 2**18
-_FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Wide fingerprints, for links at a Jaccard similarity of 0.8: each 16 of their bits deal to one shard, the first 128 are measured.
+TABLES, WIDE_RADIUS = 128, 38
+#: Shards of more fingerprints, or of so many links a fingerprint, grow a tree.
+AT_ONCE, MANY_LINKS = 512, 4
+#: Sets of at most so many shingles also meet what lacks one of them.
+FEW = 8
+#: Bytes of sets that are compared in one task at once; a set counts as LEAST_WEIGHT at least.
+BLOCK_WEIGHT, LEAST_WEIGHT = 8 << 20, 4096
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**64, TABLES // 4, np.uint64) | np.uint64(1)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -83,31 +87,35 @@ def block_masks(bits: list[int], blocks: int, keep: int) -> list[int]:
 
 
 class BKTree:
-    """Of distinct fingerprints. A node with few points keeps them as a leaf; numpy measures all at once."""
+    """Of distinct fingerprints, of one word or, in a matrix, of several. A node with few points keeps them as a leaf; numpy measures all at once."""
 
     def __init__(self, points: np.ndarray, places: np.ndarray):
         self.points, self.places, self.children = points, places, None
         self.left = len(places)
         if len(places) > LEAF:
             self.root = points[places[0]]
-            d = np.bitwise_count(points[places[1:]] ^ self.root)
+            d = self.apart(points[places[1:]], self.root)
             order = np.argsort(d, kind="stable")
             keys, first = np.unique(d[order], return_index=True)
             self.children = {int(k): BKTree(points, part) for k, part in zip(keys, np.split(places[1:][order], first[1:]))}
             self.places = places[:1]
 
-    def take(self, point: np.uint64, radius: int) -> list[int]:
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count(a ^ b)
+        return bits if self.points.ndim == 1 else bits.sum(-1, dtype=np.int64)
+
+    def take(self, point: np.ndarray, radius: int) -> list[int]:
         """Places within the radius, which leave the tree."""
         if not self.left:
             return []
-        d = np.bitwise_count(self.points[self.places] ^ point) if len(self.places) else np.zeros(0, np.uint8)
+        d = self.apart(self.points[self.places], point) if len(self.places) else np.zeros(0, np.uint8)
         hit = d <= radius
         out = self.places[hit].tolist()
         if self.children is None:
             if out:
                 self.places = self.places[~hit]
         else:
-            at = int(np.bitwise_count(self.root ^ point))
+            at = int(self.apart(self.root, point))
             for k in range(at - radius, at + radius + 1):
                 if (child := self.children.get(k)) is not None:
                     out += child.take(point, radius)
@@ -221,150 +229,177 @@ def shingles(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
 
 
-def _bands(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each band of ROWS minima, under BANDS * ROWS odd factors."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 1000):
-        least = np.minimum(least, (_FACTORS[:, None] * hashes[i : i + 1000]).min(1))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, ROWS)], np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= _FACTORS[0]
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def _set_of(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """16 bits for each of TABLES. A bit is 1 if set in over half of the shingles' hashes, which are mixed anew for each 64 bits."""
+    ones = np.zeros(TABLES * 16, np.int64)
+    for i in range(0, len(hashes), 255):  # a byte counts so far
+        ones += np.unpackbits(_mixed(hashes[i : i + 255, None] * _FACTORS).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint16)
 
 
-def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that agree in a band: all of a small group; of a large one, which is named, each with the next few, in an order of the band's own. Rows come sorted by band and value."""
-    rest = np.zeros((3, 0), np.int64)
+def _name(points: np.ndarray) -> np.ndarray:
+    """A number for each measured part, of two words, of a fingerprint; should two share one, they are candidates."""
+    return _mixed(points[:, 0] * _FACTORS[1] ^ _mixed(points[:, 1] * _FACTORS[2])).view(np.int64)
 
-    def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        a, b, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for own in np.split(rows, cut, axis=1):
-            if (n := own.shape[1]) > 1:
-                order = np.argsort(own[2].view(np.uint64) * _FACTORS[int(own[0, 0])], kind="stable")
-                nodes = own[2][order]
-                for step in range(1, n if n <= ALL_PAIRS else NEXT + 1):
-                    a.append(nodes[:-step]), b.append(nodes[step:])
-                    large.append(np.full(n - step, int(own[1, 0]) if n > ALL_PAIRS else 0))
-        a, b, large = np.concatenate(a), np.concatenate(b), np.concatenate(large)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(large, mask=large == 0)], names=["a", "b", "large"])
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each fingerprint and table."""
     for batch in batches:
-        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("band", "value", "node")])], axis=1)
-        new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        done = new[-1] if len(new) else 0
-        if done:
-            yield pairs(rows[:, :done])
-        rest = np.ascontiguousarray(rows[:, done:])
-    if rest.shape[1]:
-        yield pairs(rest)
-
-
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of a task's sets fall into each of SLOTS slots."""
-    counts = np.zeros(SLOTS, np.int64)
+        if k := batch.num_rows:
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint16).reshape(k, TABLES)
+            shard = wide.astype(np.int32) + (np.arange(TABLES, dtype=np.int32) << 16)
+            points = np.repeat(np.ascontiguousarray(wide[:, :8]).view(np.int64), TABLES, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), pa.array(points[:, 0]), pa.array(points[:, 1])], names=["shard", "f1", "f2"])
+
+
+def wide_links(shard: np.ndarray, points: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by shard and point: places (a, b) that connect, in each shard, what links within the radius connect."""
+    # A point that a shard holds several times stands in it once.
+    own = np.flatnonzero(np.append(True, (np.diff(shard) != 0) | (points[1:] != points[:-1]).any(1))) if len(shard) else np.zeros(0, np.int64)
+    shard, points = shard[own], points[own]
+    cut = np.append(np.flatnonzero(np.append(True, np.diff(shard) != 0)), len(shard)) if len(shard) else np.zeros(1, np.int64)
+    size = np.diff(cut)
+    number = np.repeat(np.arange(len(size)), size)
+    at, step, a, b = np.flatnonzero(size[number] <= AT_ONCE), 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at := at[at + step < cut[number[at] + 1]]):
+        near = np.bitwise_count(points[at] ^ points[at + step]).sum(1, dtype=np.int64) <= radius
+        a.append(at[near]), b.append(at[near] + step)
+        step += 1
+    a, b = np.concatenate(a), np.concatenate(b)
+    trees = (size > AT_ONCE) | (np.bincount(number[a], minlength=len(size)) > MANY_LINKS * size)
+    few = ~trees[number[a]]
+    a, b = [a[few]], [b[few]]
+    for k in np.flatnonzero(trees):
+        spanning = np.array(spanning_links(points[cut[k] : cut[k + 1]], radius), np.int64).reshape(-1, 2) + cut[k]
+        a.append(spanning[:, 0]), b.append(spanning[:, 1])
+    return own[np.concatenate(a)], own[np.concatenate(b)]
+
+
+def _wide_shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard and fingerprint."""
+
+    def linked(rows: np.ndarray) -> pa.RecordBatch:
+        points = np.ascontiguousarray(rows[1:].T).view(np.uint64)
+        a, b = wide_links(rows[0], points)
+        return pa.RecordBatch.from_arrays([pa.array(_name(points[a])), pa.array(_name(points[b]))], names=["a", "b"])
+
+    rest = [np.zeros((3, 0), np.int64)]
     for batch in batches:
-        hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
-        counts += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    slots = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+        rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("shard", "f1", "f2")])
+        new = np.flatnonzero(np.diff(rows[0])) + 1
+        done = new[-1] if len(new) else 0
+        if not done and (not rows.shape[1] or not rest[0].shape[1] or rest[0][0, -1] == rows[0, 0]):
+            rest.append(rows)
+            continue
+        yield linked(np.concatenate([*rest, rows[:, :done]], axis=1))
+        rest = [rows[:, done:]]
+    yield linked(np.concatenate(rest, axis=1))
+
+
+def alike_links(sets: list[np.ndarray], parts: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places (a, b) of sets that are least alike and connect what such links connect, fewer than there are sets; of sets of two parts, only links between the parts are asked for."""
+    m, n = len(sets), np.array([len(x) for x in sets], np.int64)
+    flat, first, owner = np.concatenate(sets), np.cumsum(n) - n, np.repeat(np.arange(m), n)
+    place = np.unique(flat, return_inverse=True)[1]
+    # Of 1024 parts of all shingles, those of which one set holds an odd and the other an even number hold one at least that only one set has.
+    odd = np.packbits(np.bincount(owner * 1024 + (flat >> np.uint64(54)).astype(np.int64), minlength=m * 1024).reshape(m, 1024) & 1, axis=1).view(np.uint64)
+    label, seen, links, crossing = np.arange(m), np.zeros(len(flat), bool), [], bool((parts != parts[0]).any())
+    for x in range(m - 1):
+        y = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
+        if crossing:
+            y = y[parts[y] != parts[x]]
+        y = y[(n[y] >= least * n[x] - 1e-9) & (n[x] >= least * n[y] - 1e-9)]
+        y = y[np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64) <= (n[x] + n[y]) * ((1 - least) / (1 + least)) + 1e-6]
+        if not len(y):
+            continue
+        own, start = place[first[x] : first[x] + n[x]], np.cumsum(n[y]) - n[y]
+        seen[own] = True
+        both = np.add.reduceat(seen[place[np.repeat(first[y] - start, n[y]) + np.arange(n[y].sum())]], start, dtype=np.int64)
+        seen[own] = False
+        for z in y[both >= least * (n[x] + n[y] - both)].tolist():
+            if label[z] != label[x]:
+                label[label == label[z]] = label[x]
+                links.append((x, z))
+    return links
 
 
-def _links_left(sets: DataFrame, least: float) -> DataFrame:
-    """sets (node, root, hashes): pairs (a, b) of different roots, among them all that are least alike.
+def _block_links(least: float):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block."""
+        block, nodes, parts, sets = None, [], [], []
 
-    Each set's shingles are put in one order, rare slots first, and two sets that are so much alike share one of their
-    first (1 - least) * size + 1. An order is all that this needs, so the counts by slot, SLOTS numbers at any scale, may be coarse."""
-    counts = np.zeros(SLOTS, np.int64)
-    for r in sets.select("hashes").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["slot"]] = r["n"]
-    ranks = np.minimum(counts, 2**31 - 1).astype(np.int32)
-    shared = sets.sparkSession.sparkContext.broadcast(ranks)
+        def linked() -> pa.RecordBatch:
+            pairs = alike_links(sets, np.array(parts), least) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, root, x in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "hashes"))):
-                hashes = np.frombuffer(x, np.uint64)
-                order = np.lexsort((hashes, shared.value[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]))
-                n = len(hashes)
-                tokens = hashes[order[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64)
-                odd = np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
-                same = [pa.array(np.full(len(tokens), value, np.int64)) for value in (node, root, n, *odd)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), *same], names=["token", "node", "root", "n", "o0", "o1", "o2", "o3"])
-
-    firsts = written(sets.mapInArrow(first, "token long, node long, root long, n long, o0 long, o1 long, o2 long, o3 long"))
-    by_root = firsts.groupBy("token", "root").count()
-    main = by_root.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    rows = written(firsts.join(main, "token"))
-    x, y = rows.where("root <> main").alias("x"), rows.alias("y")
-    sized = (F.col("x.n") >= least * F.col("y.n") - 1e-9) & (F.col("y.n") >= least * F.col("x.n") - 1e-9)
-    # Of 256 parts of all shingles, those of which one set holds an odd and the other an even number hold one at least that only one set has.
-    apart = sum((F.bit_count(F.col(f"x.o{k}").bitwiseXOR(F.col(f"y.o{k}"))) for k in range(4)), F.lit(0))
-    near = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least)) + 1e-6
-    # Each pair once: with the token's main root from the other side, among the others in one order.
-    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & sized & near)
-    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+            for *own, part, node, x in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "part", "node", "hashes"))):
+                if own != block:
+                    yield linked()
+                    block, nodes, parts, sets = own, [], [], []
+                nodes.append(node), parts.append(part), sets.append(np.frombuffer(x, np.uint64))
+        yield linked()
+
+    return apply
 
 
 def survivors(documents: DataFrame, key: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, key) of one document of each component of links: the smallest id, nulls last, of equals the smallest key. key: a column that tells rows with one id apart.
 
-    A link is a Jaccard similarity of at least so much between the sets of shingles, computed on all candidates: texts that
-    agree in a band of minima, which of two that are 0.8 alike 9996 in 10,000 do. A large group that agrees is linked member
-    by member in an order; where that leaves more than one component in it, its members' other links are found by their rare
-    shingles. Texts without words are one set. A radius of 64 bits that is wide enough for 0.8 holds about 16, where blocks
-    and BK-trees rule out nothing."""
+    A link is a Jaccard similarity of at least so much between the sets of shingles, computed on SimHash's candidates. At 0.8
+    some 0.15 of a fingerprint's bits differ, so it is wide: it is dealt to a shard by each 16 of its bits, and in a shard what lies
+    within the radius in 128 bits is linked by a spanning forest, in a large one by a BK-tree. Two that are 0.8 alike meet in a
+    shard but for some one in 10,000, and lie within the radius; sets of at most FEW shingles also meet what lacks one of
+    theirs, which no link of theirs goes beyond. Components of these links hold the candidates: within them the sets are
+    compared, a component of more than BLOCK_WEIGHT in blocks of two of its parts. Texts without words are one set."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = bytes_of(batch.column("text"))
-            nodes, bands = np.zeros(len(at) - 1, np.uint64), np.zeros((len(at) - 1, BANDS), np.uint64)
+            nodes, wide, less = np.zeros(len(at) - 1, np.uint64), [], []
             for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
                 hashes = shingles(data[a:b].tobytes(), shingle)
-                nodes[i], bands[i] = _set_of(hashes), _bands(hashes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), pa.array(nodes.view(np.int64)), lists], names=["doc_id", key, "node", "bands"])
+                nodes[i] = int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big") if len(hashes) else 0
+                wide.append(wide_fingerprint(hashes))
+                fewer = [wide_fingerprint(np.delete(hashes, k))[:8].view(np.uint64) for k in range(len(hashes))] if 1 < len(hashes) <= FEW else []
+                less.append(_name(np.array(fewer)).tolist() if fewer else [])
+            names = _name(np.array([w[:8].view(np.uint64) for w in wide], np.uint64).reshape(-1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), pa.array(nodes.view(np.int64)), pa.array(names), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(less, pa.list_(pa.int64()))], names=["doc_id", key, "node", "name", "wide", "less"])
 
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in ("doc_id", key))
     texts = documents.select("doc_id", key, F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(texts.mapInArrow(marked, f"{kinds}, node long, bands array<long>"))
+    rows = written(texts.mapInArrow(marked, f"{kinds}, node long, name long, wide binary, less array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")
-    classes = rows.groupBy("node").agg(first, F.min("bands").alias("bands"))
-    dealt = classes.where("node <> 0").select("node", F.posexplode("bands").alias("band", "value")).repartition("band", "value").sortWithinPartitions("band", "value", "node")
-    met = written(dealt.mapInArrow(_band_pairs, "a long, b long, large long"))
-    pairs = written(met.select("a", "b").distinct())
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    named = classes.join(asked, "node", "left_semi").select("first.doc_id", f"first.{key}")
+    classes = rows.groupBy("node").agg(first, F.min("name").alias("name"))
+    dealt = rows.where("node <> 0").select("node", "wide").dropDuplicates(["node"]).select("wide").mapInArrow(_dealt, "shard int, f1 long, f2 long")
+    met = dealt.repartition("shard").sortWithinPartitions("shard", "f1", "f2").mapInArrow(_wide_shard_links, "a long, b long")
+    lacking = rows.where("node <> 0").select(F.col("name").alias("a"), F.explode("less").alias("b"))
+    near = components(met.union(lacking)).select(F.col("node").alias("name"), F.col("root"))
+    named = written(classes.where("node <> 0").join(near, "name", "left").select("node", "first", F.coalesce("root", "name").alias("root")))
+    several = named.groupBy("root").count().where("count > 1").select("root")
+    asked = named.join(several, "root", "left_semi").select("root", F.col("first.doc_id").alias("_named"), f"first.{key}")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text"):
-                hashes = shingles(text.as_py().encode(), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([_set_of(hashes)], np.uint64).view(np.int64)), pa.array([hashes.tobytes()], pa.binary())], names=["node", "hashes"])
+            for root, text in zip(batch.column("root"), batch.column("text")):
+                hashes = shingles(text.as_py().encode(), shingle).tobytes()
+                node = int.from_bytes(xxhash.xxh64_digest(hashes, SEED), "big", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([root.as_py()], pa.int64()), pa.array([node], pa.int64()), pa.array([hashes], pa.binary())], names=["root", "node", "hashes"])
 
-    theirs = texts.join(named.withColumnRenamed("doc_id", "_named"), [texts[key] == named[key], F.col("doc_id").eqNullSafe(F.col("_named"))], "left_semi").select("text").mapInArrow(sets, "node long, hashes binary")
+    theirs = texts.join(asked, [texts[key] == asked[key], F.col("doc_id").eqNullSafe(F.col("_named"))]).select("root", "text").mapInArrow(sets, "root long, node long, hashes binary")
     held = written(theirs.dropDuplicates(["node"]))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda node, name: held.select(F.col("node").alias(node), F.col("hashes").alias(name))
-    confirmed = lambda rows: written(rows.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
-    linked = confirmed(pairs)
-    roots = components(linked)
-    members = met.where("large is not null").select("large", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    torn = members.groupBy("large").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    still = written(members.join(torn, "large", "left_semi").select("node", "root").distinct())
-    if not still.isEmpty():
-        roots = components(linked.union(confirmed(_links_left(held.join(still, "node"), least))))
-    kept = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    weight = F.sum(F.greatest(F.octet_length("hashes"), F.lit(LEAST_WEIGHT)))
+    parts = held.groupBy("root").agg(F.ceil(weight / BLOCK_WEIGHT).alias("parts"))
+    part = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = blocks.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "hashes")
+    links = blocks.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "part", "node").mapInArrow(_block_links(least), "a long, b long")
+    kept = classes.select("node", "first").join(components(links), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return kept.select("first.doc_id", f"first.{key}")

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrafold.llm import toxicity
+from terrafold.llm import simhash, toxicity
 from terrafold.llm.common import table
 from tests.llm.conftest import passage
 from tests.llm.test_operators import brute_secrets, plain_alignment, plain_toxicity, reference_encoding  # noqa: F401
@@ -71,6 +72,69 @@ def test_links_at_the_edge_of_large_groups(spark, data):
     assert found == set(root) and 82 < len(found) < 160
 
 
+def test_near_copies_come_by_fingerprints():
+    """Wide fingerprints of texts about 0.8 alike lie within the radius and meet in a shard, others do not; shards with trees link the same; few shingles meet by what lacks one."""
+    rng = np.random.default_rng(5)
+    number = lambda n: rng.integers(0, 2**64, n, np.uint64)
+    apart = lambda a, b: int(np.bitwise_count(a[:8] ^ b[:8]).sum())
+    for n in (18, 90, 900):
+        for _ in range(60):
+            same = number(n * 8 // 9)
+            a, b, c = (simhash.wide_fingerprint(np.concatenate([x, number(n - len(same))])) for x in (same, same, number(len(same))))
+            assert apart(a, b) <= simhash.WIDE_RADIUS < apart(a, c) and (a == b).any()
+    near = number((1, 2)) ^ (np.uint64(1) << rng.integers(0, 64, (700, 2), np.uint64))
+    points = np.concatenate([near, near[:3], number((40, 2))])
+    points = points[np.lexsort((points[:, 1], points[:, 0]))]
+    for shard in (np.zeros(len(points), np.int64), np.arange(len(points)) // 30):
+        a, b = simhash.wide_links(shard, points)
+        root = np.arange(len(points))
+        for x, y in zip(a.tolist(), b.tolist()):
+            assert shard[x] == shard[y] and np.bitwise_count(points[x] ^ points[y]).sum() <= simhash.WIDE_RADIUS
+            root[root == root[y]] = root[x]
+        known = np.isin(points[:, 0], near[:, 0])
+        for k in set(shard.tolist()):
+            at = np.flatnonzero((shard == k) & known)
+            first = at[np.unique(points[at], axis=0, return_index=True)[1]]  # of equal points the first stands for all
+            assert len(set(root[first].tolist())) <= 1
+        assert len(a) < simhash.MANY_LINKS * len(points) + 1
+
+
+def test_unlinked_alike_texts_make_no_pairs():
+    """Sets that are all much alike, most below 0.8, yield fewer links than sets, the right components, in one block and in blocks of two parts."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 300, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - d], rng.integers(0, 2**64, d, np.uint64)])) for d in rng.integers(20, 60, 150).tolist()]
+    alike = {(i, j) for i in range(150) for j in range(i) if len(both := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both))}
+
+    def roots(pairs):
+        root = list(range(150))
+        for i, j in pairs:
+            root = [root[j] if r == root[i] else r for r in root]
+        return {frozenset(k for k in range(150) if root[k] == r) for r in root}
+
+    whole = simhash.alike_links(sets, np.zeros(150, np.int64), 0.8)
+    assert len(whole) < 150 and roots(whole) == roots(alike) and 1 < len(roots(alike)) < 149
+    parts = np.arange(150) % 3
+    found = []
+    for low in range(3):
+        for high in range(low, 3):
+            at = np.flatnonzero((parts == low) | (parts == high))
+            found += [(at[a], at[b]) for a, b in simhash.alike_links([sets[k] for k in at], parts[at], 0.8)]
+    assert roots(found) == roots(alike)
+
+
+def test_few_words_and_components_in_blocks(spark, data, monkeypatch):
+    """Texts of 4 and 5 shingles that differ by one are all found, and a component compared in several blocks leaves one text."""
+    rng = random.Random(12)
+    words = [[f"s{rng.randrange(10**6)}" for _ in range(9)] for _ in range(150)]
+    pairs = [(2 * k, " ".join(w[:8])) for k, w in enumerate(words)] + [(2 * k + 1, " ".join(w)) for k, w in enumerate(words)]
+    base = passage(5, 200).split()
+    pairs += [(1000 + k, " ".join([*base[:k], f"edit{k}", *base[k + 1 :]])) for k in range(60)]
+    monkeypatch.setattr(simhash, "BLOCK_WEIGHT", 10 * simhash.LEAST_WEIGHT)
+    found = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows_of(spark, pairs), data).collect()}
+    assert found == {2 * k for k in range(150)} | {1000}
+
+
 def brute_force(spark, rows, items, model):
     """Every stage by plain Python: scores gram by gram, all pairs of texts, all pairs of texts and items."""
     kept = [r for r in rows if plain_toxicity(r[1], model) < 0.5]
