@@ -544,6 +544,19 @@ def plain_score(p, speller, shares, words):
     return total
 
 
+def test_words_spelled_at_once():
+    """One call spells words as one by one: ends, odd letters and words of white space that is no space among them."""
+    speller = lm.Speller(lm.read_ranks(queries.vocabulary()))
+    rng = random.Random(3)
+    words = ["", *("".join(rng.choice("abtheing0123.,!-_é漢\u00a0\u2003\u0085\x00\x1f") for _ in range(rng.randrange(1, 12))) for _ in range(3000)), "", "x" * 3000, ""]
+    flat, size = speller.spell([w.encode() for w in words])
+    assert [tuple(x) for x in np.split(flat, np.cumsum(size)[:-1])] == [speller.word(w.encode()) for w in words]
+    assert speller.spell([])[1].tolist() == [] and speller.spell([b""])[0].tolist() == [speller.end]
+    at, rows = np.array([2, 0, 2, 4]), np.arange(4 * lm.WIDTH, dtype=np.float32).reshape(4, -1)
+    sums = lm._row_sums(at, rows, 5)
+    assert (sums[2] == rows[0] + rows[2]).all() and (sums[0] == rows[1]).all() and not sums[[1, 3]].any() and (sums[4] == rows[3]).all()
+
+
 def test_scores_equal_a_plain_attention():
     p, speller = small_model()
     rng = random.Random(3)
