@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import bytes_of, checkpointed, written
-from terrafold.llm.components import components
+from terrafold.llm.components import components, stars
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
 MOST_IN_SHARD = 20_000
@@ -40,6 +40,8 @@ TABLES, WIDE_RADIUS = 128, 38
 AT_ONCE, MANY_LINKS = 512, 4
 #: Sets of at most so many shingles also meet what lacks one of them.
 FEW = 8
+#: Links that a task gathers before it joins each name to the smallest that they reach.
+LINKS_AT_ONCE = 1 << 20
 #: Bytes of sets that are compared in one task at once; a set counts as LEAST_WEIGHT at least.
 BLOCK_WEIGHT, LEAST_WEIGHT = 8 << 20, 4096
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**64, TABLES // 4, np.uint64) | np.uint64(1)
@@ -288,7 +290,8 @@ def _wide_shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     def linked(rows: np.ndarray) -> pa.RecordBatch:
         points = np.ascontiguousarray(rows[1:].T).view(np.uint64)
         a, b = wide_links(rows[0], points)
-        return pa.RecordBatch.from_arrays([pa.array(_name(points[a])), pa.array(_name(points[b]))], names=["a", "b"])
+        told = stars(_name(points[a]), _name(points[b]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["a", "b"])
 
     rest = [np.zeros((3, 0), np.int64)]
     for batch in batches:
@@ -303,6 +306,22 @@ def _wide_shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield linked(np.concatenate(rest, axis=1))
 
 
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links, LINKS_AT_ONCE at a time, as links to the smallest that they reach. A group of near copies meets in many shards, by other links in each; here most become the same ones."""
+    found, held = [np.zeros((2, 0), np.int64)], 0
+
+    def gathered() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*np.concatenate(found, axis=1))], names=["a", "b"])
+
+    for batch in batches:
+        found.append(np.stack([np.asarray(batch.column(c)) for c in ("a", "b")]))
+        held += batch.num_rows
+        if held > LINKS_AT_ONCE:
+            yield gathered()
+            found, held = [np.zeros((2, 0), np.int64)], 0
+    yield gathered()
+
+
 def alike_links(sets: list[np.ndarray], parts: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Places (a, b) of sets that are least alike and connect what such links connect, fewer than there are sets; of sets of two parts, only links between the parts are asked for."""
     m, n = len(sets), np.array([len(x) for x in sets], np.int64)
@@ -337,7 +356,8 @@ def _block_links(least: float):
 
         def linked() -> pa.RecordBatch:
             pairs = alike_links(sets, np.array(parts), least) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            told = stars(*(np.array([nodes[x[k]] for x in pairs], np.int64) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["a", "b"])
 
         for batch in batches:
             for *own, part, node, x in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "part", "node", "hashes"))):
@@ -381,7 +401,8 @@ def survivors(documents: DataFrame, key: str, shingle: int = 5, least: float = 0
     dealt = rows.where("node <> 0").select("node", "wide").dropDuplicates(["node"]).select("wide").mapInArrow(_dealt, "shard int, f1 long, f2 long")
     met = dealt.repartition("shard").sortWithinPartitions("shard", "f1", "f2").mapInArrow(_wide_shard_links, "a long, b long")
     lacking = rows.where("node <> 0").select(F.col("name").alias("a"), F.explode("less").alias("b"))
-    near = components(met.union(lacking)).select(F.col("node").alias("name"), F.col("root"))
+    met = met.union(lacking).repartition(documents.sparkSession.sparkContext.defaultParallelism).mapInArrow(_starred, "a long, b long")
+    near = components(met).select(F.col("node").alias("name"), F.col("root"))
     named = written(classes.where("node <> 0").join(near, "name", "left").select("node", "first", F.coalesce("root", "name").alias("root")))
     several = named.groupBy("root").count().where("count > 1").select("root")
     asked = named.join(several, "root", "left_semi").select("root", F.col("first.doc_id").alias("_named"), f"first.{key}")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -99,6 +100,27 @@ def test_near_copies_come_by_fingerprints():
         assert len(a) < simhash.MANY_LINKS * len(points) + 1
 
 
+def test_group_of_near_copies_gives_few_links():
+    """Near copies meet in many shards; what components are made of are hardly more links than texts, over all shards and tasks, and connect the same."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, simhash.TABLES * 2, np.uint8)
+    wide = [(base ^ np.packbits(rng.random(simhash.TABLES * 16) < 0.06)).tobytes() for _ in range(400)]
+    dealt = pa.Table.from_batches(simhash._dealt([pa.record_batch({"wide": pa.array(wide)})])).sort_by([("shard", "ascending"), ("f1", "ascending"), ("f2", "ascending")])
+    met = pa.Table.from_batches(simhash._wide_shard_links(dealt.to_batches(2000))).to_pylist()
+    tasks = [pa.RecordBatch.from_pylist(met[k::4]) for k in range(4)]
+    links = {(r["a"], r["b"]) for task in tasks for batch in simhash._starred([task]) for r in batch.to_pylist()}
+    assert len({(r["a"], r["b"]) for r in met}) < 2 * 400 and len(links) < 1.5 * 400 and all(a > b for a, b in links)
+
+    def roots(pairs):
+        root = {x: x for pair in pairs for x in pair}
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root = {x: root[b] if r == root[a] else r for x, r in root.items()}
+        return {frozenset(x for x in root if root[x] == r) for r in set(root.values())}
+
+    assert roots(links) == roots([(r["a"], r["b"]) for r in met]) and len(roots(links)) == 1
+
+
 def test_unlinked_alike_texts_make_no_pairs():
     """Sets that are all much alike, most below 0.8, yield fewer links than sets, the right components, in one block and in blocks of two parts."""
     rng = np.random.default_rng(6)
