@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -557,6 +558,27 @@ def test_words_spelled_at_once():
     assert (sums[2] == rows[0] + rows[2]).all() and (sums[0] == rows[1]).all() and not sums[[1, 3]].any() and (sums[4] == rows[3]).all()
 
 
+def test_fitting_keeps_no_words():
+    """A worker holds the rare words of some texts at a time, not those of all before, and frequent words have the ids that they came with."""
+    speller = lm.Speller(lm.read_ranks(queries.vocabulary()))
+    frequent = {b"the": 0, b"and": 1, b"": 2}
+    leads = np.array([speller.word(w)[0] for w in frequent], np.int32)
+    pieces = ([b"the", *(f"r{i}x{j}".encode() for j in range(198)), b"and"] for i in range(1500))
+    tracemalloc.start()
+    try:
+        held = []
+        for heads, counts in lm._heads(pieces, speller, frequent, leads):
+            assert (heads.reshape(-1, 200)[:, [0, -1]] == leads[:2]).all() and set(counts.tolist()) == {200}
+            del heads, counts
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert len(held) == 4 and held[-2] < held[0] + (4 << 20)
+    words = [b"the", b"unbelievable", b"green", b"", b"unbelievable", b"and"]
+    heads, counts = next(lm._heads(iter([words[:4], [], words[4:]]), speller, frequent, leads))
+    assert heads.tolist() == [speller.word(w)[0] for w in words] and counts.tolist() == [4, 2]
+
+
 def test_scores_equal_a_plain_attention():
     p, speller = small_model()
     rng = random.Random(3)
